@@ -224,21 +224,24 @@ def certify(df: DataFrame, value: str, keys: list[str], found: DataFrame, quanti
     """
     wanted = sorted(float(q) for q in quantiles)
     mine = [f"k{i}" for i in range(len(keys))]  # names of our own: any key may be called as any column
-    listed = found.select(*[F.col(k).alias(m) for k, m in zip(keys, mine)], F.col("q").alias("asked"), F.col("estimate").alias("e"))
-    listed = listed.groupBy(*mine).agg(*[F.max(F.when(F.col("asked") == q, F.col("e"))).alias(f"e{i}") for i, q in enumerate(wanted)])
+    listed = found.select(*[F.col(k).alias(m) for k, m in zip(keys, mine)], F.col("q").alias("asked"), F.col("estimate").alias("e"), "n", "n_unusable")
+    listed = listed.groupBy(*mine).agg(F.max("n").alias("n"), F.max("n_unusable").alias("n_unusable"), *[F.max(F.when(F.col("asked") == q, F.col("e"))).alias(f"e{i}") for i, q in enumerate(wanted)])
     values = df.select(*[F.col(k).alias(f"v{m}") for k, m in zip(keys, mine)], F.col(value).cast("double").alias("v")).where(usable_value(F.col("v")))
-    joined = values.join(listed, [F.col(f"v{m}").eqNullSafe(F.col(m)) for m in mine], "inner") if keys else values.crossJoin(F.broadcast(listed))
+    # Groups without usable values keep their row; the digests are computed once for estimates and counts.
+    joined = values.join(listed, [F.col(f"v{m}").eqNullSafe(F.col(m)) for m in mine] or F.lit(True), "right")
+    kept = ["n", "n_unusable", *[f"e{i}" for i in range(len(wanted))]]
     counts = joined.groupBy(*mine).agg(
+        *[F.max(c).alias(c) for c in kept],
         *[F.count_if(F.col("v") < F.col(f"e{i}")).alias(f"b{i}") for i in range(len(wanted))],
         *[F.count_if(F.col("v") == F.col(f"e{i}")).alias(f"t{i}") for i in range(len(wanted))],
     )
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"b{i}").alias("below"), F.col(f"t{i}").alias("equal")) for i, q in enumerate(wanted)]))
-    counted = counts.select(*mine, each.alias("x")).select(*mine, F.col("x.q").alias("asked"), F.col("x.below").alias("n_below"), F.col("x.equal").alias("n_equal"))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"e{i}").alias("e"), F.col(f"b{i}").alias("below"), F.col(f"t{i}").alias("equal")) for i, q in enumerate(wanted)]))
+    counted = counts.select(*mine, "n", "n_unusable", each.alias("x")).select(
+        *[F.col(m).alias(k) for k, m in zip(keys, mine)], F.col("x.q").alias("q"), "n", "n_unusable", F.col("x.e").alias("estimate"), F.col("x.below").alias("n_below"), F.col("x.equal").alias("n_equal")
+    )
     rank = F.col("q") * F.col("n")
     error = F.greatest(F.lit(0.0), F.col("n_below") - rank, rank - (F.col("n_below") + F.col("n_equal"))) / F.nullif(F.col("n"), F.lit(0))
-    return found.join(counted, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine)] + [F.col("q") == F.col("asked")], "left").select(
-        *keys, "q", "n", "n_unusable", "estimate", "n_below", "n_equal", error.alias("rank_error")
-    )
+    return counted.withColumn("rank_error", error)
 
 
 def usable_value(column: Column) -> Column:

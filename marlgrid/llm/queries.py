@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid.llm import canonical, percentiles, unify
+from marlgrid.llm import asked, canonical, overlap, percentiles, unify
 from marlgrid.session import table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
-#: Rank error, as a share of a group's values, that p2 promises.
+#: Rank error that p2 promises: this share of a group's values and one rank more (values lie between ranks).
 RANK_BOUND = 0.01
 
 
@@ -37,7 +38,47 @@ def p2_layer(spark: SparkSession, base: str) -> DataFrame:
 def p2_bound_held(spark: SparkSession, base: str) -> DataFrame:
     """Per layer: exact counts, and whether the certified error keeps the bound."""
     found = p2_layer(spark, base)
-    return found.select("layer", "q", "n", "n_unusable", (F.coalesce("rank_error", F.lit(0.0)) <= RANK_BOUND).alias("within_bound"))
+    return found.select("layer", "q", "n", "n_unusable", (F.coalesce("rank_error", F.lit(0.0)) <= RANK_BOUND + 1 / F.greatest("n", F.lit(1))).alias("within_bound"))
+
+
+TRAIN, EVALUATION = "dev", ["regression", "holdout"]
+
+
+def _asked(spark: SparkSession, base: str) -> DataFrame:
+    """What each acceptance record asks: a row per view (SQL, question)."""
+    records = table(spark, base, "olist_acceptance_60").where(F.col("partition").isin(TRAIN, *EVALUATION))
+    frequent = overlap.frequent_words(records, "question", asked.words)
+
+    def read(batches):
+        speller = asked.Speller(frequent)
+        for pdf in batches:
+            out = []
+            for key, train, question, sql in zip(pdf["id"], pdf["is_train"], pdf["question"], pdf["gold_sql"]):
+                facts = asked.sql_facts(sql)
+                if facts:
+                    out.append((key, train, list(facts), ""))
+                found = asked.question_facts(question, speller)
+                if found:
+                    tokens, whole = found
+                    # Corrected words are compared only where all numbers agree.
+                    out.append((key, train, list(tokens), "" if whole else " ".join(sorted(w for w in tokens if w.isdigit()))))
+            yield pd.DataFrame(out, columns=["id", "is_train", "tokens", "marks"])
+
+    return records.select("id", (F.col("partition") == TRAIN).alias("is_train"), "question", "gold_sql").mapInPandas(read, "id string, is_train boolean, tokens array<string>, marks string")
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Evaluation records that a training record asks too."""
+    pairs = overlap.cross_pairs(_asked(spark, base))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).where("id_a < id_b")
+
+
+def p3_report(spark: SparkSession, base: str) -> DataFrame:
+    """Per evaluation split and source: records, those found in training, and pairs."""
+    pairs = overlap.cross_pairs(_asked(spark, base)).groupBy("eval_id").agg(F.count(F.lit(1)).alias("links"))
+    records = table(spark, base, "olist_acceptance_60").where(F.col("partition").isin(EVALUATION)).select("id", "partition", "source")
+    joined = records.join(pairs, records["id"] == pairs["eval_id"], "left")
+    return joined.groupBy("partition", "source").agg(F.count(F.lit(1)).alias("n_records"), F.count("links").alias("n_overlapping"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_pairs"))
 
 
 #: Tables with typed city names: name, key, city, state.
@@ -102,6 +143,8 @@ QUERIES = {
     "p2_layer_day": p2_layer_day,
     "p2_layer": p2_layer,
     "p2_bound_held": p2_bound_held,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
     "p5_found": p5_found,
