@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid.llm import asked, canonical, overlap, percentiles, unify
-from marlgrid.session import table
+from marlgrid.llm import asked, canonical, mixing, overlap, packing, percentiles, pii, tokens, unify
+from marlgrid.session import cut, table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
 #: Rank error that p2 promises: this share of a group's values and one rank more (values lie between ranks).
@@ -139,6 +139,46 @@ def p5_unmatched(spark: SparkSession, base: str) -> DataFrame:
     return joined.groupBy("table_name", "city").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _sized(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's key, source and size in tokens, stored once."""
+    return cut(table(spark, base, "documents").select(F.col("doc_id").alias("key"), "source", tokens.token_count(F.col("text")).alias("size")))
+
+
+def p7_packed(spark: SparkSession, base: str) -> DataFrame:
+    """The pack of every document, or piece of one, for each kind of pack."""
+    return packing.pack(_sized(spark, base), "key", "size", table(spark, base, "pack_sizes")).withColumnRenamed("key", "doc_id")
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full the packs of each kind are."""
+    kinds = table(spark, base, "pack_sizes")
+    return packing.fill(packing.pack(_sized(spark, base), "key", "size", kinds), kinds)
+
+
+def p8_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of the mix, each as often as it was drawn, in one global random order."""
+    sized = _sized(spark, base)
+    chosen, _ = mixing.plan(sized, table(spark, base, "mix_targets"))
+    return mixing.shuffled(mixing.replicate(sized, chosen)).select(F.col("key").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copy", "order_key")
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The share of all tokens that each source was to have and has."""
+    sized, targets = _sized(spark, base), table(spark, base, "mix_targets")
+    chosen, _ = mixing.plan(sized, targets)
+    return mixing.shares(mixing.replicate(sized, chosen), sized, targets, chosen)
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Every piece of personal information with its type and first character."""
+    return pii.find(table(spark, base, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_char")
+
+
+def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return table(spark, base, "documents").select("doc_id", pii.redacted(F.col("text")).alias("text"))
+
+
 QUERIES = {
     "p2_layer_day": p2_layer_day,
     "p2_layer": p2_layer,
@@ -149,6 +189,12 @@ QUERIES = {
     "p4_unified": p4_unified,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 SQL = {
