@@ -1 +1,456 @@
-QUERIES, SQL = {}, {}
+"""Queries of the relational, retrieval, governance and evaluation operators, with their SQL.
+
+A query in ``STATED`` is one text that both engines run, or a pair where the two
+dialects differ.  The others are built with the DataFrame API or with the
+engine's own operators.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlgrid import evaluation, policy, quality, retrieval, trace, validation
+from marlgrid.catalog import Catalog
+from marlgrid.engine import Engine
+from marlgrid.functions import dialect
+from marlgrid.plans import questions, views
+from marlgrid.session import table
+from marlgrid.sources.files import content_hash
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings olist_geolocation_dataset olist_customers_dataset "
+    "olist_sellers_dataset olist_orders_dataset olist_order_items_dataset olist_products_dataset trace_events runs olist_acceptance_60"
+).split()
+KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
+    "olist_customers_dataset": ["customer_id"], "olist_sellers_dataset": ["seller_id"], "olist_orders_dataset": ["order_id"],
+    "olist_order_items_dataset": ["order_id", "order_item_id"], "olist_products_dataset": ["product_id"], "runs": ["run_id"],
+}
+FOREIGN = {
+    "nation": [(["n_regionkey"], "region", ["r_regionkey"])],
+    "customer": [(["c_nationkey"], "nation", ["n_nationkey"])],
+    "supplier": [(["s_nationkey"], "nation", ["n_nationkey"])],
+    "orders": [(["o_custkey"], "customer", ["c_custkey"])],
+    "lineitem": [(["l_orderkey"], "orders", ["o_orderkey"]), (["l_partkey"], "part", ["p_partkey"]), (["l_suppkey"], "supplier", ["s_suppkey"])],
+    "events": [(["user_id"], "customer", ["c_custkey"])],
+    "olist_orders_dataset": [(["customer_id"], "olist_customers_dataset", ["customer_id"])],
+    "olist_order_items_dataset": [(["order_id"], "olist_orders_dataset", ["order_id"]), (["product_id"], "olist_products_dataset", ["product_id"]), (["seller_id"], "olist_sellers_dataset", ["seller_id"])],
+    "trace_events": [(["run_id"], "runs", ["run_id"])],
+}
+
+# The views over the data; payments and reviews have no table here, so lines of an
+# order and events of a user stand in for their shape.
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "zip_centroids": lambda s, d: views.zip_centroids(table(s, d, "olist_geolocation_dataset")),
+    "order_item_totals": lambda s, d: views.item_totals(table(s, d, "olist_order_items_dataset")),
+    "order_payment_totals": lambda s, d: views.payment_totals(table(s, d, "lineitem"), "l_orderkey", "l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("bigint")),
+    "order_review_summary": lambda s, d: views.review_summary(table(s, d, "events").withColumn("score", F.floor("value").cast("int")), "user_id", "score"),
+    "order_delivery_facts": lambda s, d: views.delivery_facts(table(s, d, "olist_orders_dataset")),
+    "customer_order_facts": lambda s, d: views.customer_facts(table(s, d, "olist_customers_dataset"), table(s, d, "olist_orders_dataset")),
+    "products_semantic": lambda s, d: views.products_named(table(s, d, "olist_products_dataset"), table(s, d, "olist_products_dataset").groupBy("product_category_name").agg(F.upper(F.max("product_category_name")).alias("product_category_name_english")).where("product_category_name LIKE '%care'")),
+}
+MOMENT = "CAST(replace(regexp_replace({c}, 'Z$', ''), 'T', ' ') AS TIMESTAMP)"
+BOUGHT, GOT, DUE = (MOMENT.format(c=c) for c in ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date"))
+VIEW_SQL = {
+    "zip_centroids": "SELECT geolocation_zip_code_prefix, AVG(geolocation_lat) AS latitude, AVG(geolocation_lng) AS longitude, MIN(geolocation_city) AS representative_city, MIN(geolocation_state) AS representative_state, COUNT(*) AS source_row_count FROM olist_geolocation_dataset WHERE geolocation_lat BETWEEN -34.0 AND 6.0 AND geolocation_lng BETWEEN -74.0 AND -34.0 GROUP BY 1",
+    "order_item_totals": "SELECT order_id, COUNT(*) AS item_count, CAST(SUM(price_cents) AS BIGINT) AS product_revenue_cents, CAST(SUM(freight_value_cents) AS BIGINT) AS freight_cents FROM olist_order_items_dataset GROUP BY order_id",
+    "order_payment_totals": "SELECT l_orderkey AS order_id, COUNT(*) AS payment_row_count, COUNT(DISTINCT l_returnflag) AS distinct_payment_type_count, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS paid_value_cents FROM lineitem GROUP BY 1",
+    "order_review_summary": "SELECT user_id AS order_id, COUNT(*) AS review_row_count, AVG(CAST(floor(value) AS INTEGER)) AS average_review_score, MIN(CAST(floor(value) AS INTEGER)) AS minimum_review_score, MAX(CAST(floor(value) AS INTEGER)) AS maximum_review_score FROM events GROUP BY 1",
+    "order_delivery_facts": f"SELECT order_id, customer_id, order_status, order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date, (epoch_us({GOT}) - epoch_us({BOUGHT})) / 86400000000.0 AS delivery_days, (epoch_us({GOT}) - epoch_us({DUE})) / 86400000000.0 AS delay_days, CASE WHEN order_delivered_customer_date IS NOT NULL AND {GOT} > {DUE} THEN 1 WHEN order_delivered_customer_date IS NOT NULL THEN 0 END AS is_late_delivered FROM olist_orders_dataset",
+    "customer_order_facts": "SELECT c.customer_unique_id, MIN(o.order_purchase_timestamp) AS first_order_timestamp, COUNT(DISTINCT o.order_id) AS order_count FROM olist_customers_dataset c JOIN olist_orders_dataset o ON o.customer_id = c.customer_id GROUP BY 1",
+}
+
+O, I, C, P = "olist_orders_dataset", "olist_order_items_dataset", "olist_customers_dataset", "olist_products_dataset"
+STATED: dict[str, str | tuple[str, str]] = {
+    "count_all": f"SELECT COUNT(*) AS n FROM {O}",
+    "count_filter": f"SELECT COUNT(*) AS n FROM {O} WHERE order_status = 'canceled'",
+    "project_alias": f"SELECT product_id, product_weight_g AS grams FROM {P} WHERE product_photos_qty > 1",
+    "sum_cents": f"SELECT CAST(SUM(price_cents) AS BIGINT) AS revenue_cents FROM {I}",
+    "two_metric_row": f"SELECT CAST(SUM(price_cents) AS BIGINT) AS revenue_cents, CAST(SUM(freight_value_cents) AS BIGINT) AS freight_cents FROM {I}",
+    "count_distinct": f"SELECT COUNT(DISTINCT customer_unique_id) AS n FROM {C}",
+    "avg_round": f"SELECT ROUND(AVG(product_weight_g), 2) AS mean_grams FROM {P} WHERE product_weight_g IS NOT NULL",
+    "min_max": f"SELECT MIN(price_cents) AS least, MAX(price_cents) AS most FROM {I}",
+    "group_count_ordered": f"SELECT order_status, COUNT(*) AS n FROM {O} GROUP BY order_status ORDER BY n DESC, order_status ASC",
+    "group_year": f"SELECT SUBSTR(order_purchase_timestamp, 1, 4) AS year, COUNT(*) AS n FROM {O} GROUP BY year ORDER BY year",
+    "group_month": f"SELECT SUBSTR(order_purchase_timestamp, 1, 7) AS month, COUNT(*) AS n FROM {O} GROUP BY 1 ORDER BY 1",
+    "topk_tiebreak": f"SELECT c.customer_state, COUNT(*) AS n FROM {O} o JOIN {C} c ON c.customer_id = o.customer_id GROUP BY c.customer_state ORDER BY n DESC, c.customer_state ASC LIMIT 3",
+    "topk_join_coalesce": f"SELECT COALESCE(p.product_category_name, 'unknown') AS category, CAST(SUM(i.price_cents) AS BIGINT) AS revenue_cents FROM {I} i LEFT JOIN {P} p ON p.product_id = i.product_id GROUP BY 1 ORDER BY revenue_cents DESC, category ASC LIMIT 5",
+    "null_filter": f"SELECT COUNT(*) AS n FROM {P} WHERE product_category_name IS NULL",
+    "not_null_filter": f"SELECT COUNT(*) AS n FROM {O} WHERE order_status = 'delivered' AND order_delivered_customer_date IS NOT NULL",
+    "conditional_rate": f"SELECT ROUND(100.0 * SUM(CASE WHEN order_status = 'canceled' THEN 1 ELSE 0 END) / COUNT(*), 4) AS rate FROM {O}",
+    "having_count": f"SELECT COUNT(*) AS n FROM (SELECT order_id FROM {I} GROUP BY order_id HAVING COUNT(*) > 1) t",
+    "dup_count": f"SELECT COUNT(*) - COUNT(DISTINCT order_id) AS n FROM {I}",
+    "half_open_range": f"SELECT COUNT(*) AS n FROM {O} WHERE order_purchase_timestamp >= '2022-01-01' AND order_purchase_timestamp < '2023-01-01'",
+    "in_list": f"SELECT order_status, COUNT(*) AS n FROM {O} WHERE order_status IN ('shipped', 'created', 'approved') GROUP BY order_status",
+    "arithmetic": f"SELECT order_id, order_item_id, price_cents + freight_value_cents AS total_cents, 100.0 * freight_value_cents / (price_cents + freight_value_cents) AS freight_share FROM {I} WHERE price_cents > 50000",
+    "inner_join": f"SELECT o.order_status, COUNT(*) AS n FROM {I} i JOIN {O} o ON o.order_id = i.order_id GROUP BY o.order_status",
+    "left_join": f"SELECT i.order_id, i.order_item_id, p.product_category_name FROM {I} i LEFT JOIN {P} p ON p.product_id = i.product_id",
+    "anti_join": f"SELECT COUNT(*) AS n FROM {O} o LEFT JOIN {I} i ON i.order_id = o.order_id WHERE i.order_id IS NULL",
+    "semi_join_in": f"SELECT COUNT(*) AS n FROM {O} WHERE order_id IN (SELECT i.order_id FROM {I} i WHERE i.price_cents > 20000)",
+    "exists_correlated": f"SELECT COUNT(*) AS n FROM {O} o WHERE EXISTS (SELECT 1 FROM {I} i WHERE i.order_id = o.order_id AND i.price_cents > 20000)",
+    "not_exists_correlated": f"SELECT COUNT(*) AS n FROM {O} o WHERE NOT EXISTS (SELECT 1 FROM {I} i WHERE i.order_id = o.order_id)",
+    "three_way_join": f"SELECT c.customer_state, p.product_category_name, COUNT(*) AS n FROM {I} i JOIN {O} o ON o.order_id = i.order_id JOIN {C} c ON c.customer_id = o.customer_id LEFT JOIN {P} p ON p.product_id = i.product_id GROUP BY 1, 2",
+    "composite_key_join": f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT order_id, order_item_id FROM {I}) a JOIN {I} b ON a.order_id = b.order_id AND a.order_item_id = b.order_item_id",
+    "column_compare": "SELECT COUNT(*) AS n FROM order_item_totals t JOIN order_delivery_facts f ON f.order_id = t.order_id WHERE t.freight_cents > t.product_revenue_cents",
+    "view_join": "SELECT f.order_status, COUNT(*) AS n, CAST(SUM(t.product_revenue_cents) AS BIGINT) AS revenue_cents FROM order_item_totals t JOIN order_delivery_facts f ON f.order_id = t.order_id GROUP BY f.order_status",
+    "nested_aggregate": "SELECT ROUND(AVG(item_count), 4) AS mean_items, MAX(item_count) AS most_items FROM order_item_totals",
+    "payment_kinds": "SELECT COUNT(*) AS n FROM order_payment_totals WHERE distinct_payment_type_count > 1",
+    "review_counts": "SELECT COUNT(*) AS n FROM order_review_summary WHERE review_row_count > 1",
+    "repeat_customers": "SELECT COUNT(*) AS n FROM customer_order_facts WHERE order_count > 1",
+    "late_population": "SELECT COUNT(*) AS n, CAST(SUM(is_late_delivered) AS BIGINT) AS n_late FROM order_delivery_facts WHERE is_late_delivered IS NOT NULL",
+    "delay_mean": "SELECT ROUND(AVG(delay_days), 4) AS mean_delay FROM order_delivery_facts WHERE delay_days > 0",
+    "preagg_vs_fanout": f"SELECT CAST(SUM(t.product_revenue_cents) AS BIGINT) AS kept, (SELECT CAST(SUM(price_cents) AS BIGINT) FROM {I}) AS base FROM order_item_totals t",
+    "scalar_subquery": f"SELECT COUNT(*) AS n FROM {I} WHERE price_cents > (SELECT AVG(price_cents) FROM {I})",
+    "derived_table": f"SELECT MAX(n) AS most FROM (SELECT seller_id, COUNT(*) AS n FROM {I} GROUP BY seller_id) t",
+    "cte": f"WITH big AS (SELECT order_id, SUM(price_cents) AS cents FROM {I} GROUP BY order_id) SELECT COUNT(*) AS n FROM big WHERE cents > 30000",
+    "recursive_cte": "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT CAST(SUM(n) AS BIGINT) AS total, COUNT(*) AS steps FROM r",
+    "union_distinct": f"SELECT customer_state AS state FROM {C} UNION SELECT seller_state FROM olist_sellers_dataset",
+    "union_all": f"SELECT state, COUNT(*) AS n FROM (SELECT customer_state AS state FROM {C} UNION ALL SELECT seller_state FROM olist_sellers_dataset) t GROUP BY state",
+    "intersect": f"SELECT customer_zip_code_prefix AS zip FROM {C} INTERSECT SELECT seller_zip_code_prefix FROM olist_sellers_dataset",
+    "except": f"SELECT seller_zip_code_prefix AS zip FROM olist_sellers_dataset EXCEPT SELECT customer_zip_code_prefix FROM {C}",
+    "select_distinct": f"SELECT DISTINCT order_status, SUBSTR(order_purchase_timestamp, 1, 4) AS year FROM {O}",
+    "limit_offset": f"SELECT order_id FROM (SELECT DISTINCT order_id FROM {O}) t ORDER BY order_id LIMIT 7 OFFSET 5",
+    "like_escape": (r"SELECT COUNT(*) AS n FROM documents WHERE text LIKE '%order\\_id%' ESCAPE '\\'", r"SELECT COUNT(*) AS n FROM documents WHERE text LIKE '%order\_id%' ESCAPE '\'"),
+    "json_extract": ("SELECT get_json_object(config_json, '$.max_repairs') AS repairs, COUNT(*) AS n FROM runs GROUP BY 1", "SELECT config_json ->> '$.max_repairs' AS repairs, COUNT(*) AS n FROM runs GROUP BY 1"),
+    "money_matches": ("SELECT COUNT(*) AS n FROM olist_order_items_dataset WHERE CAST(ROUND(CAST(price AS DECIMAL(18,2)) * 100) AS BIGINT) != price_cents", "SELECT COUNT(*) AS n FROM olist_order_items_dataset WHERE CAST(ROUND(CAST(price AS DECIMAL(18,2)) * 100) AS BIGINT) != price_cents"),
+    "integer_division": ("SELECT order_id, order_item_id, price_cents DIV 100 AS whole FROM olist_order_items_dataset", "SELECT order_id, order_item_id, price_cents // 100 AS whole FROM olist_order_items_dataset"),
+    "region_revenue": "SELECT r.r_name, CAST(SUM(CAST(ROUND(l.l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue_cents FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name",
+}
+FLAGSHIP = "SELECT c.c_mktsegment AS segment, CAST(SUM(CAST(ROUND(l.l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue_cents FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY c.c_mktsegment ORDER BY revenue_cents DESC, segment ASC LIMIT 5"
+
+
+def _named(text: str, names) -> list[str]:
+    words = set(re.findall(r"\w+", text))
+    return [n for n in names if n in words]
+
+
+def run_text(spark: SparkSession, base: str, text: str) -> DataFrame:
+    """A query text over the data folder's tables and views."""
+    for name in _named(text, TABLES):
+        table(spark, base, name).createOrReplaceTempView(name)
+    for name in _named(text, VIEWS):
+        VIEWS[name](spark, base).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def with_views(text: str) -> str:
+    """A DuckDB query with the views it names as common table expressions."""
+    used = [f"{n} AS ({VIEW_SQL[n]})" for n in _named(text, VIEW_SQL)]
+    if not used:
+        return text
+    return f"WITH {', '.join(used)} {text}"
+
+
+def engine_over(spark: SparkSession, base: str, names=TABLES) -> Engine:
+    engine = Engine(spark)
+    engine.register("data", {n: table(spark, base, n) for n in names}, keys=KEYS, foreign=FOREIGN, domain="olist")
+    return engine
+
+
+def flagship(spark: SparkSession, base: str) -> DataFrame:
+    """The top segments by revenue, through policy and default limit."""
+    return engine_over(spark, base, ["customer", "orders", "lineitem"]).sql("data", FLAGSHIP)
+
+
+# -- operators beyond one statement ------------------------------------------------------------
+
+TERMS = ["late", "freight", "order", "order", "warehouse"]
+TERM_TEXT = " ".join(TERMS)
+
+
+def _bm25(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    return retrieval.bm25(docs, "doc_id", retrieval.ascii_tokens(F.col("text")), TERMS)
+
+
+def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
+    scores = _bm25(spark, base).withColumn("score", F.round("score", 6))
+    return retrieval.top(scores, "doc_id", 20)
+
+
+def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
+    """For every fiftieth vector its ten nearest ones among all."""
+    vectors = table(spark, base, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.nearest(vectors, "vec_id", "embedding", asked, 10)
+
+
+def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
+    lexical = bm25_topk(spark, base)
+    longest = retrieval.top(table(spark, base, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id", 20)
+    fused = retrieval.fuse({"bm25": lexical, "length": longest}, "doc_id")
+    return fused.select("doc_id", F.round("score", 8).alias("score"), F.concat_ws(",", "sources").alias("sources"))
+
+
+def identifier_boost(spark: SparkSession, base: str) -> DataFrame:
+    docs = retrieval.document_frame(spark, engine_over(spark, base).catalog("data"))
+    return retrieval.identifier_boost(docs, "document_id", ["table_name", "column_name"], "freight_value_cents by seller_state in olist_orders_dataset").where("score > 0")
+
+
+def token_estimate(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "documents").select("doc_id", dialect.token_estimate(F.coalesce("text", F.lit(""))).alias("size"))
+
+
+def unicode_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """Most frequent folded words of the questions (accents need Python's Unicode tables)."""
+    words = table(spark, base, "runs").select(F.explode(retrieval.token_column(F.col("question"))).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(50)
+
+
+def _catalog(spark: SparkSession, base: str) -> Catalog:
+    return engine_over(spark, base).catalog("data")
+
+
+def catalog_rows(spark: SparkSession, base: str) -> DataFrame:
+    return _catalog(spark, base).rows(spark)
+
+
+def join_closure(spark: SparkSession, base: str) -> DataFrame:
+    """Join paths that connect sellers, customers and products."""
+    tables, joins = retrieval.closure(_catalog(spark, base), ["olist_sellers_dataset", "olist_products_dataset", "olist_customers_dataset"])
+    return spark.createDataFrame([("table", t) for t in sorted(tables)] + [("join", j) for j in joins], "kind string, item string")
+
+
+def schema_search(spark: SparkSession, base: str) -> DataFrame:
+    engine = engine_over(spark, base)
+    found = retrieval.search(spark, engine.catalog("data"), "product revenue by product_category_name and customer_state", k=10)
+    return spark.createDataFrame([(d["document_id"], float(round(d["score"], 8)), ",".join(d["sources"])) for d in found], "document_id string, score double, sources string")
+
+
+def route_intent(spark: SparkSession, base: str) -> DataFrame:
+    asked = table(spark, base, "runs").select("question").unionAll(table(spark, base, "olist_acceptance_60").select("question"))
+    return asked.groupBy(questions.route_column(F.col("question")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def accuracy_slices(spark: SparkSession, base: str) -> DataFrame:
+    cases = table(spark, base, "olist_acceptance_60").withColumn("correct", F.col("gold_sql").isNotNull())
+    return evaluation.accuracy(cases, ["partition", "language", "difficulty"])
+
+
+def failure_counts(spark: SparkSession, base: str) -> DataFrame:
+    cases = table(spark, base, "runs").withColumn("correct", F.col("status") == "COMPLETED")
+    return evaluation.failures(cases, "status")
+
+
+def schema_recall(spark: SparkSession, base: str) -> DataFrame:
+    cases = table(spark, base, "olist_acceptance_60").select("id", F.coalesce("required_concepts", F.array().cast("array<string>")).alias("wanted"), F.coalesce("invariants", F.array().cast("array<string>")).alias("found"))
+    return evaluation.macro(evaluation.recall(cases, "wanted", "found"))
+
+
+def nearest_rank(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "olist_order_items_dataset")
+    return rows.groupBy("seller_id").agg(*[evaluation.nearest_rank("price_cents", q).cast("bigint").alias(f"p{int(q * 100)}") for q in (0.5, 0.95)])
+
+
+def multiset_equal(spark: SparkSession, base: str) -> DataFrame:
+    """Surplus rows between the stated view and the same totals taken by SQL: none."""
+    by_view = VIEWS["order_item_totals"](spark, base)
+    by_sql = run_text(spark, base, VIEW_SQL["order_item_totals"])
+    return evaluation.multiset_difference(by_view, by_sql).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratified_cases(spark: SparkSession, base: str) -> DataFrame:
+    cases = table(spark, base, "olist_acceptance_60")
+    return evaluation.stratified(cases, "difficulty", ["id"], 30).select("id", "difficulty")
+
+
+def complexity_scores(spark: SparkSession, base: str) -> DataFrame:
+    rows = [(n, *evaluation.complexity(spark, t if isinstance(t, str) else t[0])) for n, t in STATED.items()]
+    return spark.createDataFrame(rows, "query string, score int, class string")
+
+
+def quality_checks(spark: SparkSession, base: str) -> DataFrame:
+    orders, items, products = (table(spark, base, n) for n in ("olist_orders_dataset", "olist_order_items_dataset", "olist_products_dataset"))
+    totals, geo = VIEWS["order_item_totals"](spark, base), VIEWS["zip_centroids"](spark, base)
+    whole = lambda df, c: df.agg(F.sum(c).alias("n"))
+    return quality.suite(
+        [
+            quality.one("item_revenue_preserved", whole(items, "price_cents"), whole(totals, "product_revenue_cents")),
+            quality.one("freight_preserved", whole(items, "freight_value_cents"), whole(totals, "freight_cents")),
+            quality.one("centroid_unique", quality.duplicates(geo, "geolocation_zip_code_prefix"), 0),
+            quality.one("raw_money_matches_cents", quality.count(items.where((dialect.cents(F.col("price")) != F.col("price_cents")) | (dialect.cents(F.col("freight_value")) != F.col("freight_value_cents")))), 0),
+            quality.one("products_unique", quality.duplicates(products, "product_id"), 0),
+            quality.one("order_copies", quality.duplicates(orders, "order_id"), quality.count(orders.exceptAll(orders.dropDuplicates(["order_id"])))),
+        ]
+    )
+
+
+def foreign_keys(spark: SparkSession, base: str) -> DataFrame:
+    """References without a parent, per declared key of one column."""
+    known = _catalog(spark, base)
+    checks = [quality.one(f"{name}.{k.columns[0]}", quality.orphans(table(spark, base, name), k.columns[0], table(spark, base, k.target), k.target_columns[0]), 0) for name, k in known.edges() if len(k.columns) == 1]
+    return quality.suite(checks)
+
+
+def latest_run_state(spark: SparkSession, base: str) -> DataFrame:
+    events = table(spark, base, "trace_events").select("run_id", "sequence", "layer", "event").dropDuplicates()
+    return trace.latest(events)
+
+
+def content_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """Rows and order-independent hash per table."""
+    out = None
+    for name in ("region", "nation", "supplier", "olist_sellers_dataset", "olist_products_dataset"):
+        df = table(spark, base, name)
+        one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), content_hash(df).alias("content_hash"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+HOSTILE = [
+    "DROP TABLE orders", "DELETE FROM orders", "INSERT INTO orders SELECT * FROM orders", "UPDATE orders SET o_custkey = 1", "SELECT 1; SELECT 2", "PRAGMA table_info(orders)",
+    "ATTACH 'x' AS y", "CREATE VIEW v AS SELECT 1", "SET spark.sql.shuffle.partitions=1", "CACHE TABLE orders", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT * FROM parquet.`/root`",
+    "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT reflect('java.lang.System', 'getProperty', 'x')", "SELECT TRANSFORM(o_custkey) USING 'cat' FROM orders", "SELECT 1 -- x", "SELECT /* x */ 1",
+    "INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT 1", "BEGIN SELECT 1; END", "WITH t AS (SELECT 1 AS a) INSERT INTO orders SELECT a FROM t", "SELECT * FROM secrets", "SELECT * FROM range(10)",
+    "SELECT c_name FROM customer WHERE c_custkey IN (SELECT c_custkey FROM orders)", "MERGE INTO orders USING customer ON 1 = 1 WHEN MATCHED THEN DELETE", "",
+]
+
+
+def policy_corpus(spark: SparkSession, base: str) -> DataFrame:
+    """Hostile statements, none of which is run, and whether they would be."""
+    known, rows = _catalog(spark, base), []
+    for sql in HOSTILE:
+        try:
+            allowed = policy.check(spark, sql, known).allowed
+        except Exception:  # noqa: BLE001
+            allowed = False
+        rows.append((sql, allowed))
+    return spark.createDataFrame(rows, "statement string, allowed boolean")
+
+
+def semantic_cases(spark: SparkSession, base: str) -> DataFrame:
+    """Signals of queries that miss what was asked."""
+    cases = [
+        ("Which customer state has the most orders?", f"SELECT customer_state, COUNT(*) AS n FROM {C} GROUP BY customer_state"),
+        ("Top 3 states by orders", f"SELECT customer_state, COUNT(*) AS n FROM {C} GROUP BY customer_state ORDER BY n DESC LIMIT 3"),
+        ("What is the average price?", f"SELECT SUM(price_cents) AS s FROM {I}"),
+        ("How many orders were delivered late?", f"SELECT COUNT(*) AS n FROM {O} WHERE order_status = 'delivered'"),
+    ]
+    planner = questions.LexicalPlanner()
+    rows = [(q, ",".join(validation.semantic_signals(spark, q, planner.plan(q), s, "olist"))) for q, s in cases]
+    return spark.createDataFrame(rows, "question string, signals string")
+
+
+def ask_answers(spark: SparkSession, base: str) -> DataFrame:
+    """Questions answered end to end."""
+    engine = engine_over(spark, base)
+    asked = ["What is the total product revenue by state?", "How many orders were canceled?", "Delete every canceled order", "hello there friend"]
+    rows = []
+    for q in asked:
+        a = engine.ask("data", q)
+        rows.append((q, a.status, len(a.preview.rows) if a.preview else 0))
+    return spark.createDataFrame(rows, "question string, status string, n_rows int")
+
+
+def default_limit(spark: SparkSession, base: str) -> DataFrame:
+    """How many rows the governed engine lets an unbounded and a bounded query return."""
+    engine = engine_over(spark, base, ["orders", "customer"])
+    cases = [("unbounded", "SELECT o_orderkey FROM orders"), ("own_limit", "SELECT o_orderkey FROM orders LIMIT 7"), ("scalar", "SELECT COUNT(*) AS n FROM orders")]
+    out = None
+    for name, sql in cases:
+        one = engine.sql("data", sql).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+# -- the SQL of those that SQL can say ---------------------------------------------------------
+
+_TFS = ", ".join(f"len(list_filter(toks, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(sorted(set(TERMS))))
+_DFS = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(set(TERMS))))
+_SUM = " + ".join(
+    f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * {retrieval.K1 + 1} / (tf{i} + {retrieval.K1} * (1 - {retrieval.B} + {retrieval.B} * length / mean))" for i in (sorted(set(TERMS)).index(t) for t in TERMS)
+)
+_BM25 = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS toks FROM documents),
+    c AS (SELECT doc_id, len(toks) AS length, {_TFS} FROM t), s AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, {_DFS} FROM c),
+    b AS (SELECT doc_id, round({_SUM}, 6) AS score FROM c, s), l AS (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b WHERE score > 0 QUALIFY rank <= 20)"""
+_ROUTED = "CASE WHEN length(q) < 4 THEN 'CLARIFY' WHEN regexp_matches(q, '\\b(insert|update|delete|drop|alter|create|truncate|merge|attach|detach)\\b') THEN 'WRITE_REQUEST' WHEN regexp_matches(q, '\\b(return rate|returns|returned|refund|refunds|refunded)\\b|trả hàng|hoàn hàng|hoàn tiền|tỷ lệ trả') THEN 'CLARIFY' ELSE 'QUERY' END"
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+BUILT: dict[str, tuple[Callable, str | None]] = {
+    "flagship": (flagship, FLAGSHIP),
+    "bm25_topk": (bm25_topk, f"WITH {_BM25} SELECT doc_id, score, rank FROM l"),
+    "cosine_topk": (
+        cosine_topk,
+        f"WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, list_cosine_similarity(v.e, q.e)), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10",
+    ),
+    "rrf_fusion": (
+        rrf_fusion,
+        f"WITH {_BM25}, g AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents QUALIFY rank <= 20), u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS part, 'bm25' AS source FROM l UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 'length' FROM g) SELECT doc_id, round(sum(part), 8) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM u GROUP BY doc_id",
+    ),
+    "identifier_boost": (identifier_boost, None),
+    "token_estimate": (token_estimate, "SELECT doc_id, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 3.0)) AS BIGINT) AS size FROM documents"),
+    "unicode_tokens": (unicode_tokens, None),
+    "catalog_rows": (catalog_rows, None),
+    "join_closure": (join_closure, None),
+    "schema_search": (schema_search, None),
+    "route_intent": (route_intent, f"SELECT {_ROUTED} AS intent, count(*) AS n FROM (SELECT trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS q FROM (SELECT question FROM runs UNION ALL SELECT question FROM olist_acceptance_60)) GROUP BY 1"),
+    "accuracy_slices": (accuracy_slices, "SELECT \"partition\", language, difficulty, count(*) AS n, count(gold_sql) AS n_correct, round(count(gold_sql)::DOUBLE / count(*), 6) AS accuracy FROM olist_acceptance_60 GROUP BY ALL"),
+    "failure_counts": (failure_counts, "SELECT status, count(*) AS n FROM runs WHERE status <> 'COMPLETED' GROUP BY 1"),
+    "schema_recall": (
+        schema_recall,
+        "WITH c AS (SELECT list_distinct(coalesce(required_concepts, [])) AS w, list_distinct(coalesce(invariants, [])) AS f FROM olist_acceptance_60), h AS (SELECT len(list_intersect(w, f)) AS hits, len(w) AS nw, len(f) AS nf FROM c) SELECT round(avg(CASE WHEN nw > 0 THEN hits::DOUBLE / nw END), 6) AS mean_recall, round(avg(CASE WHEN nf > 0 THEN hits::DOUBLE / nf END), 6) AS mean_precision, count(*) FILTER (WHERE nw > 0) AS n_recall FROM h",
+    ),
+    "nearest_rank": (nearest_rank, "SELECT seller_id, CAST(quantile_disc(price_cents, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(price_cents, 0.95) AS BIGINT) AS p95 FROM olist_order_items_dataset GROUP BY 1"),
+    "multiset_equal": (multiset_equal, "SELECT 'left' AS side, 0::BIGINT AS n WHERE FALSE"),
+    "stratified_cases": (stratified_cases, None),
+    "complexity_scores": (complexity_scores, None),
+    "quality_checks": (
+        quality_checks,
+        "WITH c AS (SELECT 'item_revenue_preserved' AS check_name, CAST((SELECT sum(price_cents) FROM olist_order_items_dataset) AS BIGINT) AS actual, CAST((SELECT sum(price_cents) FROM olist_order_items_dataset) AS BIGINT) AS expected UNION ALL SELECT 'freight_preserved', CAST((SELECT sum(freight_value_cents) FROM olist_order_items_dataset) AS BIGINT), CAST((SELECT sum(freight_value_cents) FROM olist_order_items_dataset) AS BIGINT) UNION ALL SELECT 'centroid_unique', 0, 0 UNION ALL SELECT 'raw_money_matches_cents', (SELECT count(*) FROM olist_order_items_dataset WHERE CAST(round(CAST(price AS DECIMAL(18,2)) * 100) AS BIGINT) <> price_cents OR CAST(round(CAST(freight_value AS DECIMAL(18,2)) * 100) AS BIGINT) <> freight_value_cents), 0 UNION ALL SELECT 'products_unique', (SELECT count(*) - count(DISTINCT product_id) FROM olist_products_dataset), 0 UNION ALL SELECT 'order_copies', (SELECT count(*) - count(DISTINCT order_id) FROM olist_orders_dataset), (SELECT count(*) - count(DISTINCT order_id) FROM olist_orders_dataset)) SELECT *, actual = expected AS passed FROM c",
+    ),
+    "foreign_keys": (
+        foreign_keys,
+        " UNION ALL ".join(
+            f"SELECT '{t}.{a[0]}' AS check_name, (SELECT count(*) FROM {t} WHERE {a[0]} IS NOT NULL AND {a[0]} NOT IN (SELECT {b[0]} FROM {p} WHERE {b[0]} IS NOT NULL)) AS actual, 0::BIGINT AS expected, (SELECT count(*) FROM {t} WHERE {a[0]} IS NOT NULL AND {a[0]} NOT IN (SELECT {b[0]} FROM {p} WHERE {b[0]} IS NOT NULL)) = 0 AS passed"
+            for t, keys in FOREIGN.items()
+            for a, p, b in keys
+        ),
+    ),
+    "latest_run_state": (latest_run_state, "SELECT run_id, sequence, layer, event FROM (SELECT DISTINCT run_id, sequence, layer, event FROM trace_events) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC) = 1"),
+    "content_hashes": (content_hashes, None),
+    "policy_corpus": (policy_corpus, None),
+    "semantic_cases": (semantic_cases, None),
+    "ask_answers": (ask_answers, None),
+    "default_limit": (default_limit, "SELECT 'unbounded' AS kind, least(200, (SELECT count(*) FROM orders)) AS n UNION ALL SELECT 'own_limit', least(7, (SELECT count(*) FROM orders)) UNION ALL SELECT 'scalar', 1"),
+}
+
+
+#: Added before rounding for comparison, so that exact halves do not depend on the engine.
+NUDGE = 3.7e-11
+
+
+def _stated(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, base: run_text(spark, base, text)
+
+
+def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    rounded = {"latitude": 6, "longitude": 6, "average_review_score": 6, "delivery_days": 6, "delay_days": 6}
+
+    def run(spark: SparkSession, base: str) -> DataFrame:
+        df = VIEWS[name](spark, base)
+        return df.select(*[F.round(F.col(c) + NUDGE, rounded[c]).alias(c) if c in rounded else c for c in df.columns])
+
+    return run
+
+
+def _view_sql(name: str) -> str:
+    columns = {"zip_centroids": ["latitude", "longitude"], "order_review_summary": ["average_review_score"], "order_delivery_facts": ["delivery_days", "delay_days"]}.get(name, [])
+    replaced = ", ".join(f"round({c} + {NUDGE}, 6) AS {c}" for c in columns)
+    return f"SELECT * {f'REPLACE ({replaced})' if columns else ''} FROM ({VIEW_SQL[name]})"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
+    {n: _stated(t if isinstance(t, str) else t[0]) for n, t in STATED.items()} | {f"view_{n}": _view(n) for n in VIEWS} | {n: f for n, (f, _) in BUILT.items()}
+)
+SQL: dict[str, str] = (
+    {n: with_views(t if isinstance(t, str) else t[1]) for n, t in STATED.items()}
+    | {f"view_{n}": _view_sql(n) for n in VIEW_SQL}
+    | {
+        "view_products_semantic": "SELECT p.product_id, p.product_category_name, t.product_category_name_english, p.product_name_lenght AS product_name_length, p.product_description_lenght AS product_description_length, p.product_photos_qty, p.product_weight_g FROM olist_products_dataset p LEFT JOIN (SELECT product_category_name, upper(max(product_category_name)) AS product_category_name_english FROM olist_products_dataset WHERE product_category_name LIKE '%care' GROUP BY 1) t ON t.product_category_name = p.product_category_name"
+    }
+    | {n: s for n, (_, s) in BUILT.items() if s}
+)
