@@ -32,7 +32,7 @@ METRICS = {
     "delivery": ["delivery", "delivered", "giao hàng", "giao trễ"],
 }
 DIMENSIONS = {
-    "category": ["category", "danh mục"],
+    "category": ["category", "categories", "danh mục"],
     "state": ["state", "bang", "tiểu bang"],
     "seller": ["seller", "người bán"],
     "customer": ["customer", "khách hàng"],
