@@ -47,12 +47,15 @@ def band_hashes(tokens: list[str]) -> list[int]:
     """One hash per band of the minwise signature."""
     a, b = _family(BANDS * ROWS)
     base = np.array([xxhash.xxh64_intdigest(s) for s in shingles(tokens)], dtype="uint64")
-    with np.errstate(over="ignore"):
-        mixed = base[None, :] * a[:, None] + b[:, None]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-    low = mixed.min(axis=1).reshape(BANDS, ROWS)
+    low = np.full(BANDS * ROWS, np.iinfo("uint64").max, dtype="uint64")
+    for start in range(0, len(base), 10_000):  # a very long list is taken in pieces
+        with np.errstate(over="ignore"):
+            mixed = base[None, start : start + 10_000] * a[:, None] + b[:, None]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+        low = np.minimum(low, mixed.min(axis=1))
+    low = low.reshape(BANDS, ROWS)
     return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(r.tobytes())))) for r in low]
 
 

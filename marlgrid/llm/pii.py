@@ -17,7 +17,7 @@ any length are read whole.
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -266,13 +266,14 @@ def spans(source: str | None) -> list[tuple[str, int, int]]:
     plain = plain_form(source)
     text = plain.text
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint and in order
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        at = bisect_left(taken, (a, b))
+        return (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b)
 
     def take(a: int, b: int, kind: str) -> None:
-        taken.append((a, b))
+        insort(taken, (a, b))
         found.append((a, b, kind))
 
     low = text.lower()
@@ -317,9 +318,8 @@ def spans(source: str | None) -> list[tuple[str, int, int]]:
                 take(*span, "name")
     # A signature ends where nothing marks it, so it comes last and yields to every other span.
     named(_SIGNATURE)
-    return sorted((kind, plain.place(a), plain.place(b - 1) + 1) for a, b, kind in found) if plain.at is None else sorted(
-        (kind, plain.place(a), _source_end(plain, b)) for a, b, kind in found
-    )
+    placed = [(kind, a, b) if plain.at is None else (kind, plain.place(a), _source_end(plain, b)) for a, b, kind in found]
+    return sorted(placed, key=lambda s: s[1:])
 
 
 def _source_end(plain: Plain, b: int) -> int:
