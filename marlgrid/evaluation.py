@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
+import heapq
 import math
-from collections.abc import Iterable
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +27,40 @@ def equal_rows(a: list, b: list, ordered: bool, tolerance: float = 0.0) -> bool:
     return all(len(x) == len(y) and all(_close(p, q, tolerance) for p, q in zip(x, y)) for x, y in zip(a, b))
 
 
-def _key(value):
+def plain(value, places: int = 6) -> str:
+    """One text for values that count as equal: numbers to ``places`` decimals, the rest by type."""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return ("number", round(float(value), 6) if math.isfinite(value) else str(value))
-    return (type(value).__name__, value)
+        return f"# {float(value):.{places}f}" if math.isfinite(value) else f"# {value}"
+    return f"{type(value).__name__} {value!r}"
 
 
 def equal_sets(a: list, b: list, ordered: bool, widest: int = 8) -> bool:
-    """Equality as multisets under some order of the columns (tried up to ``widest`` columns)."""
-    if len(a) != len(b):
+    """Equality as multisets under some order of the columns (sought up to ``widest`` columns).
+
+    Only columns that hold the same values, as often, can stand for each other,
+    so columns are paired by what they hold and few orders remain to be tried.
+    """
+    if len(a) != len(b) or (a and len(a[0]) != len(b[0])):
         return False
     if not a:
         return True
-    if len(a[0]) != len(b[0]):
+    left, right = ([[plain(v) for v in column] for column in zip(*rows)] for rows in (a, b))
+    collect = list if ordered else Counter
+    wanted = collect(zip(*right))
+    if collect(zip(*left)) == wanted:
+        return True
+    width = len(left)
+    if width > widest:
         return False
+    holds = [(collect(column)) for column in left]
+    fits = [[i for i in range(width) if holds[i] == collect(column)] for column in right]
 
-    def shaped(rows: list, order: Iterable[int]) -> list:
-        keyed = [tuple(_key(r[i]) for i in order) for r in rows]
-        return keyed if ordered else sorted(keyed, key=repr)
+    def pair(chosen: tuple[int, ...]) -> bool:
+        if len(chosen) == width:
+            return collect(zip(*(left[i] for i in chosen))) == wanted
+        return any(pair((*chosen, i)) for i in fits[len(chosen)] if i not in chosen)
 
-    wanted, straight = shaped(b, range(len(b[0]))), tuple(range(len(a[0])))
-    if shaped(a, straight) == wanted:
-        return True
-    return len(straight) <= widest and any(shaped(a, p) == wanted for p in itertools.permutations(straight))
+    return pair(())
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -107,14 +119,15 @@ def has_order(spark: SparkSession, sql: str) -> bool:
 
 
 def quotas(sizes: dict[str, int], total: int, floor: int = 5) -> dict[str, int]:
-    """Cases per group: up to ``floor`` each, the rest where the most cases wait per place."""
-    out = {g: min(floor, n) for g, n in sizes.items()}
-    while sum(out.values()) < total:
-        open_ = [g for g in sizes if out[g] < sizes[g]]
-        if not open_:
-            raise ValueError("too few cases")
-        out[max(open_, key=lambda g: (sizes[g] / out[g], g))] += 1
-    return out
+    """Cases per group: up to ``floor`` each, every further one where most cases wait per place."""
+    if sum(sizes.values()) < total:
+        raise ValueError("too few cases")
+    places = pd.Series({g: min(floor, n) for g, n in sizes.items()}, dtype="int64")
+    # The k-th place of a group is worth size/k to it: all places beyond the floor in one ranking.
+    further = [(n / k, g) for g, n in sizes.items() for k in range(places[g], n)]
+    for _, g in heapq.nlargest(max(0, total - int(places.sum())), further):
+        places[g] += 1
+    return {g: int(n) for g, n in places.items()}
 
 
 def stratified(cases: DataFrame, group: str, order: list[str], total: int, floor: int = 5) -> DataFrame:

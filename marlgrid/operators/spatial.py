@@ -164,6 +164,9 @@ def sweep(p_lat, p_lng, b_lat, b_lng, radius_m: float) -> Iterator[tuple[np.ndar
                     build = np.arange(size) - np.repeat(np.cumsum(part) - part, part) + low[probe]
                 build = order[build]
                 near = great_circle_m(p_lat[probe], p_lng[probe], b_lat[build], b_lng[build]) <= radius_m
+                # Of a build row and its copies beyond the date line, the nearest in longitude counts.
+                turn = b_lng[build] - p_lng[probe]
+                near &= (turn > -180.0) & (turn <= 180.0)
                 if near.any():
                     yield probe[near], build[near]
             begin = stop

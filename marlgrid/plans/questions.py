@@ -39,6 +39,14 @@ DIMENSIONS = {
     "time": ["year", "month", "năm", "tháng"],
     "payment type": ["payment type", "payment method", "phương thức thanh toán"],
 }
+STATED_LIMIT = re.compile(r"\b(?:top|limit|return|trả về)\s+(\d+)\b|\b(\d+)\s+(?:\w+\s+){0,3}(?:cao nhất|hàng đầu|nhiều .+ nhất)\b")
+MOST_PATTERN, MOST_WORDS = re.compile(r"\bnhiều\b.{0,40}\bnhất\b"), ("most", "highest", "cao nhất")
+SCALAR_MAXIMUM = ("what is the maximum", "maximum number", "lớn nhất từng")
+LATE = ("delivered late", "late delivery", "giao trễ")
+TIES = ("tie-break", "hòa thì")
+COMPARED = ("compare", "so sánh")
+VIETNAMESE = ("đơn", "hàng", "doanh thu", "khách", "phí", "điểm", "nhiều")
+ENGLISH = re.compile(r"\b(the|how|what|which|orders?|customers?)\b")
 STATUSES = ["delivered", "canceled", "unavailable", "giao thành công", "đã hủy"]
 
 
@@ -105,15 +113,13 @@ def route_column(question: Column) -> Column:
     )
 
 
-def language(question: str) -> str:
-    text = question.casefold()
-    if any(w in text for w in ("đơn", "hàng", "doanh thu", "khách", "phí", "điểm", "nhiều")):
-        return "vi"
-    return "en" if re.search(r"\b(the|how|what|which|orders?|customers?)\b", text) else "other"
+def _said(text: str, words) -> bool:
+    return any(w in text for w in words)
 
 
-def _hints(text: str, table: dict[str, list[str]]) -> tuple[str, ...]:
-    return tuple(name for name, words in table.items() if any(w in text for w in words))
+def language(question: str) -> str:
+    text = question.casefold()
+    return "vi" if _said(text, VIETNAMESE) else "en" if ENGLISH.search(text) else "other"
 
 
 class LexicalPlanner:
@@ -121,17 +127,19 @@ class LexicalPlanner:
 
     def plan(self, question: str) -> QuestionPlan:
         text = question.casefold()
-        stated = re.search(r"\b(?:top|limit|return|trả về)\s+(\d+)\b|\b(\d+)\s+(?:\w+\s+){0,3}(?:cao nhất|hàng đầu|nhiều .+ nhất)\b", text)
-        most = bool(re.search(r"\bnhiều\b.{0,40}\bnhất\b", text)) or any(w in text for w in ("most", "highest", "cao nhất"))
-        scalar_maximum = any(w in text for w in ("what is the maximum", "maximum number", "lớn nhất từng"))
-        limit = int(next(g for g in stated.groups() if g)) if stated else (1 if most and not scalar_maximum else None)
-        late = any(w in text for w in ("delivered late", "late delivery", "giao trễ"))
-        filters = tuple(s for s in STATUSES if s in text and not (late and s == "delivered")) + (("late",) if late else ())
-        sort = (("metric desc",) if "top" in text or most else ()) + (("dimension asc",) if any(w in text for w in ("tie-break", "hòa thì")) else ())
-        metrics, dimensions = _hints(text, METRICS), _hints(text, DIMENSIONS)
-        ranked = (most or bool(stated)) and not scalar_maximum
-        task = "comparison" if any(w in text for w in ("compare", "so sánh")) else "ranking" if ranked else "aggregation"
-        return QuestionPlan(question, task, metrics, dimensions, filters, sort, limit, tuple(re.findall(r"\b20\d{2}\b", text)), language(question))
+        stated = STATED_LIMIT.search(text)
+        most = _said(text, MOST_WORDS) or bool(MOST_PATTERN.search(text))
+        one_value = _said(text, SCALAR_MAXIMUM)
+        late = _said(text, LATE)
+        metrics, dimensions = (tuple(n for n, words in table.items() if _said(text, words)) for table in (METRICS, DIMENSIONS))
+        filters = [s for s in STATUSES if s in text]
+        if late:  # lateness asks about every delivery, so a status must not narrow it
+            filters = [s for s in filters if s != "delivered"] + ["late"]
+        ranked = not one_value and (most or stated is not None)
+        limit = int(stated[1] or stated[2]) if stated else 1 if ranked else None
+        sort = ["metric desc"] * (most or "top" in text) + ["dimension asc"] * _said(text, TIES)
+        task = "comparison" if _said(text, COMPARED) else "ranking" if ranked else "aggregation"
+        return QuestionPlan(question, task, metrics, dimensions, tuple(filters), tuple(sort), limit, tuple(re.findall(r"\b20\d{2}\b", text)), language(question))
 
 
 # How the compiler states each metric and dimension: expression, tables that hold it.

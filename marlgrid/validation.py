@@ -85,8 +85,28 @@ def shape(spark: SparkSession, sql: str) -> Shape:
     return Shape(order, limit, frozenset(functions), frozenset(names), distinct, outputs, sql.casefold())
 
 
-def _has(text: str, *phrases: str) -> bool:
-    return any(p in text for p in phrases)
+# Phrases of a question that a rule listens to.
+PHRASES = {
+    "ranks": ("most ", "top ", "cao nhất", "lớn nhất"),
+    "no_ranking": ("là bao nhiêu", "what is the maximum", "maximum number"),
+    "average": ("average", "trung bình", "mean"),
+    "maximum": ("lớn nhất từng", "what is the maximum", "maximum number"),
+    "amount": ("bao nhiêu", "what is", "number"),
+    "tie": ("alphabetical tie-break", "hòa thì", "tie-break by"),
+    "returning": ("quay lại", "returning customer"),
+    "customer": ("customer", "khách hàng"),
+    "late": ("giao trễ", "giao hàng trễ", "late deliver", "delivered late"),
+    "several": ("nhiều", "more than one", "> 1"),
+    "several_photos": ("more than one", "nhiều hơn một", "> 1"),
+    "record": (" record",),
+    "freight": ("freight",),
+    "per_order": ("per order",),
+    "review_row": ("review row",),
+    "photo": ("photo",),
+    "which_month": ("tháng nào",),
+}
+MOST = re.compile(r"\bnhiều\b.{0,40}\bnhất\b")
+TOP_N = re.compile(r"\btop\s+(\d+)\b")
 
 
 def semantic_signals(spark: SparkSession, question: str, plan: QuestionPlan, sql: str, domain: str | None = None) -> tuple[str, ...]:
@@ -95,34 +115,45 @@ def semantic_signals(spark: SparkSession, question: str, plan: QuestionPlan, sql
     Rules of a domain apply only where the domain is named.  The query is the one
     that was written, before any default limit.
     """
-    q, s, orders = question.casefold(), shape(spark, sql), domain == "olist"
-    average = _has(q, "average", "trung bình", "mean") or any("avg" in m or "average" in m for m in plan.metrics)
-    scalar_maximum = _has(q, "lớn nhất từng", "what is the maximum", "maximum number")
-    ranks = (bool(re.search(r"\bnhiều\b.{0,40}\bnhất\b", q)) or _has(q, "most ", "top ", "cao nhất", "lớn nhất")) and not _has(q, "là bao nhiêu", "what is the maximum", "maximum number")
-    top = re.search(r"\btop\s+(\d+)\b", q)
-    returning = _has(q, "quay lại", "returning customer") and _has(q, "customer", "khách hàng")
-    facts_view = "customer_order_facts" in s.names
-    late = _has(q, "giao trễ", "giao hàng trễ", "late deliver", "delivered late")
-    rules = [
-        ("RANKING_ORDER_MISSING", ranks and not s.sorted_by),
-        ("RANKING_PRIMARY_NOT_DESC", ranks and bool(s.sorted_by) and not s.sorted_by[0]),
-        ("RANKING_LIMIT_MISMATCH", ranks and s.limit != (plan.limit or (int(top[1]) if top else 1))),
-        ("ALPHABETICAL_TIE_BREAK_MISSING", _has(q, "alphabetical tie-break", "hòa thì", "tie-break by") and (len(s.sorted_by) < 2 or s.sorted_by[1])),
-        ("TOP_K_MISSING_ORDER", (plan.task == "ranking" or plan.limit is not None) and not s.sorted_by),
-        ("TOP_K_MISSING_LIMIT", plan.limit is not None and s.limit is None),
-        ("AVERAGE_AGGREGATE_MISSING", average and not s.functions & {"avg", "mean"}),
-        ("CUSTOMER_IDENTITY_NOT_UNIQUE", orders and returning and "customer_unique_id" not in s.names and not facts_view),
-        ("RETURNING_CUSTOMER_REPEAT_FILTER_MISSING", orders and returning and facts_view and not re.search(r"order_count\s*>\s*1\b", s.text)),
-        ("RETURNING_CUSTOMER_OUTPUT_SHAPE", orders and returning and s.outputs != 1),
-        ("DELIVERY_POPULATION_NARROWED_BY_STATUS", orders and late and bool(re.search(r"order_status\s*=\s*'delivered'", s.text))),
-        ("SCALAR_MAXIMUM_AGGREGATE_MISSING", scalar_maximum and _has(q, "bao nhiêu", "what is", "number") and "max" not in s.functions),
-        ("RECORD_COUNT_MUST_NOT_BE_DISTINCT", " record" in f" {q}" and s.distinct),
-        ("FREIGHT_PER_ORDER_GRAIN_MISMATCH", orders and "freight" in q and "per order" in q and average and not {"order_item_totals", "freight_cents"} <= s.names),
-        ("MULTIPLE_REVIEW_ROWS_RULE_MISSING", orders and "review row" in q and _has(q, "nhiều", "more than one", "> 1") and not {"order_review_summary", "review_row_count"} <= s.names),
-        ("PRODUCT_PHOTO_QUANTITY_FILTER_MISSING", orders and "photo" in q and _has(q, "more than one", "nhiều hơn một", "> 1") and "product_photos_qty" not in s.names),
-        ("YEAR_MONTH_CONTEXT_LOST", "tháng nào" in q and (bool(re.search(r"date_format\s*\([^)]*'mm'", s.text)) or "month" in s.functions)),
-    ]
-    return tuple(name for name, fires in rules if fires)
+    text = f" {question.casefold()}"
+    said = {topic for topic, phrases in PHRASES.items() if any(p in text for p in phrases)}
+    if MOST.search(text):
+        said.add("ranks")
+    if any("avg" in m or "average" in m for m in plan.metrics):
+        said.add("average")
+    s = shape(spark, sql)
+    raised: list[str] = []
+
+    def rule(asked: bool, **conflicts: bool) -> None:
+        if asked:
+            raised.extend(name for name, conflict in conflicts.items() if conflict)
+
+    top = TOP_N.search(text)
+    rule(
+        "ranks" in said and "no_ranking" not in said,
+        RANKING_ORDER_MISSING=not s.sorted_by,
+        RANKING_PRIMARY_NOT_DESC=s.sorted_by[:1] == (False,),
+        RANKING_LIMIT_MISMATCH=s.limit != (plan.limit or (int(top[1]) if top else 1)),
+    )
+    rule("tie" in said, ALPHABETICAL_TIE_BREAK_MISSING=s.sorted_by[1:2] != (False,))
+    rule(plan.task == "ranking" or plan.limit is not None, TOP_K_MISSING_ORDER=not s.sorted_by, TOP_K_MISSING_LIMIT=plan.limit is not None and s.limit is None)
+    rule("average" in said, AVERAGE_AGGREGATE_MISSING=not s.functions & {"avg", "mean"})
+    rule({"maximum", "amount"} <= said, SCALAR_MAXIMUM_AGGREGATE_MISSING="max" not in s.functions)
+    rule("record" in said, RECORD_COUNT_MUST_NOT_BE_DISTINCT=s.distinct)
+    rule("which_month" in said, YEAR_MONTH_CONTEXT_LOST="month" in s.functions or bool(re.search(r"date_format\s*\([^)]*'mm'", s.text)))
+    if domain == "olist":
+        facts = "customer_order_facts" in s.names
+        rule(
+            {"returning", "customer"} <= said,
+            CUSTOMER_IDENTITY_NOT_UNIQUE=not facts and "customer_unique_id" not in s.names,
+            RETURNING_CUSTOMER_REPEAT_FILTER_MISSING=facts and not re.search(r"order_count\s*>\s*1\b", s.text),
+            RETURNING_CUSTOMER_OUTPUT_SHAPE=s.outputs != 1,
+        )
+        rule("late" in said, DELIVERY_POPULATION_NARROWED_BY_STATUS=bool(re.search(r"order_status\s*=\s*'delivered'", s.text)))
+        rule({"freight", "per_order", "average"} <= said, FREIGHT_PER_ORDER_GRAIN_MISMATCH=not {"order_item_totals", "freight_cents"} <= s.names)
+        rule({"review_row", "several"} <= said, MULTIPLE_REVIEW_ROWS_RULE_MISSING=not {"order_review_summary", "review_row_count"} <= s.names)
+        rule({"photo", "several_photos"} <= said, PRODUCT_PHOTO_QUANTITY_FILTER_MISSING="product_photos_qty" not in s.names)
+    return tuple(raised)
 
 
 def fan_out(spark: SparkSession, sql: str, catalog: Catalog) -> bool:
