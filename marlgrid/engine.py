@@ -48,15 +48,16 @@ class Engine:
         self.planner, self.writer = planner or LexicalPlanner(), writer or TemplateWriter()
         self._catalogs: dict[str, Catalog] = {}
         self._domains: dict[str, str | None] = {}
+        self._frames: dict[str, dict[str, DataFrame]] = {}
 
     def register(self, db_id: str, tables: dict[str, DataFrame], views: dict[str, DataFrame] | None = None, keys: dict[str, list[str]] | None = None, foreign: dict[str, list[tuple]] | None = None, domain: str | None = None) -> Catalog:
         """Make tables and views readable under their names; schemas are read, rows are not."""
         infos: list[TableInfo] = []
         for kind, group in (("table", tables), ("view", views or {})):
             for name, df in group.items():
-                df.createOrReplaceTempView(name)
                 infos.append(describe(name, df, kind, (keys or {}).get(name, ()), (foreign or {}).get(name, ())))
         self._catalogs[db_id], self._domains[db_id] = catalog(db_id, infos), domain
+        self._frames[db_id] = {**tables, **(views or {})}
         return self._catalogs[db_id]
 
     def catalog(self, db_id: str) -> Catalog:
@@ -67,6 +68,9 @@ class Engine:
         decision = policy.check(self.spark, sql, self._catalogs[db_id])
         if not decision.allowed:
             raise EngineError(ErrorClass.POLICY_VIOLATION, decision.reason)
+        # Names are bound per query: databases of one session may share them.
+        for name in decision.tables:
+            self._frames[db_id][name].createOrReplaceTempView(name)
         try:
             df = self.spark.sql(sql.strip().rstrip(";"))
         except Exception as error:  # noqa: BLE001
