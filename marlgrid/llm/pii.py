@@ -42,7 +42,7 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_SIGN = re.compile(rf"(?i)[ \t]*{_OPEN} *(?:{_AT}|@) *{_CLOSE}[ \t]*|(?<=[\w+\-]) @ (?=[\w\-]+(?:\.| ?[\[(]))|(?<=[\w+\-]) (?:arroba|a còng) (?=[\w\-]+(?:\.| ?[\[(]| (?:{_DOT}) ))")
 _DOT_SIGN = re.compile(rf"(?i)(?<=[\w])[ \t]*{_OPEN} *(?:{_DOT}|\.) *{_CLOSE}[ \t]*(?=\w)")
 _BARE_DOT = re.compile(rf"(?i)(@[\w\-]+) (?:{_DOT}) (?=\w)")
-_SPELLED = re.compile(r"(?i)(?<!\w)(?:(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")[ ,\-]{1,2}){6,}(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?!\w)")
+_SPELLED = re.compile(r"(?i)(?<!\w)(?:(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")[ ,\-]{1,2}){7,}(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?!\w)")
 
 
 class Plain:
@@ -72,6 +72,13 @@ class Plain:
         self.text, self.at = "".join(text), places
 
 
+def _as_number(digits: list[str]) -> str:
+    """Spelled digits as a number is written, so that it reads as a phone and not as a code."""
+    text = "".join(digits)
+    head = min(4, max(2, len(text) - 7))
+    return f"({text[:head]}) {text[head:-4] if len(text) - head > 6 else text[head:head + 3]}-{text[-4:] if len(text) - head > 6 else text[head + 3:]}"
+
+
 #: Characters beyond ordinary Latin text and pictographs; without them nothing has to be folded.
 _UNUSUAL = re.compile("[\x80-\xa9\xab-\xb9\xbb-\xbf\u0250-\u1dff\u1f00-\ufffd\U00010000-\U0001efff\U0001fb00-\U0010ffff]")
 
@@ -104,7 +111,7 @@ def plain_form(source: str) -> Plain:
                 plain.splice(found)
     spelled = list(_SPELLED.finditer(plain.text)) if _DIGITS.keys() & set(re.split(r"[ ,\-]", plain.text.lower())) else []
     if spelled:
-        plain.splice([(m.start(), m.end(), "".join(_DIGITS[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))) for m in spelled])
+        plain.splice([(m.start(), m.end(), _as_number([_DIGITS[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group())])) for m in spelled])
     return plain
 
 
