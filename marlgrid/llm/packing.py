@@ -128,7 +128,7 @@ def pack(items: DataFrame, key: str, size: str, containers: DataFrame, block_ite
     while True:
         last = now == 1
         slotted = todo.withColumn("slot", (F.col("kind") * now + F.pmod(F.col("tie"), F.lit(now))).cast("int")).withColumn("container", F.lit(None).cast("string")).select(shape.names)
-        stepped = slotted.repartitionById(len(kinds) * now, F.col("slot")).mapInArrow(_superstep(step, last, block_items // FAN_IN), shape)
+        stepped = slotted.repartitionById(len(kinds) * now, F.col("slot")).mapInArrow(_superstep(step, last, block_items // min(FAN_IN, now)), shape)
         if not last:
             stepped = cut(stepped)  # read twice: what stays and what goes on
         done.append(stepped.where("container IS NOT NULL"))
