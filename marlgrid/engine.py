@@ -139,6 +139,12 @@ class Engine:
         answer.status = "SUCCEEDED" if answer.report.accepted else ENDS.get(answer.report.error, "EXECUTION_ERROR")
         return self._end(answer)
 
+    def events(self, run_id: str, after: int = 0) -> DataFrame:
+        """The stored trace of a run, from an event on."""
+        if self.trace is None:
+            raise ValueError("the engine keeps no trace")
+        return self.trace.events(run_id, after)
+
     def _end(self, answer: Answer) -> Answer:
         answer.events.append(("6", answer.status, 0.0, {"sql": answer.sql}))
         if self.trace:

@@ -264,3 +264,103 @@ def near_join(
         .sortWithinPartitions("task")
         .mapInArrow(_sweeper(radius_m, same, to_arrow_type(left_type), to_arrow_type(right_type)), found)
     )
+
+
+def _boxes(strips: Strips):
+    """Batches of (id, south, north, west, east) -> a row per strip that the box meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            south, north, west, east = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            low, high = strips.of(south), strips.of(north)
+            start, stop = strips.first[low], strips.first[high] + strips.shares[high]
+            count = stop - start
+            at = np.repeat(np.arange(len(south)), count)
+            task = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task, pa.int64()), pa.array(np.full(len(at), BUILD, "int8")), batch.column(0).take(pa.array(at))] + [pa.array(v[at]) for v in (south, north, west, east)],
+                names=["task", "role", "id", "south", "north", "west", "east"],
+            )
+
+    return run
+
+
+def _owned(strips: Strips):
+    """Batches of (id, lat, lng) -> the row in the one strip that owns it, as a box without extent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(strips.own(lat, np.arange(len(lat))), pa.int64()), pa.array(np.full(len(lat), PROBE, "int8")), batch.column(0)] + [pa.array(v) for v in (lat, lat, lng, lng)],
+                    names=["task", "role", "id", "south", "north", "west", "east"],
+                )
+
+    return run
+
+
+def _box_sweeper(left_type: pa.DataType, right_type: pa.DataType):
+    """Batches ordered by task -> (point, region) where the box holds the point."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows)
+        role, ids = group.column("role").to_numpy(), group.column("id").combine_chunks()
+        south, north, west, east = (group.column(c).to_numpy() for c in ("south", "north", "west", "east"))
+        points, boxes = np.flatnonzero(role == PROBE), np.flatnonzero(role == BUILD)
+        points = points[np.argsort(west[points], kind="stable")]
+        lng = west[points]
+        low, high = np.searchsorted(lng, west[boxes], side="left"), np.searchsorted(lng, east[boxes], side="right")
+        for box, a, b in zip(boxes, low, high):
+            for start in range(a, b, CHUNK):
+                near = points[start : min(b, start + CHUNK)]
+                near = near[(south[near] >= south[box]) & (south[near] <= north[box])]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(near)).cast(left_type), ids.take(pa.array(np.full(len(near), box))).cast(right_type)], names=["left_id", "right_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            task = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    if current is not None and task[a] != current:
+                        yield from pairs(held)
+                        held = []
+                    current = task[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def region_join(points: DataFrame, regions: DataFrame, *, point_cols: tuple[str, str, str], region_cols: tuple[str, str, str, str, str], strip_rows: int = 60_000) -> DataFrame:
+    """Pairs (left_id, right_id) of points and the bounding boxes that hold them, edges included.
+
+    ``region_cols`` names (id, south, north, west, east).  A box whose west lies
+    east of its east crosses the date line.  Boxes with a null, NaN or unordered
+    latitude hold nothing; points are as in ``near_join``.  A region of another
+    shape is its box here and a test of the pairs afterwards.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key, lat, lng = (points[c] for c in point_cols)
+    probe = points.where(key.isNotNull() & usable(lat.cast("double"), lng.cast("double"))).select(key.alias("id"), lat.cast("double").alias("lat"), lng.cast("double").alias("lng"))
+    name, south, north, west, east = (regions[c] for c in region_cols)
+    south, north, west, east = (c.cast("double") for c in (south, north, west, east))
+    sound = name.isNotNull() & (south <= north) & ~F.isnan(north) & west.between(-180, 180) & east.between(-180, 180)
+    span = F.when(west <= east, F.array(F.struct(west.alias("w"), east.alias("e")))).otherwise(F.array(F.struct(west.alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), east.alias("e"))))
+    build = regions.where(sound).select(name.alias("id"), south.alias("south"), north.alias("north"), F.explode(span).alias("s")).select("id", "south", "north", F.col("s.w").alias("west"), F.col("s.e").alias("east"))
+    left_type, right_type = probe.schema["id"].dataType, build.schema["id"].dataType
+    common = left_type if left_type == right_type else T.StringType()
+    probe, build = (x.withColumn("id", F.col("id").cast(common)) for x in (probe, build))
+    wanted = -(-probe.count() // strip_rows)
+    strips = Strips(probe.approxQuantile("lat", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted)) if wanted > 1 else [])
+    schema = T.StructType([T.StructField("task", T.LongType()), T.StructField("role", T.ByteType()), T.StructField("id", common)] + [T.StructField(c, T.DoubleType()) for c in ("south", "north", "west", "east")])
+    spread = probe.mapInArrow(_owned(strips), schema).unionAll(build.mapInArrow(_boxes(strips), schema))
+    found = T.StructType([T.StructField("left_id", left_type), T.StructField("right_id", right_type)])
+    return spread.repartitionById(len(strips), F.col("task").cast("int")).sortWithinPartitions("task").mapInArrow(_box_sweeper(to_arrow_type(left_type), to_arrow_type(right_type)), found)

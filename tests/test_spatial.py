@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from marlgrid.operators.spatial import Strips, great_circle_m, near_join
+from marlgrid.operators.spatial import Strips, great_circle_m, near_join, region_join
 
 SCHEMA = "id bigint, lat double, lng double, left_id string"
 
@@ -70,3 +70,19 @@ def test_hot_latitude_is_shared():
     assert set(own) == {1, 2, 3}
     _, tasks = strips.all_within(np.array([1.5]), 0.1)
     assert list(tasks) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("strip_rows", [60, 100_000])
+def test_regions(spark, points, strip_rows):
+    boxes = [(i, -20.02 + i / 1000, -20.015 + i / 1000, -45.01, -44.99) for i in range(12)] + [(50, -90.0, 90.0, 179.0, -179.0), (51, None, 1.0, 0.0, 1.0), (None, -90.0, 90.0, -180.0, 180.0), (52, 5.0, 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame(points, SCHEMA)
+    regions = spark.createDataFrame(boxes, "region int, south double, north double, west double, east double")
+    got = rows_of(region_join(df, regions, point_cols=("id", "lat", "lng"), region_cols=("region", "south", "north", "west", "east"), strip_rows=strip_rows))
+
+    def holds(p, b):
+        if None in b or b[1] > b[2] or not b[1] <= p[1] <= b[2]:
+            return False
+        return b[3] <= p[2] <= b[4] if b[3] <= b[4] else p[2] >= b[3] or p[2] <= b[4]
+
+    assert got == sorted((p[0], b[0]) for p in points for b in boxes if holds(p, b)) and len(got) > 100
+    assert region_join(df, regions.limit(0), point_cols=("id", "lat", "lng"), region_cols=("region", "south", "north", "west", "east")).count() == 0
