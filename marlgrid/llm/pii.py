@@ -45,6 +45,11 @@ _BARE_DOT = re.compile(rf"(?i)(@[\w\-]+) (?:{_DOT}) (?=\w)")
 _SPELLED = re.compile(r"(?i)(?<!\w)(?:(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")[ ,\-]{1,2}){7,}(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?!\w)")
 
 
+#: Lower-case marks without which no disguise of that kind is there.
+_AT_MARKS = ("arroba", "aroba", "còng", "a cong", " @ ", *(o + blank + w for o in "[({<" for blank in ("", " ") for w in ("at", "@")))
+_DOT_MARKS = ("dot", "ponto", "chấm", "cham", "punto", "point", "[.", "(.", "{.", "<.", "[ .", "( .")
+
+
 class Plain:
     """A text's plain form and the source place of each of its characters."""
 
@@ -99,16 +104,16 @@ def plain_form(source: str) -> Plain:
                 if folded != source[i]:
                     changes.append((i, i + 1, folded))
         plain.splice(changes)
-    text = plain.text
-    if "@" in text or "(" in text or "[" in text or "{" in text or "<" in text or "arroba" in text or "còng" in text:
+    low = plain.text.lower()
+    if any(mark in low for mark in _AT_MARKS):
         plain.splice([(m.start(), m.end(), "@") for m in _AT_SIGN.finditer(plain.text)])
-        if "@" in plain.text:
-            plain.splice([(m.start(), m.end(), ".") for m in _DOT_SIGN.finditer(plain.text)])
-            for _ in range(4):
-                found = [(m.end(1), m.end(), ".") for m in _BARE_DOT.finditer(plain.text)]
-                if not found:
-                    break
-                plain.splice(found)
+    if "@" in plain.text and any(mark in low for mark in _DOT_MARKS):
+        plain.splice([(m.start(), m.end(), ".") for m in _DOT_SIGN.finditer(plain.text)])
+        for _ in range(4):
+            found = [(m.end(1), m.end(), ".") for m in _BARE_DOT.finditer(plain.text)]
+            if not found:
+                break
+            plain.splice(found)
     spelled = list(_SPELLED.finditer(plain.text)) if _DIGITS.keys() & set(re.split(r"[ ,\-]", plain.text.lower())) else []
     if spelled:
         plain.splice([(m.start(), m.end(), _as_number([_DIGITS[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group())])) for m in spelled])
