@@ -5,8 +5,9 @@ grouping are the same, however they are written.  SQL is brought to clauses:
 comments, case, spacing, aliases and the order of conjuncts go, and a few equal
 expressions become one.  A question, English or Vietnamese, is folded (see
 ``unify``), its misspelt words are corrected to frequent words of the corpus, and
-cue words give its facts.  A question whose slots are not all found keeps its
-corrected words instead, so that nothing is guessed.
+cue words give its facts.  Next to them every question keeps its corrected words
+and the slots that were found, so that one with a slot unread still meets its near
+copies and nothing is guessed.
 """
 
 from __future__ import annotations
@@ -152,13 +153,16 @@ def _cue(found: set[str], table: dict[str, list[set[str]]], least: float = 1.0)
     return name
 
 
-def question_facts(question: str | None, speller: Speller) -> tuple[tuple[str, ...], bool] | None:
-    """(facts, whether all slots were found); the corrected words where they were not."""
+#: Slots that every question of the domain has; the others are absent where nothing is asked.
+NEEDED = ("metric", "month", "category", "state", "limit")
+
+
+def question_slots(question: str | None, speller: Speller) -> tuple[tuple[str, ...], dict[str, str]] | None:
+    """(corrected words, slots found); "status" and "by" are there always, empty for none."""
     if question is None or not question.strip():
         return None
     read = [speller.correct(w) for w in words(question)]
     text = " ".join(read)
-    facts: list[str] = []
     month = None
     m = re.search(r"\b(" + "|".join(MONTHS) + r") (\d{4})\b", text)
     if m:
@@ -188,11 +192,26 @@ def question_facts(question: str | None, speller: Speller) -> tuple[tuple[str, .
     bare = re.sub(r"\b(?:with freight below|freight below|phi van chuyen duoi|ke ca phi|with freight|san pham nang|product of|an item above|dang van chuyen)\b", " ", opening)
     metric = _cue(set(bare.split()), METRICS)
     status = _cue(set(re.sub(r"\bphi van chuyen\b", " ", opening).split()), STATUSES)
-    if not (metric and month and category and state and limit):
-        return tuple(read), False
-    facts = [f"metric={metric}", f"month={month}", f"category={category[1].replace(' ', '_')}", f"state={state[1]}", limit]
-    if status:
-        facts.append(f"status={status}")
-    if grouped:
-        facts.append("by seller_state")
-    return tuple(sorted(facts)), True
+    found = {"metric": metric, "month": month, "category": category and category[1].replace(" ", "_"), "state": state and state[1], "limit": limit}
+    return tuple(read), {k: v for k, v in found.items() if v} | {"status": status or "", "by": "seller_state" if grouped else ""}
+
+
+def slot_facts(slots: dict[str, str]) -> tuple[str, ...] | None:
+    """The facts of a question whose needed slots were all found."""
+    if not all(k in slots for k in NEEDED):
+        return None
+    facts = [slots["limit"], *(f"{k}={slots[k]}" for k in ("metric", "month", "category", "state"))]
+    if slots["status"]:
+        facts.append(f"status={slots['status']}")
+    if slots["by"]:
+        facts.append(f"by {slots['by']}")
+    return tuple(sorted(facts))
+
+
+def question_facts(question: str | None, speller: Speller) -> tuple[tuple[str, ...], bool] | None:
+    """(facts, whether all slots were found); the corrected words where they were not."""
+    found = question_slots(question, speller)
+    if found is None:
+        return None
+    facts = slot_facts(found[1])
+    return (found[0], False) if facts is None else (facts, True)

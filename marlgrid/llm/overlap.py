@@ -1,12 +1,13 @@
 """Same or near-same records across splits: banded minwise hashes, exact checks.
 
 Records come as token lists in one or more views (here: facts of the SQL, facts
-of the question).  Equal token lists are one class, so copies cost nothing after
+of the question, its words).  Equal token lists are one class, so copies cost nothing after
 one shuffle.  Classes are shingled (five tokens; a shorter list is one shingle),
 minwise hashed and cut into bands; classes of different splits that share a band,
 and whose ``marks`` (what must agree exactly, such as numbers) are equal, become
-candidates.  Exact Jaccard similarity of the shingle sets decides, and the
-confirmed class pairs are expanded to record pairs by two equi-joins.
+candidates.  Exact Jaccard similarity of the shingle sets decides, unless a slot
+that both have read differs, and the confirmed class pairs are expanded to record
+pairs by two equi-joins.
 
 Because the marks are part of the bucket, records of one template with different
 values never meet, and no bucket needs a cap.  Rows with a null id, or with
@@ -67,12 +68,14 @@ def _shingle_column(tokens: Column) -> Column:
 def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (train_id, eval_id) of records that share a class or a near class.
 
-    ``records`` has id, is_train (boolean), tokens (array of strings) and marks
-    (string); a record may have several rows, one per view.
+    ``records`` has id, is_train (boolean), tokens (array of strings), marks
+    (string) and, if wanted, slots (map of strings, given by the tokens); a record
+    may have several rows, one per view.
     """
+    slots = F.col("slots") if "slots" in records.columns else F.lit(None).cast("map<string,string>")
     digest = F.sha2(F.concat_ws("\x1e", F.concat_ws("\x1f", "tokens"), F.coalesce("marks", F.lit(""))), 256)
-    rows = cut(records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0").select("id", "is_train", "tokens", F.coalesce("marks", F.lit("")).alias("marks")).withColumn("class", digest))
-    classes = rows.groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("marks").alias("marks"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+    rows = cut(records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0").select("id", "is_train", "tokens", F.coalesce("marks", F.lit("")).alias("marks"), slots.alias("slots")).withColumn("class", digest))
+    classes = rows.groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("marks").alias("marks"), F.first("slots").alias("slots"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -83,8 +86,10 @@ def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     right = bands.where("in_eval").select(F.col("class").alias("eval_class"), "marks", "band", "bucket")
     near = left.join(right, ["band", "bucket", "marks"]).where("train_class != eval_class").select("train_class", "eval_class").distinct()
 
-    shapes = classes.select("class", _shingle_column(F.col("tokens")).alias("shingles"))
-    checked = near.join(shapes.select(F.col("class").alias("train_class"), F.col("shingles").alias("a")), "train_class").join(shapes.select(F.col("class").alias("eval_class"), F.col("shingles").alias("b")), "eval_class")
+    shapes = classes.select("class", _shingle_column(F.col("tokens")).alias("shingles"), "slots")
+    checked = near.join(shapes.select(F.col("class").alias("train_class"), F.col("shingles").alias("a"), F.col("slots").alias("a_slots")), "train_class").join(shapes.select(F.col("class").alias("eval_class"), F.col("shingles").alias("b"), F.col("slots").alias("b_slots")), "eval_class")
+    differs = F.exists(F.map_keys("a_slots"), lambda k: F.coalesce(F.try_element_at("a_slots", k) != F.try_element_at("b_slots", k), F.lit(False)))
+    checked = checked.where(~F.coalesce(differs, F.lit(False)))
     common = F.size(F.array_intersect("a", "b"))
     checked = checked.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("train_class", "eval_class")
     pairs = classes.where("in_train AND in_eval").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class")).unionAll(checked)

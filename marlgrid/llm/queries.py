@@ -45,7 +45,7 @@ TRAIN, EVALUATION = "dev", ["regression", "holdout"]
 
 
 def _asked(spark: SparkSession, base: str) -> DataFrame:
-    """What each acceptance record asks: a row per view (SQL, question)."""
+    """What each acceptance record asks: a row per view (SQL, facts of the question, its words)."""
     records = table(spark, base, "olist_acceptance_60").where(F.col("partition").isin(TRAIN, *EVALUATION))
     frequent = overlap.frequent_words(records, "question", asked.words)
 
@@ -56,15 +56,18 @@ def _asked(spark: SparkSession, base: str) -> DataFrame:
             for key, train, question, sql in zip(pdf["id"], pdf["is_train"], pdf["question"], pdf["gold_sql"]):
                 facts = asked.sql_facts(sql)
                 if facts:
-                    out.append((key, train, list(facts), ""))
-                found = asked.question_facts(question, speller)
+                    out.append((key, train, list(facts), "", {}))
+                found = asked.question_slots(question, speller)
                 if found:
-                    tokens, whole = found
-                    # Corrected words are compared only where all numbers agree.
-                    out.append((key, train, list(tokens), "" if whole else " ".join(sorted(w for w in tokens if w.isdigit()))))
-            yield pd.DataFrame(out, columns=["id", "is_train", "tokens", "marks"])
-
-    return records.select("id", (F.col("partition") == TRAIN).alias("is_train"), "question", "gold_sql").mapInPandas(read, "id string, is_train boolean, tokens array<string>, marks string")
+                    tokens, slots = found
+                    facts = asked.slot_facts(slots)
+                    if facts:
+                        out.append((key, train, list(facts), "", {}))
+                    # Corrected words are compared only where all numbers and all slots read on both sides agree.
+                    out.append((key, train, list(tokens), " ".join(sorted(w for w in tokens if w.isdigit())), slots))
+            yield pd.DataFrame(out, columns=["id", "is_train", "tokens", "marks", "slots"])
+
+    return records.select("id", (F.col("partition") == TRAIN).alias("is_train"), "question", "gold_sql").mapInPandas(read, "id string, is_train boolean, tokens array<string>, marks string, slots map<string,string>")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

@@ -63,6 +63,30 @@ def test_pairs_against_brute_force(spark):
     assert overlap.cross_pairs(df.limit(0)).count() == 0
 
 
+def test_question_with_an_unread_slot_meets_its_near_copy(spark, tmp_path):
+    whole = "Doanh thu sản phẩm theo cents là bao nhiêu từ các đơn đã giao thuộc danh mục sports storage của khách hàng ở bang RO mua vào tháng 1 năm 2022 tốn hơn 5376700 cents kể cả phí?"
+    unread = whole.replace("Doanh", "Dqqxnh")  # no metric is read
+    speller = asked.Speller(dict.fromkeys(asked.words(whole), 9))
+    assert asked.question_facts(whole, speller)[1] and not asked.question_facts(unread, speller)[1]
+    held = {
+        "near": unread,
+        "number": unread.replace("5376700", "5376800"),
+        "state": unread.replace("RO", "RJ"),
+        "grouped": unread.replace("?", ", chia theo bang người bán?"),
+        "status": unread.replace("đã giao", "đã hủy"),
+    }
+    rows = [("dev", "dev", whole, None), *((k, "holdout", q, None) for k, q in held.items())]
+    spark.createDataFrame(rows, "id string, partition string, question string, gold_sql string").write.parquet(f"{tmp_path}/olist_acceptance_60.parquet")
+    assert [tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()] == [("dev", "near")]
+
+
+def test_slot_read_on_both_sides_decides(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("t", True, words, "", {"state": "am", "by": ""}), ("same", False, words[1:], "", {"state": "am", "by": ""}), ("unread", False, words[2:], "", {"by": ""}), ("other", False, words[3:], "", {"state": "ap", "by": ""}), ("by", False, words[4:], "", {"by": "seller_state"})]
+    df = spark.createDataFrame(rows, "id string, is_train boolean, tokens array<string>, marks string, slots map<string,string>")
+    assert sorted(r.eval_id for r in overlap.cross_pairs(df).collect()) == ["same", "unread"]
+
+
 def test_best_fit():
     rng = np.random.default_rng(6)
     sizes = np.sort(rng.integers(1, 400, 3000))[::-1]
