@@ -123,9 +123,11 @@ def plain_form(source: str) -> Plain:
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
 
 _ID_VALUE = r"(?:[A-Z]{1,3} ?)?\d(?:[\d.\-/ ]{5,18})[\dXx](?![\w])"
-_ID_LABEL = r"\b(?:CPF|CNPJ|RG|SSN|CCCD|CMND|doc|documento|document|ID(?: number| on file| no\.?)?|Registered under|số giấy tờ|giấy tờ|identidade|passport|passaporte|hộ chiếu)(?: do titular| da titular| of record)?"
+_ID_LABEL = r"\b(?:CPF|CNPJ|RG|SSN|CCCD|CMND|doc|documento|document|ID(?: number| on file| no\.?)?|Registered under|số giấy tờ|giấy tờ|căn cước(?: công dân)?|chứng minh nhân dân|identidade|passport|passaporte|hộ chiếu)(?: do titular| da titular| of record)?"
 _ID_LABELLED = re.compile(rf"(?i:{_ID_LABEL}) ?[:=#]? ?({_ID_VALUE}|[A-Z]{{2}}\d{{6,9}}\b)")
-_ID_SHAPE = re.compile(r"(?<![\w.,/\-])(?:\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|(?:000|666|9\d\d)([\-. ])\d{2}\1\d{4}|AX\d{9}|0\d{3}-\d{4}-\d{4}|000 \d{3} \d{3} \d{3}|000\d{9})(?![\w]|[.\-/]\d)")
+_ID_SHAPE = re.compile(r"(?<![\w.,/\-])(?:\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|\d{3}([\-. ])\d{2}\1\d{4}|[A-Z]{2}\d{6,9}|0\d{3}-\d{4}-\d{4}|0\d{2} \d{3} \d{3} \d{3}|00\d{10})(?![\w]|[.\-/]\d)")
+#: What stands before codes that have the shape of an identifier or a phone but are none.
+_CODE_BEFORE = re.compile(r"(?i)(?<!\w)(?:batch|lot|lote|lô|protocolo?|giao thức|tracking|rastreio|rastreamento|vận đơn|order|pedido|đơn(?: hàng)?|run|lượt)(?: (?:code|number|no|mã|số|código|número|n[º°]))?\.? ?[:=#]? ?$")
 
 _SEP = r"[ .\-]?"
 _PHONE = re.compile(
@@ -137,8 +139,10 @@ _PHONE = re.compile(
     r"|(?:1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}"  # 745-555-0164
     r"|\d{2}[ .\-]9[ .\-]\d{4}[ .\-]\d{4}"  # 52 9 5709 6322
     r"|\d{2}[ .\-]\d{4,5}[.\-]\d{4}"  # 76-94413.9732
+    r"|[1-9]{2} 9\d{4} \d{4}"  # 11 98765 4321
     r"|0\d{3}([ .\-])\d{3}\2\d{4}"  # 0122.886.8663
     r"|0[1-9]\d{9,10}"  # 01297586828
+    r"|0[35789](?:\d{8}|\d{2}(?P<a>[ .\-])\d{3}(?P=a)\d{3}|\d(?P<b>[ .\-])\d{3}(?P=b)\d{4}|(?P<c>[ .\-])\d{4}(?P=c)\d{4}|\d{2}[ .\-]\d{6})"  # 0912 345 678
     r")(?![\w]|[.\-/,]\d)"
 )
 
@@ -173,7 +177,7 @@ _NAMED = [
     re.compile(rf"(?<![\w])(?i:chị|anh|ông|bà|chi|ong) +({_FULL})(?= (?:đã gọi|da goi|đã|xin)\b)"),
 ]
 #: Lower-case marks without which a pattern cannot match; most texts have none of them.
-_ID_MARKS = ("cpf", "cnpj", "rg ", "rg:", "ssn", "cccd", "cmnd", "doc", "id ", "id:", "registered under", "giấy tờ", "identidade", "passport", "passaporte", "hộ chiếu")
+_ID_MARKS = ("cpf", "cnpj", "rg ", "rg:", "ssn", "cccd", "cmnd", "doc", "id ", "id:", "registered under", "giấy tờ", "căn cước", "chứng minh", "identidade", "passport", "passaporte", "hộ chiếu")
 _ADDRESS_MARKS = [
     ("rua", "r.", "avenida", "av.", "alameda", "al.", "travessa", "trav.", "tv.", "praça", "praca", "pça.", "pca.", "estrada", "estr.", "rodovia", "rod.", "largo"),
     ("street", " st", "avenue", " ave", "road", " rd", "lane", " ln", "drive", " dr.", "court", " ct.", "boulevard", "blvd", "terrace", "crescent", "close", "way", "place", "row", "grove", "mews"),
@@ -302,10 +306,10 @@ def spans(source: str | None) -> list[tuple[str, int, int]]:
             if 7 <= sum(c.isdigit() for c in value) <= 14 and free(m.start(1), m.start(1) + len(value)):
                 take(m.start(1), m.start(1) + len(value), "id_number")
     for m in _ID_SHAPE.finditer(text):
-        if free(m.start(), m.end()):
+        if free(m.start(), m.end()) and not _CODE_BEFORE.search(text, max(0, m.start() - 40), m.start()):
             take(m.start(), m.end(), "id_number")
     for m in _PHONE.finditer(text):
-        if free(m.start(), m.end()):
+        if free(m.start(), m.end()) and not _CODE_BEFORE.search(text, max(0, m.start() - 40), m.start()):
             take(m.start(), m.end(), "phone")
     for pattern, marks in zip(_ADDRESS, _ADDRESS_MARKS):
         if marked(marks):

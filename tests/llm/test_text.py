@@ -123,6 +123,21 @@ def test_spans(text, want):
     assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == want
 
 
+UNLABELLED = [
+    ("On file 123-45-6789 and 987-65-4321.", [("id_number", "123-45-6789"), ("id_number", "987-65-4321")]),
+    ("Shown: BC1234567, 001234567890, 012 345 678 901.", [("id_number", "BC1234567"), ("id_number", "001234567890"), ("id_number", "012 345 678 901")]),
+    ("Căn cước công dân: 036123456789.", [("id_number", "036123456789")]),
+    ("Gọi 0912345678, 0912 345 678 hay 091.234.5678.", [("phone", "0912345678"), ("phone", "0912 345 678"), ("phone", "091.234.5678")]),
+    ("Zap 11 98765 4321 agora", [("phone", "11 98765 4321")]),
+    ("Lot 123-45-6789, batch: BC1234567, protocolo 001234567890, tracking no. 0912345678, đơn 008332280509, on 08-12-2021 10.", []),
+]
+
+
+@pytest.mark.parametrize("text, want", UNLABELLED)
+def test_spans_without_label(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == want
+
+
 def test_offsets_behind_disguises():
     text = "Ａ👍 ​ok. Xin gửi về a​b (arroba) mail (ponto) example. 👍 Meu nome é Ａna Ѕouza e meu"
     got = pii.spans(text)
