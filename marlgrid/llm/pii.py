@@ -45,9 +45,9 @@ _BARE_DOT = re.compile(rf"(?i)(@[\w\-]+) (?:{_DOT}) (?=\w)")
 _SPELLED = re.compile(r"(?i)(?<!\w)(?:(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")[ ,\-]{1,2}){7,}(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r")(?!\w)")
 
 
-#: Lower-case marks without which no disguise of that kind is there.
-_AT_MARKS = ("arroba", "aroba", "còng", "a cong", " @ ", *(o + blank + w for o in "[({<" for blank in ("", " ") for w in ("at", "@")))
-_DOT_MARKS = ("dot", "ponto", "chấm", "cham", "punto", "point", "[.", "(.", "{.", "<.", "[ .", "( .")
+#: What every at-disguise and every dot-disguise holds, whatever blanks stand in it.
+_AT_MARKS = ("[", "(", "{", "<", " @ ", " arroba ", " a còng ")
+_DOT_MARKS = ("[", "(", "{", "<", "dot", "ponto", "chấm", "cham", "punto", "point")
 
 
 class Plain:
@@ -177,7 +177,7 @@ _NAMED = [
     re.compile(rf"(?<![\w])(?i:chị|anh|ông|bà|chi|ong) +({_FULL})(?= (?:đã gọi|da goi|đã|xin)\b)"),
 ]
 #: Lower-case marks without which a pattern cannot match; most texts have none of them.
-_ID_MARKS = ("cpf", "cnpj", "rg ", "rg:", "ssn", "cccd", "cmnd", "doc", "id ", "id:", "registered under", "giấy tờ", "căn cước", "chứng minh", "identidade", "passport", "passaporte", "hộ chiếu")
+_ID_MARKS = ("cpf", "cnpj", "rg", "ssn", "cccd", "cmnd", "doc", "id", "registered under", "giấy tờ", "căn cước", "chứng minh", "identidade", "passport", "passaporte", "hộ chiếu")
 _ADDRESS_MARKS = [
     ("rua", "r.", "avenida", "av.", "alameda", "al.", "travessa", "trav.", "tv.", "praça", "praca", "pça.", "pca.", "estrada", "estr.", "rodovia", "rod.", "largo"),
     ("street", " st", "avenue", " ave", "road", " rd", "lane", " ln", "drive", " dr.", "court", " ct.", "boulevard", "blvd", "terrace", "crescent", "close", "way", "place", "row", "grove", "mews"),

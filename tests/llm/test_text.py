@@ -138,6 +138,19 @@ def test_spans_without_label(text, want):
     assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == want
 
 
+GATED = [
+    ("write ana(  at  )x.com now", [("email", "ana(  at  )x.com")]),
+    ("write ana@x{ . }com or bo@y<  dot  >org", [("email", "ana@x{ . }com"), ("email", "bo@y<  dot  >org")]),
+    ("RG=1234567-8", [("id_number", "1234567-8")]),
+    ("ID#123456789", [("id_number", "123456789")]),
+]
+
+
+@pytest.mark.parametrize("text, want", GATED)
+def test_spans_with_rare_blanks_and_signs(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text)] == want
+
+
 def test_offsets_behind_disguises():
     text = "Ａ👍 ​ok. Xin gửi về a​b (arroba) mail (ponto) example. 👍 Meu nome é Ａna Ѕouza e meu"
     got = pii.spans(text)
