@@ -294,7 +294,7 @@ def latest_run_state(spark: SparkSession, base: str) -> DataFrame:
 def content_hashes(spark: SparkSession, base: str) -> DataFrame:
     """Rows and order-independent hash per table."""
     out = None
-    for name in ("region", "nation", "supplier", "olist_sellers_dataset", "olist_products_dataset"):
+    for name in TABLES:
         df = table(spark, base, name)
         one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), content_hash(df).alias("content_hash"))
         out = one if out is None else out.unionAll(one)

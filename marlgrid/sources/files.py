@@ -64,7 +64,9 @@ def observed(df: DataFrame, name: str) -> DataFrame:
 def content_hash(df: DataFrame):
     """Order-independent hash of all rows; repeated rows count by sum, so they do not cancel."""
     row = F.xxhash64(*[F.col(c).cast("string") if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in df.columns])
-    return F.hex(F.sum(F.shiftrightunsigned(row, 16)).cast("bigint"))
+    # The sum of 48-bit numbers leaves 63 bits from some 65,000 rows on; it is taken modulo 2^63.
+    total = F.sum(F.shiftrightunsigned(row, 16).cast("decimal(20,0)"))
+    return F.hex((total % F.lit("9223372036854775808").cast("decimal(19,0)")).cast("bigint"))
 
 
 def verify(found: DataFrame, manifest: DataFrame) -> DataFrame:

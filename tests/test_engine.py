@@ -314,6 +314,14 @@ def test_sinks(spark, tmp_path):
         files.remaining(["b", "a"], path)
 
 
+def test_content_hashes_of_every_table(spark, data):
+    from marlgrid.queries import core
+
+    rows = core.content_hashes(spark, data).collect()
+    assert sorted(r.table_name for r in rows) == sorted(core.TABLES) and all(r.content_hash or not r.n_rows for r in rows)
+    assert files.observed(spark.range(300_000), "t").first().content_hash is not None  # the sum is past 63 bits
+
+
 def test_content_hash(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "a int, b string")
     h = lambda df: files.observed(df, "t").first().content_hash
