@@ -1,29 +1,31 @@
 """Same or near-same records across splits: banded minwise hashes, exact checks.
 
-Records come as token lists in one or more views (here: facts of the SQL, facts
-of the question, its words).  Equal token lists are one class, so copies cost nothing after
-one shuffle.  Classes are shingled (five tokens; a shorter list is one shingle),
-minwise hashed and cut into bands; classes of different splits that share a band,
-and whose ``marks`` (what must agree exactly, such as numbers) are equal, become
-candidates.  Exact Jaccard similarity of the shingle sets decides, unless a slot
-that both have read differs, and the confirmed class pairs are expanded to record
-pairs by two equi-joins.
-
-Because the marks are part of the bucket, records of one template with different
-values never meet, and no bucket needs a cap.  Rows with a null id, or with
-neither view, give nothing.  Repeated ids give each pair once.
+Records come as token lists, a row per view (here: the SQL, the question's words,
+the facts read from either); only rows of one view meet.  Equal token lists are
+one class, so copies cost nothing after one shuffle.  Classes are shingled (five
+tokens; a shorter list is one shingle), minwise hashed and cut into bands; classes
+of different splits that share a band become candidates.  Exact Jaccard similarity
+of the shingle sets decides, then the exact checks: ``marks`` (what must agree,
+such as numbers) must be equal, and no slot that both have read may differ.  Pairs
+of classes carry the result; they are expanded to pairs of records by two
+equi-joins only where pairs are asked for, and ``links`` counts without it.
+
+The marks are hashed into the bucket, so records of one template with different
+values never meet, and no bucket needs a cap; what a bucket holds are classes, not
+records.  Rows with a null id, split or view, or without tokens, give nothing.
+Repeated ids give each pair once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlgrid.session import cut
 
@@ -31,33 +33,69 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 20 bands of 5 hashes find a pair of similarity 0.8 with probability 0.9996.
 BANDS, ROWS = 20, 5
-_PRIME = (1 << 61) - 1
 
 
-def _family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 32, n, dtype="uint64") | 1, rng.integers(0, 1 << 63, n, dtype="uint64")
+@lru_cache(maxsize=1)
+def _family() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(1, 1 << 32, BANDS * ROWS, dtype="uint64") | 1, rng.integers(0, 1 << 63, BANDS * ROWS, dtype="uint64")
 
 
-def shingles(tokens: list[str], size: int = SHINGLE) -> list[str]:
-    """Distinct runs of ``size`` tokens."""
-    return sorted({"\x1f".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))})
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def band_hashes(tokens: list[str]) -> list[int]:
-    """One hash per band of the minwise signature."""
-    a, b = _family(BANDS * ROWS)
-    base = np.array([xxhash.xxh64_intdigest(s) for s in shingles(tokens)], dtype="uint64")
-    low = np.full(BANDS * ROWS, np.iinfo("uint64").max, dtype="uint64")
-    for start in range(0, len(base), 10_000):  # a very long list is taken in pieces
-        with np.errstate(over="ignore"):
-            mixed = base[None, start : start + 10_000] * a[:, None] + b[:, None]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
-        low = np.minimum(low, mixed.min(axis=1))
-    low = low.reshape(BANDS, ROWS)
-    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(r.tobytes())))) for r in low]
+def shingle_hashes(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``SHINGLE`` token hashes of each list, and where each list's begin.
+
+    ``tokens`` are the lists' token hashes one after another, ``ends`` the lists'
+    ends (rising from 0, no list is empty).  A list shorter than a shingle is one.
+    """
+    sizes = np.diff(ends)
+    count = np.maximum(sizes - (SHINGLE - 1), 1)
+    starts = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(ends[:-1] - starts[:-1], count) + np.arange(starts[-1])
+    left = np.repeat(ends[1:], count)
+    out = np.zeros(len(at), dtype="uint64")
+    for i in range(SHINGLE):
+        inside = at + i < left
+        out[inside] = _mixed(out[inside] * np.uint64(0x9E3779B97F4A7C15) + tokens[at[inside] + i])
+    return out, starts
+
+
+def band_hashes(tokens: np.ndarray, ends: np.ndarray, chunk: int = 20_000) -> np.ndarray:
+    """For each list the hash of each band of its minwise signature: (lists, BANDS)."""
+    a, b = _family()
+    found = np.empty((len(ends) - 1, BANDS), dtype="uint64")
+    begin = 0
+    while begin < len(ends) - 1:
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + chunk, side="right")) - 1)
+        base, starts = shingle_hashes(tokens[ends[begin] : ends[stop]], ends[begin : stop + 1] - ends[begin])
+        low = np.full((BANDS * ROWS, stop - begin), np.iinfo("uint64").max, dtype="uint64")
+        for i in range(BANDS * ROWS):
+            low[i] = np.minimum.reduceat(_mixed(base * a[i] + b[i]), starts[:-1])
+        band = np.arange(BANDS, dtype="uint64")[:, None].repeat(stop - begin, axis=1)
+        for row in low.reshape(BANDS, ROWS, -1).transpose(1, 0, 2):
+            band = _mixed(band * np.uint64(0x9E3779B97F4A7C15) + row)
+        found[begin:stop] = band.T
+        begin = stop
+    return found
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, hash of view and marks, tokens) -> (class, buckets)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(2).flatten().dictionary_encode()
+        hashed = np.array([xxhash.xxh64_intdigest(t or "") for t in coded.dictionary.to_pylist()], dtype="uint64")
+        ends = batch.column(2).offsets.to_numpy().astype("int64")
+        bands = band_hashes(hashed[coded.indices.to_numpy()], ends - ends[0])
+        said = batch.column(1).to_numpy().astype("uint64")
+        buckets = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + said[:, None]).astype("int64")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, buckets.size + 1, BANDS, dtype="int32"), pa.array(buckets.ravel()))], names=["class", "buckets"])
 
 
 def _shingle_column(tokens: Column) -> Column:
@@ -65,50 +103,66 @@ def _shingle_column(tokens: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.concat_ws("\x1f", F.slice(tokens, i, F.lit(SHINGLE)))))
 
 
-def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (train_id, eval_id) of records that share a class or a near class.
+def members(records: DataFrame) -> DataFrame:
+    """The records with their class, stored.
 
-    ``records`` has id, is_train (boolean), tokens (array of strings), marks
-    (string) and, if wanted, slots (map of strings, given by the tokens); a record
-    may have several rows, one per view.
+    ``records`` has id, is_train (boolean), tokens (array of strings) and, if
+    wanted, view, marks (strings) and slots (map of strings, given by the tokens
+    and marks).
     """
+
+    def given(name: str, kind: str, default) -> Column:
+        return F.coalesce(F.col(name), F.lit(default).cast(kind)) if name in records.columns else F.lit(default).cast(kind)
+
+    view, marks = given("view", "string", ""), given("marks", "string", "")
     slots = F.col("slots") if "slots" in records.columns else F.lit(None).cast("map<string,string>")
-    digest = F.sha2(F.concat_ws("\x1e", F.concat_ws("\x1f", "tokens"), F.coalesce("marks", F.lit(""))), 256)
-    rows = cut(records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0").select("id", "is_train", "tokens", F.coalesce("marks", F.lit("")).alias("marks"), slots.alias("slots")).withColumn("class", digest))
-    classes = rows.groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("marks").alias("marks"), F.first("slots").alias("slots"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"class": pdf["class"], "marks": pdf["marks"], "in_train": pdf["in_train"], "in_eval": pdf["in_eval"], "hashes": [band_hashes(list(t)) for t in pdf["tokens"]]})
-
-    bands = classes.mapInPandas(banded, "class string, marks string, in_train boolean, in_eval boolean, hashes array<bigint>").select("class", "marks", "in_train", "in_eval", F.posexplode("hashes").alias("band", "bucket"))
-    left = bands.where("in_train").select(F.col("class").alias("train_class"), "marks", "band", "bucket")
-    right = bands.where("in_eval").select(F.col("class").alias("eval_class"), "marks", "band", "bucket")
-    near = left.join(right, ["band", "bucket", "marks"]).where("train_class != eval_class").select("train_class", "eval_class").distinct()
-
-    shapes = classes.select("class", _shingle_column(F.col("tokens")).alias("shingles"), "slots")
-    checked = near.join(shapes.select(F.col("class").alias("train_class"), F.col("shingles").alias("a"), F.col("slots").alias("a_slots")), "train_class").join(shapes.select(F.col("class").alias("eval_class"), F.col("shingles").alias("b"), F.col("slots").alias("b_slots")), "eval_class")
-    differs = F.exists(F.map_keys("a_slots"), lambda k: F.coalesce(F.try_element_at("a_slots", k) != F.try_element_at("b_slots", k), F.lit(False)))
-    checked = checked.where(~F.coalesce(differs, F.lit(False)))
-    common = F.size(F.array_intersect("a", "b"))
-    checked = checked.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("train_class", "eval_class")
-    pairs = classes.where("in_train AND in_eval").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class")).unionAll(checked)
+    name = F.unhex(F.sha2(F.concat_ws("\x1e", view, F.concat_ws("\x1f", "tokens"), marks), 256))
+    kept = records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0")
+    return cut(kept.select("id", "is_train", "tokens", view.alias("view"), marks.alias("marks"), slots.alias("slots"), name.alias("class")))
+
+
+def class_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(view, train_class, eval_class, similarity) of classes that are the same or near; by two routes, equal and bands."""
+    classes = rows.groupBy("class").agg(
+        F.first("view").alias("view"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.first("slots").alias("slots"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval")
+    )
+
+    def buckets(kept: str, name: str) -> DataFrame:
+        hashed = classes.where(kept).select("class", F.xxhash64("view", "marks").alias("said"), "tokens").mapInArrow(_banded, "class binary, buckets array<bigint>")
+        return hashed.select(F.col("class").alias(name), F.explode("buckets").alias("bucket"))
 
+    left, right = buckets("in_train", "train_class"), buckets("in_eval", "eval_class")
+    near = left.join(right, "bucket").where("train_class != eval_class").select("train_class", "eval_class").distinct()
+
+    # Only what became a candidate is shingled again for the exact check.
+    shapes = classes.select("class", F.struct("view", "marks", "slots", "tokens").alias("it"))
+    checked = near.join(shapes.select(F.col("class").alias("train_class"), F.col("it").alias("a")), "train_class").join(shapes.select(F.col("class").alias("eval_class"), F.col("it").alias("b")), "eval_class")
+    differs = F.exists(F.map_keys("a.slots"), lambda k: F.coalesce(F.try_element_at("a.slots", k) != F.try_element_at("b.slots", k), F.lit(False)))
+    checked = checked.where((F.col("a.view") == F.col("b.view")) & (F.col("a.marks") == F.col("b.marks")) & ~F.coalesce(differs, F.lit(False)))
+    checked = checked.select("train_class", "eval_class", F.col("a.view").alias("view"), _shingle_column(F.col("a.tokens")).alias("x"), _shingle_column(F.col("b.tokens")).alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    checked = checked.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= similarity)
+    same = classes.where("in_train AND in_eval").select("view", F.col("class").alias("train_class"), F.col("class").alias("eval_class"), F.lit(1.0).alias("similarity"))
+    return same.unionByName(checked.select("view", "train_class", "eval_class", "similarity"))
+
+
+def cross_pairs(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (train_id, eval_id, views, routes) of records that share a class or a near class in some view."""
+    rows = members(records)
+    pairs = class_pairs(rows, similarity).withColumn("route", F.when(F.col("train_class") == F.col("eval_class"), "equal").otherwise("bands"))
     train = rows.where("is_train").select(F.col("id").alias("train_id"), F.col("class").alias("train_class")).distinct()
     held = rows.where("NOT is_train").select(F.col("id").alias("eval_id"), F.col("class").alias("eval_class")).distinct()
-    return pairs.join(train, "train_class").join(held, "eval_class").select("train_id", "eval_id").distinct()
+    found = pairs.join(train, "train_class").join(held, "eval_class")
+    return found.groupBy("train_id", "eval_id").agg(F.array_sort(F.collect_set("view")).alias("views"), F.array_sort(F.collect_set(F.concat_ws(":", "view", "route"))).alias("routes"))
 
 
-def frequent_words(texts: DataFrame, column: str, split, share: float = 0.001, least: int = 3) -> dict[str, int]:
-    """Words that stand in at least this share of the records, with their counts.
+def links(records: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(eval_id, view, n_links): training records that each evaluation record meets in a view, without listing them.
 
-    The list is bounded: at most (words per record) / share entries.
+    A training id has one class in a view, so its classes' sizes add up.
     """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def listed(values: pd.Series) -> pd.Series:
-        return pd.Series([sorted(set(split(v))) if v is not None else [] for v in values])
-
-    total = texts.count()
-    counted = texts.select(F.explode(listed(F.col(column))).alias("word")).groupBy("word").count().where(F.col("count") >= max(least, int(share * total)))
-    return {r["word"]: r["count"] for r in counted.collect()}
+    rows = members(records)
+    sizes = rows.where("is_train").groupBy(F.col("class").alias("train_class")).agg(F.countDistinct("id").alias("n"))
+    met = class_pairs(rows, similarity).join(sizes, "train_class").groupBy("view", "eval_class").agg(F.sum("n").alias("n"))
+    held = rows.where("NOT is_train").select(F.col("id").alias("eval_id"), F.col("class").alias("eval_class")).distinct()
+    return met.join(held, "eval_class").groupBy("eval_id", "view").agg(F.max("n").alias("n_links"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlgrid.llm import asked, canonical, mixing, overlap, packing, percentiles, pii, tokens, unify
+from marlgrid.llm import asked, canonical, mixing, overlap, packing, percentiles, pii, spelling, tokens, unify
 from marlgrid.session import cut, table
 
 QUANTILES = [0.5, 0.9, 0.95, 0.99]
@@ -42,32 +43,53 @@ def p2_bound_held(spark: SparkSession, base: str) -> DataFrame:
 
 
 TRAIN, EVALUATION = "dev", ["regression", "holdout"]
+_VIEWED = "id string, is_train boolean, view string, tokens array<string>, marks string, slots map<string,string>"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(questions: pd.Series) -> pd.Series:
+    return questions.map(asked.words)
+
+
+def _question_views(batches):
+    """(id, is_train, tokens) with corrected words -> their words and, where all was understood, their facts."""
+    for pdf in batches:
+        out = []
+        for key, train, tokens in zip(pdf["id"], pdf["is_train"], pdf["tokens"]):
+            found = asked.slots(list(tokens))
+            out.append((key, train, "words", list(tokens), asked.number_marks(tokens), found))
+            facts = asked.slot_facts(found)
+            if facts:
+                out.append((key, train, "facts", list(facts), "", {}))
+        yield pd.DataFrame(out, columns=["id", "is_train", "view", "tokens", "marks", "slots"])
+
+
+def _sql_views(batches):
+    """(id, is_train, gold_sql) -> the query's tokens, decided by its clauses, and its facts."""
+    for pdf in batches:
+        out = []
+        for key, train, sql in zip(pdf["id"], pdf["is_train"], pdf["gold_sql"]):
+            query = asked.query(sql)
+            if query:
+                out.append((key, train, "sql", query.tokens, query.marks, {"clauses": asked.digest(query.clauses)}))
+                facts = query.facts()
+                if facts:
+                    out.append((key, train, "facts", list(facts), "", {}))
+        yield pd.DataFrame(out, columns=["id", "is_train", "view", "tokens", "marks", "slots"])
 
 
-def _asked(spark: SparkSession, base: str) -> DataFrame:
-    """What each acceptance record asks: a row per view (SQL, facts of the question, its words)."""
+def _records(spark: SparkSession, base: str) -> DataFrame:
     records = table(spark, base, "olist_acceptance_60").where(F.col("partition").isin(TRAIN, *EVALUATION))
-    frequent = overlap.frequent_words(records, "question", asked.words)
-
-    def read(batches):
-        speller = asked.Speller(frequent)
-        for pdf in batches:
-            out = []
-            for key, train, question, sql in zip(pdf["id"], pdf["is_train"], pdf["question"], pdf["gold_sql"]):
-                facts = asked.sql_facts(sql)
-                if facts:
-                    out.append((key, train, list(facts), "", {}))
-                found = asked.question_slots(question, speller)
-                if found:
-                    tokens, slots = found
-                    facts = asked.slot_facts(slots)
-                    if facts:
-                        out.append((key, train, list(facts), "", {}))
-                    # Corrected words are compared only where all numbers and all slots read on both sides agree.
-                    out.append((key, train, list(tokens), " ".join(sorted(w for w in tokens if w.isdigit())), slots))
-            yield pd.DataFrame(out, columns=["id", "is_train", "tokens", "marks", "slots"])
+    return records.withColumn("is_train", F.col("partition") == TRAIN)
 
-    return records.select("id", (F.col("partition") == TRAIN).alias("is_train"), "question", "gold_sql").mapInPandas(read, "id string, is_train boolean, tokens array<string>, marks string, slots map<string,string>")
+
+def _asked(spark: SparkSession, base: str) -> DataFrame:
+    """What each acceptance record asks: a row per view (SQL, words, facts)."""
+    records = _records(spark, base)
+    said = cut(records.where("question IS NOT NULL").select("id", "is_train", F.xxhash64("question").alias("asked"), _words("question").alias("tokens")))
+    spelled = spelling.corrected(said, "tokens", ["id", "is_train", "asked"])
+    questions = spelled.select("id", "is_train", "tokens").mapInPandas(_question_views, _VIEWED)
+    return questions.unionByName(records.select("id", "is_train", "gold_sql").where("gold_sql IS NOT NULL").mapInPandas(_sql_views, _VIEWED))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -76,12 +98,25 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).where("id_a < id_b")
 
 
+def p3_routes(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs by the views and routes that found them."""
+    return overlap.cross_pairs(_asked(spark, base)).groupBy(F.concat_ws(",", "routes").alias("routes")).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def p3_report(spark: SparkSession, base: str) -> DataFrame:
-    """Per evaluation split and source: records, those found in training, and pairs."""
-    pairs = overlap.cross_pairs(_asked(spark, base)).groupBy("eval_id").agg(F.count(F.lit(1)).alias("links"))
-    records = table(spark, base, "olist_acceptance_60").where(F.col("partition").isin(EVALUATION)).select("id", "partition", "source")
-    joined = records.join(pairs, records["id"] == pairs["eval_id"], "left")
-    return joined.groupBy("partition", "source").agg(F.count(F.lit(1)).alias("n_records"), F.count("links").alias("n_overlapping"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_pairs"))
+    """Per evaluation split and source: records, those found in training, and links per view; no pair is listed for it."""
+    met = overlap.links(_asked(spark, base)).groupBy("eval_id").agg(*[F.sum(F.when(F.col("view") == v, F.col("n_links"))).alias(v) for v in ("sql", "words", "facts")])
+    records = _records(spark, base).where("NOT is_train").select("id", "partition", "source")
+    joined = records.join(met, records["id"] == met["eval_id"], "left")
+    return joined.groupBy("partition", "source").agg(F.count(F.lit(1)).alias("n_records"), F.count("eval_id").alias("n_overlapping"), *[F.coalesce(F.sum(v), F.lit(0)).alias(f"links_{v}") for v in ("sql", "words", "facts")])
+
+
+def p3_near_text(spark: SparkSession, base: str) -> DataFrame:
+    """Cross-split pairs whose questions are near as they stand: plain words, equal numbers, nothing corrected or read."""
+    plain = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0))
+    numbers = F.array_join(F.array_sort(F.filter(plain, lambda w: w.rlike("^[0-9]+$"))), " ")
+    pairs = overlap.cross_pairs(_records(spark, base).select("id", "is_train", plain.alias("tokens"), numbers.alias("marks")))
+    return pairs.select("train_id", "eval_id")
 
 
 #: Tables with typed city names: name, key, city, state.
@@ -188,6 +223,8 @@ QUERIES = {
     "p2_bound_held": p2_bound_held,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_routes": p3_routes,
+    "p3_near_text": p3_near_text,
     "p4_found": p4_found,
     "p4_unified": p4_unified,
     "p5_found": p5_found,
@@ -201,6 +238,12 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_near_text": """
+        WITH t AS (SELECT id, "partition" = 'dev' AS train, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM olist_acceptance_60 WHERE "partition" IN ('dev', 'regression', 'holdout')),
+             s AS (SELECT id, train, array_to_string(list_sort(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$'))), ' ') AS marks,
+                          list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) AS sh FROM t WHERE len(w) > 0)
+        SELECT DISTINCT a.id AS train_id, b.id AS eval_id FROM s a JOIN s b ON a.train AND NOT b.train AND a.marks = b.marks
+        WHERE len(list_intersect(a.sh, b.sh)) >= 0.8 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))""",
     "p2_bound_held": """
         WITH t AS (SELECT DISTINCT run_id, sequence, layer, elapsed_ms AS v FROM trace_events),
              g AS (SELECT layer, count(*) AS rows_all, count(*) FILTER (WHERE v IS NOT NULL AND isfinite(v) AND v >= 0) AS n FROM t GROUP BY layer)

@@ -7,28 +7,51 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from marlgrid.llm import asked, mixing, overlap, packing, queries, tokens
+from marlgrid.llm import asked, mixing, overlap, packing, queries, spelling, tokens
 from tests.compare import canonical, connect, expected
 
 
-def test_facts():
-    a = "SELECT SUM(i.price_cents) FROM olist_orders_dataset o JOIN olist_order_items_dataset i ON i.order_id = o.order_id WHERE o.order_status = 'shipped' AND SUBSTR(o.order_purchase_timestamp, 1, 7) = '2022-08' AND i.price_cents > 40900"
-    b = "-- seen\nselect sum(i.price_cents)\nfrom olist_orders_dataset as ord join olist_order_items_dataset i on i.order_id=ord.order_id where i.price_cents>40900 and ord.order_purchase_timestamp like '2022-08%' and ord.order_status='shipped' ;"
-    assert asked.sql_facts(a) == asked.sql_facts(b)
-    for change in (("shipped", "canceled"), ("40900", "40901"), ("SUM(", "MAX("), ("2022-08", "2022-09"), ("> 40900", "< 40900")):
-        assert asked.sql_facts(a.replace(*change)) != asked.sql_facts(a)
-    assert asked.sql_facts(None) is None and asked.sql_facts("  ") is None
+BASE = "SELECT SUM(i.price_cents) FROM olist_orders_dataset o JOIN olist_order_items_dataset i ON i.order_id = o.order_id WHERE o.order_status = 'shipped' AND SUBSTR(o.order_purchase_timestamp, 1, 7) = '2022-08' AND i.price_cents > 40900"
+
+
+def test_clauses():
+    a = asked.query(BASE)
+    b = asked.query("-- seen\nselect sum(i.price_cents) as s\nfrom olist_orders_dataset as ord inner join olist_order_items_dataset i on ord.order_id=i.order_id where 40900 < i.price_cents and ord.order_purchase_timestamp like '2022-08%' and ord.order_status='shipped' ;")
+    assert a.clauses == b.clauses and a.marks == b.marks == "'2022-08' 'shipped' 40900"
+    for change in (("shipped", "canceled"), ("40900", "40901"), ("SUM(", "MAX("), ("2022-08", "2022-09"), ("> 40900", "< 40900"), ("i.order_id = o.order_id", "i.order_id = o.customer_id"), ("JOIN", "LEFT JOIN")):
+        assert asked.query(BASE.replace(*change)).clauses != a.clauses
+    assert asked.query(None) is None and asked.query("  ") is None and asked.query("-- only").tokens == []
+    one, other = asked.query("SELECT COUNT(*) FROM olist_orders_dataset"), asked.query("select count(1) from olist_products_dataset")
+    assert one.clauses != other.clauses and one.facts() is None and one.clauses == asked.query("select count(1) as n from olist_orders_dataset;").clauses
+    ranged = asked.query("SELECT a FROM t WHERE x BETWEEN 1 AND 5 AND y = 'k'")
+    assert ranged.clauses == asked.query("select a from t where y='k' and x <= 5 and x >= 1").clauses != asked.query("select a from t where y='k' and x <= 5 and x >= 2").clauses
+    assert asked.query("select a from t where x=1 or y=2").clauses != asked.query("select a from t where x=1 and y=2").clauses
+    assert asked.query("select a.k from t a join t b on a.k=b.j").clauses != asked.query("select a.k from t a join t b on b.k=a.j").clauses
+    assert not asked.query("WITH t AS (SELECT 1 AS a) SELECT a FROM t").plain and not asked.query("garbage (").plain
+
+
+def facts(question):
+    return asked.slot_facts(asked.slots(asked.words(question)))
 
 
 def test_questions():
-    speller = asked.Speller({w: 9 for w in "pet care toy tools orders in the category from customers bought with freight below cents product grams".split()})
     en = "Give the number of orders that were canceled in the pet care category from customers in AM bought in March 2022 with freight below 825500 cents?"
     vi = "Hãy đếm số đơn hàng đã hủy mua vào tháng 3 năm 2022 của khách hàng ở bang AM thuộc danh mục pet care có phí vận chuyển dưới 825.500 cents"
-    typo = "GIVE the nubmer of orders that were canceledd in the pet care catgory from custmers in AM bought in March 2022 with freight below 825 500 ¢"
-    facts = asked.question_facts(en, speller)
-    assert facts[1] and facts == asked.question_facts(vi, speller) == asked.question_facts(typo, speller)
-    assert asked.question_facts(en.replace("AM", "AP"), speller) != facts and asked.question_facts(en.replace("825500", "825501"), speller) != facts
-    assert asked.question_facts("something else 12", speller)[1] is False and asked.question_facts(None, speller) is None
+    assert facts(en) and facts(en) == facts(vi)
+    assert facts(en.replace("AM", "AP")) != facts(en) and facts(en.replace("825500", "825501")) != facts(en)
+    sql = "SELECT COUNT(*) FROM olist_orders_dataset o JOIN olist_order_items_dataset i ON i.order_id = o.order_id JOIN olist_products_dataset p ON p.product_id = i.product_id JOIN olist_customers_dataset c ON c.customer_id = o.customer_id WHERE o.order_status = 'canceled' AND p.product_category_name = 'pet_care' AND c.customer_state = 'AM' AND SUBSTR(o.order_purchase_timestamp, 1, 7) = '2022-03' AND i.freight_value_cents < 825500"
+    assert asked.query(sql).facts() == facts(en)
+    for change in (("i.product_id", "i.seller_id"), ("AND c.customer_state = 'AM'", ""), ("= 'AM'", "!= 'AM'"), ("JOIN olist_products_dataset", "LEFT JOIN olist_products_dataset")):
+        assert asked.query(sql.replace(*change)).facts() is None
+    assert facts("something else 12") is None and asked.words(None) == [] and asked.slots([]) == {"status": "", "by": ""}
+
+
+def test_spelling(spark):
+    said = ["the seller shipped"] * 60 + ["teh seler shippde", "tte cellars shipped"] + ["many"] * 30 + ["may"] * 60 + [None]
+    df = spark.createDataFrame([(i, t.split() if t else None) for i, t in enumerate(said)], "id int, words array<string>")
+    got = {r.id: r.words for r in spelling.corrected(df, "words", ["id"]).collect()}
+    assert got[0] == ["the", "seller", "shipped"] == got[60] and got[61] == ["the", "cellars", "shipped"] and got[70] == ["many"]
+    assert spelling.corrected(df.limit(0), "words", ["id"]).count() == 0
 
 
 def brute(records):
@@ -58,26 +81,41 @@ def test_pairs_against_brute_force(spark):
     records += [("short", True, ["a"], None), ("short2", False, ["a"], ""), ("none", True, [], ""), (None, False, ["a"], ""), ("short", True, ["a"], None)]
     records += [(f"hot{i}", i % 3 == 0, ["same", "text"], "") for i in range(60)]
     df = spark.createDataFrame(records, "id string, is_train boolean, tokens array<string>, marks string")
-    got = [tuple(r) for r in overlap.cross_pairs(df).collect()]
+    got = [(r.train_id, r.eval_id) for r in overlap.cross_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(records)
     assert overlap.cross_pairs(df.limit(0)).count() == 0
+    counted = {r.eval_id: r.n_links for r in overlap.links(df).collect()}
+    assert counted == Counter(e for _, e in set(got))
+
+
+def test_recall_of_the_bands(spark):
+    """Near pairs of many texts, every one found through the bands, against all pairs."""
+    rng = np.random.default_rng(9)
+    records = []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 2000, 80)]
+        for j in range(4):
+            changed = list(words)
+            for at in rng.integers(0, 80, j):
+                changed[at] = f"z{rng.integers(0, 999)}"
+            records.append((f"{i}-{j}", j == 0, changed, ""))
+    got = overlap.cross_pairs(spark.createDataFrame(records, "id string, is_train boolean, tokens array<string>, marks string")).collect()
+    want, near = brute(records), {(r.train_id, r.eval_id) for r in got if r.routes == [":bands"]}
+    assert len(want) > 150 and len(near) > 140 and {(r.train_id, r.eval_id) for r in got} <= want and len(got) >= 0.99 * len(want)
 
 
-def test_question_with_an_unread_slot_meets_its_near_copy(spark, tmp_path):
+def test_questions_meet_by_their_words(spark, tmp_path):
     whole = "Doanh thu sản phẩm theo cents là bao nhiêu từ các đơn đã giao thuộc danh mục sports storage của khách hàng ở bang RO mua vào tháng 1 năm 2022 tốn hơn 5376700 cents kể cả phí?"
     unread = whole.replace("Doanh", "Dqqxnh")  # no metric is read
-    speller = asked.Speller(dict.fromkeys(asked.words(whole), 9))
-    assert asked.question_facts(whole, speller)[1] and not asked.question_facts(unread, speller)[1]
-    held = {
-        "near": unread,
-        "number": unread.replace("5376700", "5376800"),
-        "state": unread.replace("RO", "RJ"),
-        "grouped": unread.replace("?", ", chia theo bang người bán?"),
-        "status": unread.replace("đã giao", "đã hủy"),
-    }
+    assert facts(whole) and not facts(unread)
+    held = {"near": unread, "number": unread.replace("5376700", "5376800"), "state": unread.replace("RO", "RJ"), "grouped": unread.replace("?", ", chia theo bang người bán?"), "status": unread.replace("đã giao", "đã hủy")}
     rows = [("dev", "dev", whole, None), *((k, "holdout", q, None) for k, q in held.items())]
-    spark.createDataFrame(rows, "id string, partition string, question string, gold_sql string").write.parquet(f"{tmp_path}/olist_acceptance_60.parquet")
-    assert [tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()] == [("dev", "near")]
+    rows += [("d2", "dev", None, "SELECT COUNT(*) FROM olist_orders_dataset"), ("e2", "holdout", None, "SELECT COUNT(*) FROM olist_products_dataset"), ("d3", "dev", None, BASE), ("e3", "holdout", None, BASE.replace("i.order_id = o.order_id", "i.order_id = o.customer_id"))]
+    rows += [("e4", "regression", None, BASE.lower().replace("40900", "40900 ;").replace("substr(o.order_purchase_timestamp, 1, 7) = '2022-08'", "o.order_purchase_timestamp like '2022-08%'")), ("e5", "unknown", whole, BASE), ("e6", None, whole, BASE)]
+    spark.createDataFrame([(*r, None) for r in rows], "id string, partition string, question string, gold_sql string, source string").write.parquet(f"{tmp_path}/olist_acceptance_60.parquet")
+    assert sorted(tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()) == [("d3", "e4"), ("dev", "near")]
+    report = {r.partition: tuple(r)[2:] for r in queries.p3_report(spark, str(tmp_path)).collect()}
+    assert report == {"holdout": (7, 1, 0, 1, 0), "regression": (1, 1, 1, 0, 0)}
 
 
 def test_slot_read_on_both_sides_decides(spark):
