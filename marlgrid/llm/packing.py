@@ -1,18 +1,25 @@
 """Lay items of varying size into containers of fixed capacity: bulk-synchronous best-fit.
 
-Each superstep sorts a block's items from the largest and its gaps by size, sweeps
-the items to their successor gap (the smallest that holds them; of items that
-want the same gap the larger, then the earlier key, ranks first), updates the gap
-at once, and opens a container where no gap is left.  Blocks are even random
-shares of the items, so each sees the whole range of sizes and no exchange
-happens inside a superstep.  Between supersteps the emptiest containers of every
-block give up their items, which meet those of other blocks in fewer blocks; a
-block passes on at most its share of a later block, so no task ever holds more
-than ``block_items`` items.
+Items are range-sorted by size over the cluster and stored; an item's place in
+that order is its rank.  Gaps are kept sorted too.  One bulk step takes all items
+of a size, from the largest size down: they sweep to their successor gap (the
+smallest that holds them), of items that want the same gap the ranks decide who
+gets which container, a container takes as many as fit, gaps are updated, and what
+finds no gap opens containers.  The steps repeat down to the smallest size; the
+result is that of best-fit-decreasing over all items at once.
+
+Sizes are whole numbers, so at most ``capacity`` different items and gaps exist,
+and those of one size are interchangeable.  A step therefore moves counts: the
+items of a size are an interval of ranks, the containers with one gap are intervals
+of container numbers.  The sweep over both sorted lists runs on a histogram with
+at most ``capacity`` entries a kind, whatever the number of items; its outcome, a
+list of (first rank, first container, items a container), places every item where
+it stands, without a further exchange.  No task holds more than a partition of
+the range sort, and equal sizes may fill many partitions.
 
 An item is cut only if it is larger than the capacity: into full pieces and a
 rest.  Items of size 0 or null need no room: they come out with a null container.
-Repeated keys are items of their own.
+Repeated keys are items of their own.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,127 +28,128 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Blocks that one later block takes over.
-FAN_IN = 32
-#: Share of the capacity that may stay empty in a container nobody reopens.
-TOLERANCE = 0.005
-
-
-def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container of each item and gap of each container; sizes must be in falling order."""
-    container = np.empty(len(sizes), dtype="int64")
-    gaps: list[int] = []
-    ordered: list[int] = []  # distinct gaps, rising
-    holders: dict[int, list[int]] = {}
-    for i, size in enumerate(sizes.tolist()):
-        at = bisect_left(ordered, size)
-        if at < len(ordered):
-            gap = ordered[at]
-            mine = holders[gap]
-            chosen = mine.pop()
-            if not mine:
-                del ordered[at], holders[gap]
-        else:
-            chosen, gap = len(gaps), capacity
-            gaps.append(capacity)
-        container[i] = chosen
-        left = gap - size
-        gaps[chosen] = left
-        if left:
-            if left in holders:
-                holders[left].append(chosen)
-            else:
-                holders[left] = [chosen]
-                ordered.insert(bisect_left(ordered, left), left)
-    return container, np.array(gaps, dtype="int64")
-
-
-def _superstep(step: int, last: bool, give: int):
+from marlgrid.session import cut
+
+
+class Sweep:
+    """Best-fit of a histogram of sizes: which ranks go to which containers.
+
+    ``counts[s]`` is the number of items of size s; ranks rise with the size.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        ranks = np.concatenate([[0], np.cumsum(counts)])
+        self.gaps: list[int] = []  # different gaps, rising
+        self.holders: dict[int, list[tuple[int, int]]] = {}  # gap -> intervals (first container, containers)
+        self.n_containers = 0
+        moves = []
+        for size in np.flatnonzero(counts)[::-1].tolist():
+            rank, stop = int(ranks[size]), int(ranks[size + 1])
+            while rank < stop:
+                gap, first, held = self._successor(size, stop - rank, capacity)
+                each = gap // size
+                placed = min(held * each, stop - rank)
+                full, rest = divmod(placed, each)
+                moves.append((rank, first, each))
+                self._release(gap - each * size, first, full)
+                self._release(gap - rest * size, first + full, 1 if rest else 0)
+                self._release(gap, first + full + (rest > 0), held - full - (rest > 0))
+                rank += placed
+        moves.sort()
+        self.first_rank, self.first_container, self.each = (np.array([m[i] for m in moves], dtype="int64") for i in range(3))
+
+    def _successor(self, size: int, items: int, capacity: int) -> tuple[int, int, int]:
+        """Containers of the smallest gap that holds the size; new ones where no gap does."""
+        at = bisect_left(self.gaps, size)
+        if at < len(self.gaps):
+            gap = self.gaps[at]
+            first, held = self.holders[gap].pop()
+            if not self.holders[gap]:
+                del self.gaps[at], self.holders[gap]
+            return gap, first, held
+        opened = -(-items // (capacity // size))
+        self.n_containers += opened
+        return capacity, self.n_containers - opened, opened
+
+    def _release(self, gap: int, first: int, held: int) -> None:
+        if gap and held:
+            if gap not in self.holders:
+                self.holders[gap] = []
+                self.gaps.insert(bisect_left(self.gaps, gap), gap)
+            self.holders[gap].append((first, held))
+
+    def container(self, rank: np.ndarray) -> np.ndarray:
+        move = np.searchsorted(self.first_rank, rank, side="right") - 1
+        return self.first_container[move] + (rank - self.first_rank[move]) // self.each[move]
+
+
+def _place(sweeps: dict[int, Sweep], before: dict[tuple[int, int], int]):
+    """Stored rows (part, kind, key, piece, size) in order of rank -> their containers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
-        slots = table.column("slot").to_numpy()
-        sizes = table.column("size").to_numpy().astype("int64")
-        capacity = table.column("capacity").to_numpy()
-        tie = table.column("tie").to_numpy()
-        order = np.lexsort((tie, -sizes, slots))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(slots[order])) + 1, [len(order)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            at = order[a:b]
-            room = int(capacity[at[0]])
-            container, gaps = best_fit(sizes[at], room)
-            released = np.zeros(len(gaps), dtype=bool)
-            if not last:
-                # The emptiest first, as long as their items fit the later block's share.
-                held = np.bincount(container, minlength=len(gaps))
-                emptiest = np.argsort(-gaps, kind="stable")
-                emptiest = emptiest[(gaps[emptiest] > TOLERANCE * room) & (np.cumsum(held[emptiest]) <= give)]
-                released[emptiest] = True
-            name = np.char.add(f"{step}-{int(slots[at[0]])}-", container.astype(str))
-            label = pa.array(np.where(released[container], None, name.astype(object)), pa.string())
-            part = table.take(pa.array(at))
-            yield from pa.Table.from_arrays([*part.drop(["container"]).columns, label], names=[*part.drop(["container"]).column_names, "container"]).combine_chunks().to_batches()
+        seen: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            container = np.empty(len(kind), dtype="int64")
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(kind) != 0) | (np.diff(part) != 0)) + 1, [len(kind)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                at = (int(part[a]), int(kind[a]))
+                done = seen.get(at, 0)
+                container[a:b] = sweeps[at[1]].container(before[at] + done + np.arange(b - a))
+                seen[at] = done + int(b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 5)] + [pa.array(container)], names=["kind", "key", "piece", "size", "container"])
 
     return run
 
 
-def pack(items: DataFrame, key: str, size: str, containers: DataFrame, block_items: int = 40_000) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, containers: DataFrame) -> DataFrame:
     """Rows (pack_name, key, piece, size, pack_id) of every item in every kind of container.
 
     ``containers`` has pack_name and capacity_tokens (a small table of kinds of
     containers; it is read by the driver); ``items`` is read several times and
     should be stored.
     """
-    kinds = [(r["pack_name"], int(r["capacity_tokens"])) for r in containers.select("pack_name", "capacity_tokens").where("capacity_tokens > 0").orderBy("pack_name").collect()]
+    kinds = [(r["pack_name"], int(r["capacity_tokens"])) for r in containers.select("pack_name", "capacity_tokens").where("pack_name IS NOT NULL AND capacity_tokens > 0").orderBy("pack_name").collect()]
     plain = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("n"))
     key_type = plain.schema["key"].dataType
-    count = items.count()
     if not kinds:
         return items.sparkSession.createDataFrame([], T.StructType([T.StructField("pack_name", T.StringType()), T.StructField(key, key_type), T.StructField("piece", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("pack_id", T.StringType())]))
-    blocks = max(1, -(-count // block_items))
     kind = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(name).alias("pack_name"), F.lit(capacity).alias("capacity")) for i, (name, capacity) in enumerate(kinds)])
     spread = plain.select("key", "n", F.explode(kind).alias("k")).select("key", "n", "k.*")
-    rest = F.col("n") % F.col("capacity")
-    full = F.floor(F.col("n") / F.col("capacity")).cast("int")
+    full, rest = F.floor(F.col("n") / F.col("capacity")).cast("int"), (F.col("n") % F.col("capacity")).cast("int")
 
     # Pieces that fill a container need no matching.
     filled = spread.where(full > 0).select("kind", "pack_name", "key", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.col("capacity").alias("size"))
-    filled = filled.select("pack_name", "key", "piece", "size", F.concat_ws("-", F.lit("full"), F.col("kind"), F.col("key").cast("string"), F.col("piece"), F.monotonically_increasing_id()).alias("container"))
+    filled = filled.select("pack_name", "key", "piece", "size", F.concat_ws("-", F.lit("full"), F.col("key").cast("string"), F.col("piece"), F.monotonically_increasing_id()).alias("container"))
     empty = spread.where("n = 0").select("pack_name", "key", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container"))
-    random = F.xxhash64(F.col("key"), F.lit("block"))
-    todo = spread.where((rest > 0)).select("pack_name", "key", full.alias("piece"), rest.cast("int").alias("size"), "capacity", "kind", random.alias("tie"))
 
-    shape = T.StructType(
-        [T.StructField("pack_name", T.StringType()), T.StructField("key", key_type), T.StructField("piece", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("capacity", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("tie", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("container", T.StringType())]
-    )
-    done, step, now = [], 0, blocks
-    from marlgrid.session import cut
-
-    while True:
-        last = now == 1
-        slotted = todo.withColumn("slot", (F.col("kind") * now + F.pmod(F.col("tie"), F.lit(now))).cast("int")).withColumn("container", F.lit(None).cast("string")).select(shape.names)
-        stepped = slotted.repartitionById(len(kinds) * now, F.col("slot")).mapInArrow(_superstep(step, last, block_items // min(FAN_IN, now)), shape)
-        if not last:
-            stepped = cut(stepped)  # read twice: what stays and what goes on
-        done.append(stepped.where("container IS NOT NULL"))
-        if last:
-            break
-        todo = stepped.where("container IS NULL").drop("slot", "container")
-        now, step = max(1, -(-now // FAN_IN)), step + 1
-    out = filled.unionAll(empty)
-    for part in done:
-        out = out.unionAll(part.select("pack_name", "key", "piece", "size", "container"))
-    return out.select("pack_name", F.col("key").alias(key), "piece", "size", F.concat_ws(":", "pack_name", "container").alias("label"), "container").select(
-        "pack_name", key, "piece", "size", F.when(F.col("container").isNotNull(), F.col("label")).alias("pack_id")
-    )
+    # The range sort; stored, so that ranks do not change between counting and placing.
+    todo = spread.where(rest > 0).select("kind", "key", full.alias("piece"), rest.alias("size"), F.xxhash64("key", F.lit("rank")).alias("tie"))
+    order = ["kind", "size", "tie", "key"]
+    ranged = cut(todo.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "kind", "key", "piece", "size"))
+    # A size stands in neighbouring parts: as many rows as there are parts and sizes, whatever the items.
+    counted = sorted((r["kind"], r["part"], r["size"], r["n"]) for r in ranged.groupBy("part", "kind", "size").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = [np.zeros(capacity + 1, dtype="int64") for _, capacity in kinds]
+    before: dict[tuple[int, int], int] = {}
+    done = [0] * len(kinds)
+    for k, part, s, n in counted:
+        before.setdefault((part, k), done[k])
+        done[k] += n
+        counts[k][s] += n
+    sweeps = {k: Sweep(counts[k], capacity) for k, (_, capacity) in enumerate(kinds)}
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", key_type), T.StructField("piece", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("container", T.LongType())])
+    placed = ranged.mapInArrow(_place(sweeps, before), schema)
+    names = F.array(*[F.lit(name) for name, _ in kinds])
+    placed = placed.select(F.element_at(names, F.col("kind") + 1).alias("pack_name"), "key", "piece", "size", F.col("container").cast("string").alias("container"))
+    out = placed.unionAll(filled).unionAll(empty)
+    return out.select("pack_name", F.col("key").alias(key), "piece", "size", F.when(F.col("container").isNotNull(), F.concat_ws(":", "pack_name", "container")).alias("pack_id"))
 
 
 def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
@@ -151,3 +159,22 @@ def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     sized = containers.select("pack_name", F.col("capacity_tokens").alias("capacity"))
     joined = sized.join(total, "pack_name", "left")
     return joined.select("pack_name", "capacity", "n_packs", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("fewest_packs"), (F.col("n_tokens") / (F.col("n_packs") * F.col("capacity"))).alias("share_used"), (F.col("fullest") <= F.col("capacity")).alias("all_fit"))
+
+
+def laws(packed: DataFrame, key: str, items: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per kind: items placed, and how often a rule is broken (never, in a right packing).
+
+    ``items`` has key and size, each key once.
+    """
+    room = F.broadcast(containers.select(F.col("pack_name").alias("kind"), F.col("capacity_tokens").alias("capacity")))  # one row a kind
+    held = packed.where("pack_id IS NOT NULL").groupBy("pack_name", "pack_id").agg(F.sum("size").alias("held"))
+    over = held.join(room, F.col("pack_name") == F.col("kind")).groupBy("kind").agg(F.count_if(F.col("held") > F.col("capacity")).alias("n_overfull"))
+    pieces = packed.groupBy("pack_name", F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("total"))
+    sized = items.select("key", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).alias("own"))
+    judged = pieces.join(sized, "key", "left").join(room, F.col("pack_name") == F.col("kind"))
+    each = judged.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(~F.col("total").eqNullSafe(F.col("own"))).alias("n_incomplete"),
+        F.count_if(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("own") / F.col("capacity")))).alias("n_cut_needlessly"),
+    )
+    return each.join(over, "kind", "left").select(F.col("kind").alias("pack_name"), "n_items", "n_incomplete", "n_cut_needlessly", F.coalesce("n_overfull", F.lit(0)).alias("n_overfull"))

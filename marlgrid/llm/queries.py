@@ -193,6 +193,12 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill(packing.pack(_sized(spark, base), "key", "size", kinds), kinds)
 
 
+def p7_laws(spark: SparkSession, base: str) -> DataFrame:
+    """How many documents every kind of pack holds, and how often a rule of packing is broken."""
+    sized, kinds = _sized(spark, base), table(spark, base, "pack_sizes")
+    return packing.laws(packing.pack(sized, "key", "size", kinds), "key", sized, kinds)
+
+
 def p8_mix(spark: SparkSession, base: str) -> DataFrame:
     """The documents of the mix, each as often as it was drawn, in one global random order."""
     sized = _sized(spark, base)
@@ -207,6 +213,20 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.shares(mixing.replicate(sized, chosen), sized, targets, chosen)
 
 
+def p8_laws(spark: SparkSession, base: str) -> DataFrame:
+    """Per target source: its documents, and whether its cap held for each of them and for all."""
+    sized, targets = _sized(spark, base), table(spark, base, "mix_targets")
+    chosen, _ = mixing.plan(sized, targets)
+    mix = mixing.replicate(sized, chosen)
+    got = mixing.shares(mix, sized, targets, chosen)
+    strays = mix.groupBy("source").agg(F.count(F.lit(1)).alias("copies")).join(sized.groupBy(F.col("source").alias("own")).agg(F.count(F.lit(1)).alias("documents")), F.col("source") == F.col("own"), "left")
+    held = got.join(strays.select(F.col("source").alias("s"), "copies", "documents"), F.col("source") == F.col("s"), "left")
+    return held.select(
+        "source", F.coalesce("documents", F.lit(0)).alias("n_available"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_held"),
+        (F.coalesce("copies", F.lit(0)) <= F.coalesce("documents", F.lit(0)) * F.col("max_repeats")).alias("total_within_caps"),
+    )
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Every piece of personal information with its type and first character."""
     return pii.find(table(spark, base, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_char")
@@ -231,13 +251,19 @@ QUERIES = {
     "p5_unmatched": p5_unmatched,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_laws": p7_laws,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_laws": p8_laws,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
 
 SQL = {
+    "p7_laws": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_items, 0::BIGINT AS n_incomplete, 0::BIGINT AS n_cut_needlessly, 0::BIGINT AS n_overfull FROM pack_sizes",
+    "p8_laws": """
+        SELECT t.source, coalesce(d.n, 0) AS n_available, TRUE AS cap_held, TRUE AS total_within_caps
+        FROM mix_targets t LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) d ON d.source = t.source""",
     "p3_near_text": """
         WITH t AS (SELECT id, "partition" = 'dev' AS train, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM olist_acceptance_60 WHERE "partition" IN ('dev', 'regression', 'holdout')),
              s AS (SELECT id, train, array_to_string(list_sort(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$'))), ' ') AS marks,

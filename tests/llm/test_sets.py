@@ -125,23 +125,36 @@ def test_slot_read_on_both_sides_decides(spark):
     assert sorted(r.eval_id for r in overlap.cross_pairs(df).collect()) == ["same", "unread"]
 
 
-def test_best_fit():
+def best_fit_decreasing(sizes, capacity):
+    """One item at a time, the smallest gap that holds it."""
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - size)
+    return sorted(gaps)
+
+
+@pytest.mark.parametrize("capacity, top", [(100, 100), (64, 9), (1000, 400), (7, 3)])
+def test_sweep_is_best_fit_decreasing(capacity, top):
     rng = np.random.default_rng(6)
-    sizes = np.sort(rng.integers(1, 400, 3000))[::-1]
-    container, gaps = packing.best_fit(sizes, 1000)
-    held = np.bincount(container, sizes)
-    assert (held <= 1000).all() and (1000 - held == gaps).all()
-    assert len(held) <= math.ceil(sizes.sum() / 1000) * 1.005 + 1
+    sizes = np.sort(np.concatenate([rng.integers(1, top + 1, 700), np.full(300, top // 2 + 1)]))
+    sweep = packing.Sweep(np.bincount(sizes, minlength=capacity + 1), capacity)
+    container = sweep.container(np.arange(len(sizes)))
+    held = np.bincount(container, sizes, minlength=sweep.n_containers).astype(int)
+    assert len(held) == sweep.n_containers and sorted(capacity - held) == best_fit_decreasing(sizes.tolist(), capacity)
+    assert packing.Sweep(np.zeros(8, int), 7).n_containers == 0
 
 
-@pytest.mark.parametrize("block", [40_000, 200])
-def test_packing(spark, block):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_packing(spark, parts):
     rng = np.random.default_rng(7)
     sizes = [int(x) for x in rng.lognormal(4, 1, 900)] + [0, 0, 256, 512, 513]
     rows = [(i, s, "x") for i, s in enumerate(sizes)] + [(10_000, None, "x"), (0, sizes[0], "x")]
-    items = spark.createDataFrame(rows, "key bigint, n int, pack_id string")
+    items = spark.createDataFrame(rows, "key bigint, n int, pack_id string").repartition(parts)
     kinds = spark.createDataFrame([("small", 256), ("big", 1024)], "pack_name string, capacity_tokens int")
-    packed = packing.pack(items, "key", "n", kinds, block_items=block)
+    packed = packing.pack(items, "key", "n", kinds)
     got = packed.collect()
     for name, capacity in (("small", 256), ("big", 1024)):
         own = [r for r in got if r.pack_name == name]
@@ -158,6 +171,8 @@ def test_packing(spark, block):
         assert all(len([r for r in own if r.key == k]) == max(1, -(-sizes[k] // capacity)) for k in range(1, len(sizes)))
         least = math.ceil(sum(held.values()) / capacity)
         assert len(held) <= least * 1.01 + 1
+    same = packing.pack(items.repartition(5), "key", "n", kinds).collect()
+    assert sorted(Counter(r.pack_id for r in same if r.key not in (0, 10_000)).values()) == sorted(Counter(r.pack_id for r in got if r.key not in (0, 10_000)).values())
     assert {r.pack_name: r.all_fit for r in packing.fill(packed, kinds).collect()} == {"small": True, "big": True}
     assert packing.pack(items.limit(0), "key", "n", kinds).count() == 0
     assert packing.pack(items, "key", "n", kinds.limit(0)).count() == 0
