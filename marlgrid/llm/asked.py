@@ -21,6 +21,9 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
+
+import regex
 
 from marlgrid.llm.unify import unify
 
@@ -66,8 +69,11 @@ NEEDED = ("metric", "month", "category", "state", "limit")
 # -- queries ----------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"'(?:[^']|'')*'|[^\W\d]\w*|\d+(?:\.\d+)?|<=|>=|<>|!=|\|\||[^\s\w]")
-_HEADS = {("select",): "select", ("from",): "from", ("where",): "where", ("group", "by"): "group", ("having",): "having", ("order", "by"): "order", ("limit",): "limit"}
+_HEADS = {"select": 1, "from": 1, "where": 1, "group": 2, "having": 1, "order": 2, "limit": 1}
 _JOIN_WORDS = {"join", "inner", "left", "right", "full", "outer", "cross", "on", "as", ","}
+_LITERAL = re.compile(r"'(?:[^']|'')*'|-?\d+(?:\.\d+)?")
+_COMPARED = re.compile(r"'(?:[^']|'')*'|(?<![\w.,'(#])\d+(?:\.\d+)?")
+_NAME = re.compile(r"[^\W\d]\w*")
 _FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "!=": "!="}
 
 
@@ -86,13 +92,13 @@ def _clauses(tokens: list[str]) -> dict[str, list[str]] | None:
     current, depth, i = None, 0, 0
     while i < len(tokens):
         if not depth:
-            head = next((h for h in _HEADS if tuple(tokens[i : i + len(h)]) == h), None)
-            if head:
-                current = _HEADS[head]
+            words_of_head = _HEADS.get(tokens[i], 0)
+            if words_of_head and (words_of_head == 1 or tokens[i + 1 : i + 2] == ["by"]):
+                current = tokens[i]
                 if current in parts or (not parts and current != "select"):
                     return None
                 parts[current] = []
-                i += len(head)
+                i += words_of_head
                 continue
             if current is None or tokens[i] in ("union", "intersect", "except"):
                 return None
@@ -139,7 +145,7 @@ def _sources(tokens: list[str]) -> tuple[dict[str, str], list[tuple[str, str, li
             out[-1] = (*out[-1][:2], tokens[i + 1 : stop])
             i = stop
             continue
-        if not re.fullmatch(r"[^\W\d]\w*", t) or t == "using":
+        if not _NAME.fullmatch(t) or t == "using":
             return None
         seen[t] += 1
         table = t if seen[t] == 1 else f"{t}#{seen[t]}"
@@ -147,7 +153,7 @@ def _sources(tokens: list[str]) -> tuple[dict[str, str], list[tuple[str, str, li
         kind, i = "join", i + 1
         if i < len(tokens) and tokens[i] == "as":
             i += 1
-        if i < len(tokens) and tokens[i] not in _JOIN_WORDS | {"using", "natural"} and re.fullmatch(r"[^\W\d]\w*", tokens[i]):
+        if i < len(tokens) and tokens[i] not in _JOIN_WORDS | {"using", "natural"} and _NAME.fullmatch(tokens[i]):
             names[tokens[i]] = table
             i += 1
         names.setdefault(t, table)
@@ -156,7 +162,7 @@ def _sources(tokens: list[str]) -> tuple[dict[str, str], list[tuple[str, str, li
 
 def _lent(tokens: list[str], names: dict[str, str]) -> dict[str, str]:
     """The names, with the one unknown qualifier given to the one relation that no qualifier means."""
-    used = {a for a, dot in zip(tokens, tokens[1:]) if dot == "." and re.fullmatch(r"[^\W\d]\w*", a)}
+    used = {a for a, dot in zip(tokens, tokens[1:]) if dot == "." and _NAME.fullmatch(a)}
     unknown, idle = used - set(names), set(names.values()) - {names[u] for u in used & set(names)}
     return {**names, unknown.pop(): idle.pop()} if len(unknown) == 1 and len(idle) == 1 else names
 
@@ -185,6 +191,11 @@ def _text(tokens: list[str]) -> str:
 
 
 def _expression(tokens: list[str]) -> str:
+    return tokens[0] if len(tokens) == 1 else _written(tuple(tokens))
+
+
+@lru_cache(maxsize=20_000)
+def _written(tokens: tuple[str, ...]) -> str:
     text = _text(tokens).replace("count(1)", "count(*)")
     text = re.sub(r"1\.0\*sum\(([\w.#]+)\)/count\(\1\)", r"avg(\1)", text)
     if "'" not in text and re.fullmatch(r"[\w.#]+(?:\+[\w.#]+)+", text):
@@ -194,6 +205,11 @@ def _expression(tokens: list[str]) -> str:
 
 def _conjunct(tokens: list[str]) -> list[str]:
     """One condition in its plain form; BETWEEN gives two."""
+    return _condition(tuple(tokens))
+
+
+@lru_cache(maxsize=20_000)
+def _condition(tokens: tuple[str, ...]) -> list[str]:
     depth = 0
     for i, t in enumerate(tokens):
         depth += (t == "(") - (t == ")")
@@ -201,17 +217,17 @@ def _conjunct(tokens: list[str]) -> list[str]:
             continue
         if t == "between" and "and" in tokens[i:]:
             stop = len(tokens) - 1 - tokens[::-1].index("and")
-            if tokens[i - 1 : i] != ["not"]:
+            if tokens[i - 1 : i] != ("not",):
                 left = _expression(tokens[:i])
                 return [f"{left}>={_expression(tokens[i + 1 : stop])}", f"{left}<={_expression(tokens[stop + 1 :])}"]
-        if t == "like" and tokens[i - 1 : i] != ["not"] and len(tokens) == i + 2:
+        if t == "like" and tokens[i - 1 : i] != ("not",) and len(tokens) == i + 2:
             m = re.fullmatch(r"'([^%_']+)%'", tokens[i + 1])
             if m:
                 return [f"substr({_expression(tokens[:i])},1,{len(m[1])})='{m[1]}'"]
         if t in _FLIPPED:
             left, right = _expression(tokens[:i]), _expression(tokens[i + 1 :])
-            plain = re.compile(r"'(?:[^']|'')*'|-?\d+(?:\.\d+)?")
-            turn = bool(plain.fullmatch(left)) > bool(plain.fullmatch(right)) or (t in ("=", "!=") and bool(plain.fullmatch(left)) == bool(plain.fullmatch(right)) and left > right)
+            fixed = bool(_LITERAL.fullmatch(left)), bool(_LITERAL.fullmatch(right))
+            turn = fixed == (True, False) or (t in ("=", "!=") and fixed[0] == fixed[1] and left > right)
             return [f"{right}{_FLIPPED[t]}{left}" if turn else f"{left}{t}{right}"]
     return [_expression(tokens)]
 
@@ -228,7 +244,7 @@ class Query:
             self.plain, self.tokens, self.clauses = False, found, ("statement " + " ".join(found),)
         else:
             self._plain(parts, *read)
-        self.marks = " ".join(sorted(re.findall(r"'(?:[^']|'')*'|(?<![\w.,'(#])\d+(?:\.\d+)?", " ".join(self.clauses))))
+        self.marks = " ".join(sorted(_COMPARED.findall(" ".join(self.clauses))))
 
     def _plain(self, parts: dict, names: dict, sources: list) -> None:
         self.plain = True
@@ -301,12 +317,18 @@ def digest(parts) -> str:
 _GROUPED = re.compile(r"(?<![\d.,])(\d{1,3})((?:[ ,. ]\d{3})+)(?![\d])")
 
 
+#: Combining marks.
+_MARK = regex.compile(r"\p{M}+")
+
+
 def words(question: str | None) -> list[str]:
     """Folded words and numbers of a question; digit groups make one number."""
     if question is None:
         return []
-    text = unicodedata.normalize("NFD", unify(question).casefold().replace("đ", "d"))
-    text = "".join(c for c in text if not unicodedata.combining(c)).replace("_", " ").replace("¢", " cents ")
+    text = unify(question).casefold()
+    if not text.isascii():
+        text = _MARK.sub("", unicodedata.normalize("NFD", text.replace("đ", "d").replace("¢", " cents ")))
+    text = text.replace("_", " ")
     text = _GROUPED.sub(lambda m: m[1] + re.sub(r"\D", "", m[2]), text)
     return re.findall(r"\d+|[^\W\d]+", text)
 
