@@ -153,7 +153,7 @@ def _cities(spark: SparkSession, base: str, tables=CITIES) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    """Rows whose city holds a character other than the ordinary one."""
+    """Rows whose city the normaliser changes, for a character other than the ordinary one."""
     rows = _cities(spark, base, CITIES[:2]).where(F.col("city").isNotNull())
     return rows.where(unify.odd(F.col("city"))).select("table_name", "row_key").distinct()
 

@@ -184,9 +184,14 @@ def _unify_udf(values: pd.Series) -> pd.Series:
     return _batched(values, unify).astype(object).where(values.notna(), None)
 
 
+def changed(text: str) -> bool:
+    """Whether the operator gives a text another form, and an odd character is the reason (the exact check)."""
+    return unify(text) != text and has_odd_character(text)
+
+
 @F.pandas_udf(T.BooleanType())
 def _odd_udf(values: pd.Series) -> pd.Series:
-    return _batched(values, has_odd_character).fillna(False).astype(bool)
+    return _batched(values, changed).fillna(False).astype(bool)
 
 
 #: Plain ASCII text, decided inside the JVM.
@@ -200,6 +205,6 @@ def unified(column: Column) -> Column:
 
 
 def odd(column: Column) -> Column:
-    """Whether the text holds a character other than the ordinary one; null text does not."""
+    """Whether the one form of the text is another one for an odd character; null text has none."""
     plain = column.rlike(PLAIN)
     return ~plain & _odd_udf(F.when(~plain, column))
