@@ -1,33 +1,46 @@
-"""Points near other points: a distributed latitude-strip sweep.
-
-Latitude is cut into strips of about equal row counts (boundaries are
-quantiles, so a dense city becomes many thin strips).  A probe row belongs to
-exactly one strip; a build row is copied into every strip within the radius of
-its latitude.  Inside a strip the build rows are ordered by latitude band and
-longitude, and a sweep over the active bands takes the longitude window of
-each probe row; great-circle distance then decides.  A pair is found only in
-the strip that owns its probe row, so no pair comes out twice and no
-de-duplication shuffle is needed.
-
-Rows with a null, NaN or infinite coordinate, a latitude beyond +-90 or a null
-id take no part.  Repeated rows are rows of their own.  Empty inputs give an
-empty result.
+"""Points near other points or in regions: a distributed sweep over latitude strips.
+
+Latitude is cut into strips of about equal row counts by an exact histogram over
+at most ``CELLS`` equal cells, none lower than twice the reach of the join.  A strip
+that stays too heavy is cut by longitude in the same way, and a tile that is heavy
+where it cannot be cut any more (one place many times) is shared by a grid of tasks,
+each with a share of its probe rows and a share of its build rows.  So no task holds
+more than its wanted rows, whichever side is large, and the plan's size is that of
+the task list and not of the data.
+
+A probe row belongs to exactly one tile; a build row is copied into every tile
+within the radius, at most two strips high.  Inside a tile the build rows are
+ordered by latitude band and longitude, and a sweep over the active bands takes the
+longitude window of each probe row; great-circle distance then decides.  A pair is
+found only in the tile that owns its probe row, so no pair comes out twice and no
+de-duplication shuffle is needed.  Several joins of one probe table share one
+histogram, one exchange and one sort.
+
+Rows with a null, NaN or infinite coordinate, a latitude beyond +-90, a longitude
+beyond +-180 or a null id take no part.  Repeated rows are rows of their own.  Empty
+inputs give an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 EARTH_RADIUS_M = 6_371_008.8
 #: Candidate pairs verified at a time inside one task.
 CHUNK = 2_000_000
-PROBE, BUILD, BOTH = 0, 1, 2
+#: Latitude cells of the histogram, and longitude cells per wanted piece of a heavy strip.
+CELLS, FINER = 1 << 16, 16
+#: Wanted rows of a task, and tasks beyond which it gets more.
+TILE_ROWS, MOST_TILES = 150_000, 50_000
+PROBE = 0  # the kind of a row; build rows of the k-th join are k + 1
 
 
 def usable(lat: Column, lng: Column) -> Column:
@@ -50,78 +63,192 @@ def longitude_reach(lat, radius_m: float):
     return np.where(ratio >= 1, 360.0, np.degrees(np.arcsin(np.minimum(ratio, 1.0)))) * (1 + 1e-9) + 1e-9
 
 
-class Strips:
-    """Boundaries of latitude strips, and how many tasks share each.
+@dataclass(frozen=True)
+class Tiles:
+    """Strips of latitude, cut by longitude where they are heavy, and the tasks of each piece.
 
-    A latitude that holds many strips' worth of rows repeats among the
-    quantiles; its strip is then shared by that many tasks, each with all the
-    build rows and a share of the probe rows.
+    ``south`` holds the strips' lower edges but the first; ``keys`` holds, in order,
+    strip * ``TURN`` + the western edge of every piece; ``first`` is a piece's first
+    task, which has ``probes`` x ``builds`` of them.
     """
 
-    def __init__(self, quantiles: list[float]):
-        edges, copies = np.unique(np.asarray(quantiles, dtype="float64"), return_counts=True)
-        self.edges = edges
-        self.shares = np.concatenate([[1], copies]).astype("int64")
-        self.first = np.concatenate([[0], np.cumsum(self.shares)[:-1]]).astype("int64")
+    south: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    probes: np.ndarray
+    builds: np.ndarray
 
     def __len__(self) -> int:
-        return int(self.shares.sum())
+        return int((self.probes * self.builds).sum())
 
-    def of(self, lat) -> np.ndarray:
-        return np.searchsorted(self.edges, lat, side="right")
+    def strip(self, lat) -> np.ndarray:
+        return np.searchsorted(self.south, lat, side="right")
 
-    def own(self, lat, salt) -> np.ndarray:
-        strip = self.of(lat)
-        return self.first[strip] + salt % self.shares[strip]
+    def piece(self, strip, lng) -> np.ndarray:
+        return np.searchsorted(self.keys, strip * TURN + lng, side="right") - 1
 
-    def all_within(self, lat, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each latitude, all tasks of all strips that it is near to: (position, task)."""
-        low, high = self.of(lat - margin), self.of(lat + margin)
-        start, stop = self.first[low], self.first[high] + self.shares[high]
-        count = stop - start
-        at = np.repeat(np.arange(len(lat)), count)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        return at, start[at] + step
+    def owners(self, lat, lng) -> tuple[np.ndarray, np.ndarray]:
+        """All tasks of each probe row: (position, task); one but in shared pieces."""
+        piece = self.piece(self.strip(lat), lng)
+        share = np.arange(len(lat)) % self.probes[piece]
+        at, step = _repeated(self.builds[piece])
+        return at, (self.first[piece] + share * self.builds[piece])[at] + step
 
+    def near(self, south, north, west, east) -> tuple[np.ndarray, np.ndarray]:
+        """All tasks that meet each rectangle: (position, task); one per share of the probe rows."""
+        low = self.strip(south)
+        at, step = _repeated(self.strip(north) - low + 1)
+        strip = low[at] + step
+        left = self.piece(strip, west[at])
+        each, step = _repeated(self.piece(strip, east[at]) - left + 1)
+        piece = left[each] + step
+        share = np.arange(len(south))[at[each]] % self.builds[piece]
+        every, step = _repeated(self.probes[piece])
+        return at[each][every], (self.first[piece] + share)[every] + step * self.builds[piece][every]
 
-def _spread(role: int, strips: Strips, margin: float, radius_m: float):
-    """Batches of (id, lat, lng) -> rows (task, role, id, lat, lng)."""
+
+#: More than any two longitudes, shifted copies included, can differ.
+TURN = 4000.0
+
+
+def _repeated(count) -> tuple[np.ndarray, np.ndarray]:
+    """Positions repeated by their count, and the step within each repetition."""
+    at = np.repeat(np.arange(len(count)), count)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _grouped(counts: np.ndarray, wanted: int) -> np.ndarray:
+    """First cells of groups of neighbouring cells that hold ``wanted`` rows at most, or are one cell."""
+    starts, held = [0], 0
+    for cell in np.flatnonzero(counts).tolist():
+        n = int(counts[cell])
+        if held and held + n > wanted and cell != starts[-1]:
+            starts.append(cell)
+            held = 0
+        held += n
+    return np.array(starts, dtype="int64")
+
+
+def plan(probe: DataFrame, builds: Sequence[DataFrame], margin: float, reach_of, tile_rows: int = TILE_ROWS) -> Tiles:
+    """Tiles for rows with columns lat and lng: one pass over both sides, a second over heavy strips only.
+
+    ``margin`` is how far in latitude, ``reach_of`` (of an array of latitudes) how
+    far in longitude a build row is copied.
+    """
+    height = max(180.0 / CELLS, 2 * margin)
+    cells = int(np.ceil(180.0 / height)) + 1
+    rows = None
+    for df, side in ((probe, "p"), *((b, "b") for b in builds)):
+        one = df.select("lat", "lng", F.lit(side).alias("side"))
+        rows = one if rows is None else rows.unionAll(one)
+    counted = rows.groupBy(F.floor((F.col("lat") + 90.0) / height).cast("int").alias("cell"), "side").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {side: np.zeros(cells, dtype="int64") for side in "pb"}
+    for r in counted:
+        counts[r["side"]][min(r["cell"], cells - 1)] += r["n"]
+    whole = counts["p"] + counts["b"]
+    wanted = max(tile_rows, -(-int(whole.sum()) // MOST_TILES))
+    starts = _grouped(whole, wanted)
+    south = starts[1:] * height - 90.0
+    held = {side: np.add.reduceat(c, starts) for side, c in counts.items()}
+    total = held["p"] + held["b"]
+
+    heavy = np.flatnonzero(total > wanted)
+    middle = np.concatenate([[-90.0], south]) + height / 2
+    width = np.maximum(2 * reach_of(np.minimum(np.abs(middle) + height, 90.0)), 360.0 / (FINER * np.maximum(1, -(-total // wanted))))
+    found: dict[int, dict[str, np.ndarray]] = {int(i): {side: np.zeros(int(np.ceil(360.0 / width[i])) + 1, dtype="int64") for side in "pb"} for i in heavy}
+    if len(heavy):
+        is_heavy = np.isin(np.arange(len(starts)), heavy)
+
+        def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows per (strip, cell of longitude, side), of heavy strips."""
+            for batch in batches:
+                lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                strip = np.searchsorted(south, lat, side="right")
+                kept = is_heavy[strip]
+                is_probe = np.asarray(batch.column(2).to_pylist(), dtype=object)[kept] == "p"
+                strip, lng = strip[kept], lng[kept]
+                if len(strip):
+                    cell = np.floor((lng + 180.0) / width[strip]).astype("int64")
+                    keys, n = np.unique(np.stack([strip, cell, is_probe.astype("int64")]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(keys[2]), pa.array(n.astype("int64"))], names=["strip", "cell", "probe", "n"])
+
+        for r in rows.mapInArrow(along, "strip bigint, cell bigint, probe bigint, n bigint").groupBy("strip", "cell", "probe").agg(F.sum("n").alias("n")).collect():
+            line = found[r["strip"]]["p" if r["probe"] else "b"]
+            line[min(r["cell"], len(line) - 1)] += r["n"]
+
+    keys, probes, shares = [], [], []
+    for i in range(len(starts)):
+        if i in found:
+            line = found[i]
+            cuts = _grouped(line["p"] + line["b"], wanted)
+            p, b = (np.add.reduceat(line[side], cuts) for side in "pb")
+            over = p + b > wanted
+            keys += [i * TURN - 1500.0, *(i * TURN - 180.0 + cuts[1:] * width[i])]
+            probes += np.where(over, np.maximum(1, -(-p // wanted)), 1).tolist()
+            shares += np.where(over, np.maximum(1, -(-b // wanted)), 1).tolist()
+        else:
+            keys.append(i * TURN - 1500.0)
+            probes.append(1)
+            shares.append(1)
+    probes, shares = np.array(probes, dtype="int64"), np.array(shares, dtype="int64")
+    return Tiles(south, np.array(keys), np.concatenate([[0], np.cumsum(probes * shares)[:-1]]), probes, shares)
+
+
+def _batch(task, kind: int, ids: pa.Array, at, *columns) -> pa.RecordBatch:
+    names = ["lat", "lng"] if len(columns) == 2 else ["south", "north", "west", "east"]
+    return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(np.full(len(task), kind, "int8")), ids.take(pa.array(at)), *(pa.array(c) for c in columns)], names=["task", "kind", "id", *names])
+
+
+def _probes(tiles: Tiles, box: bool = False):
+    """Batches of (id, lat, lng) -> the row in the tasks that own it; as a box without extent if asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                at, task = tiles.owners(lat, lng)
+                yield _batch(task, PROBE, batch.column(0), at, *((lat[at], lat[at], lng[at], lng[at]) if box else (lat[at], lng[at])))
+
+    return run
+
+
+def _builds(tiles: Tiles, kind: int, radius_m: float, same: bool):
+    """Batches of (id, lat, lng) -> the row in every task within the radius.
+
+    Of a table joined with itself the probe rows are build rows where they stand,
+    so only copies for other tasks are made.
+    """
+    margin = _margin(radius_m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0)
-            lat = batch.column(1).to_numpy(zero_copy_only=False)
-            lng = batch.column(2).to_numpy(zero_copy_only=False)
-            salt = np.arange(len(lat))
-            parts = []
-            if role in (PROBE, BOTH):
-                own = strips.own(lat, salt)
-                parts.append((np.arange(len(lat)), own, lng, PROBE if role == PROBE else BOTH))
-            if role in (BUILD, BOTH):
-                at, task = strips.all_within(lat, margin)
-                if role == BOTH:
-                    other = task != own[at]
+            lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            reach = longitude_reach(np.minimum(np.abs(lat) + margin, 90.0), radius_m) * 1.01 + 1e-6
+            # Beyond the date line the same place lies 360 degrees on.
+            for shift, edge in ((0.0, np.full(len(lat), True)), (360.0, lng < -180 + reach), (-360.0, lng > 180 - reach)):
+                which = np.flatnonzero(edge)
+                if not len(which):
+                    continue
+                moved = lng[which] + shift
+                at, task = tiles.near(lat[which] - margin, lat[which] + margin, moved - reach[which], moved + reach[which])
+                if same and not shift:
+                    piece = tiles.piece(tiles.strip(lat[which]), lng[which])
+                    home = (tiles.probes[piece] == 1) & (tiles.builds[piece] == 1)
+                    other = ~(home[at] & (task == tiles.first[piece][at]))
                     at, task = at[other], task[other]
-                parts.append((at, task, lng[at], BUILD))
-                # Beyond the date line the same place lies 360 degrees on; the strip's
-                # own build rows are needed again there too.
-                at, task = strips.all_within(lat, margin)
-                reach = longitude_reach(lat[at], radius_m) * 1.01 + 1e-6
-                for shift, edge in ((360.0, lng[at] < -180 + reach), (-360.0, lng[at] > 180 - reach)):
-                    if edge.any():
-                        parts.append((at[edge], task[edge], lng[at][edge] + shift, BUILD))
-            for at, task, shifted, kind in parts:
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(task, pa.int64()), pa.array(np.full(len(at), kind, "int8")), ids.take(pa.array(at)), pa.array(lat[at]), pa.array(shifted)],
-                        names=["task", "role", "id", "lat", "lng"],
-                    )
+                    yield _batch(task, kind, ids, which[at], lat[which][at], moved[at])
 
     return run
 
 
+def _margin(radius_m: float) -> float:
+    return float(np.degrees(radius_m / EARTH_RADIUS_M)) * (1 + 1e-9) + 1e-12
+
+
 def sweep(p_lat, p_lng, b_lat, b_lng, radius_m: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (probe, build) of all pairs within the radius, in bounded chunks.
 
@@ -132,15 +259,14 @@ def sweep(p_lat, p_lng, b_lat, b_lng, radius_m: float) -> Iterator[tuple[np.ndar
         return
     band_height = np.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9) + 1e-12
     base = min(p_lat.min(), b_lat.min()) - 2 * band_height
-    width = 1500.0  # more than any two longitudes, shifted copies included, can differ
     b_band, p_band = np.floor((b_lat - base) / band_height), np.floor((p_lat - base) / band_height)
-    b_key = b_band * width + b_lng
+    b_key = b_band * TURN + b_lng
     order = np.argsort(b_key, kind="stable")
     b_key = b_key[order]
     reach = longitude_reach(p_lat, radius_m)
     slack = 4 * np.spacing(max(abs(b_key[0]), abs(b_key[-1]), 1.0))
     for side in (-1, 0, 1):
-        middle = (p_band + side) * width + p_lng
+        middle = (p_band + side) * TURN + p_lng
         low = np.searchsorted(b_key, middle - reach - slack, side="left")
         high = np.searchsorted(b_key, middle + reach + slack, side="right")
         count = np.maximum(high - low, 0)
@@ -172,132 +298,122 @@ def sweep(p_lat, p_lng, b_lat, b_lng, radius_m: float) -> Iterator[tuple[np.ndar
             begin = stop
 
 
-def _sweeper(radius_m: float, same: bool, left_type: pa.DataType, right_type: pa.DataType):
-    """Batches ordered by task -> pairs of ids."""
-
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(rows)
-        role = group.column("role").to_numpy()
-        lat, lng = group.column("lat").to_numpy(), group.column("lng").to_numpy()
-        ids = group.column("id").combine_chunks()
-        probe_at, build_at = np.flatnonzero(role != BUILD), np.flatnonzero(role != PROBE)
-        if same:
-            number = pa.types.is_integer(ids.type)
-            ordered = ids.to_numpy(zero_copy_only=False) if number else np.asarray(ids.to_pylist(), dtype=object)
-        for p, b in sweep(lat[probe_at], lng[probe_at], lat[build_at], lng[build_at], radius_m):
-            p, b = probe_at[p], build_at[b]
-            if same:
-                first = (ordered[p] < ordered[b]).astype(bool)
-                p, b = p[first], b[first]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p)).cast(left_type), ids.take(pa.array(b)).cast(right_type)], names=["left_id", "right_id"])
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Batches ordered by task -> each task's rows."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        task = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if current is not None and task[a] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = int(task[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def _sweeper(radii: list[float], same: list[bool], shared: np.ndarray):
+    """Batches ordered by task -> (join, left_id, right_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            task = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if current is not None and task[a] != current:
-                    yield from pairs(held)
-                    held = []
-                current = task[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from pairs(held)
+        for task, group in _tasks(batches):
+            kind = group.column("kind").to_numpy()
+            lat, lng = group.column("lat").to_numpy(), group.column("lng").to_numpy()
+            ids = group.column("id").combine_chunks()
+            probe_at = np.flatnonzero(kind == PROBE)
+            ordered = None
+            for n, (radius_m, own) in enumerate(zip(radii, same)):
+                # Where a piece is one task, the probe rows of a self-join are build rows too.
+                build_at = np.flatnonzero((kind == n + 1) | ((kind == PROBE) & (own and not shared[task])))
+                if own and ordered is None:
+                    ordered = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.asarray(ids.to_pylist(), dtype=object)
+                for p, b in sweep(lat[probe_at], lng[probe_at], lat[build_at], lng[build_at], radius_m):
+                    p, b = probe_at[p], build_at[b]
+                    if own:
+                        first = (ordered[p] < ordered[b]).astype(bool)
+                        p, b = p[first], b[first]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), n, "int32")), ids.take(pa.array(p)), ids.take(pa.array(b))], names=["target", "left_id", "right_id"])
 
     return run
 
 
-def near_join(
-    left: DataFrame,
-    right: DataFrame | None,
-    radius_m: float,
-    *,
-    left_cols: tuple[str, str, str],
-    right_cols: tuple[str, str, str] | None = None,
-    strip_rows: int = 60_000,
-) -> DataFrame:
-    """Pairs (left_id, right_id) at most ``radius_m`` apart.
-
-    ``left_cols`` and ``right_cols`` name (id, latitude, longitude).  With
-    ``right`` None the table is joined with itself: each unordered pair once,
-    the smaller id left; a row is no partner of itself or of rows with its id.
-    Other columns are ignored, whatever their names.  ``strip_rows`` is the
-    wanted number of probe rows in a task.
-    """
-    if not radius_m > 0:
-        raise ValueError("radius_m must be positive")
-    spark, same = left.sparkSession, right is None
+def _common(types: list[T.DataType]) -> T.DataType:
+    """One type for the ids of all sides."""
+    if all(t == types[0] for t in types):
+        return types[0]
+    return T.LongType() if all(isinstance(t, T.IntegralType) for t in types) else T.StringType()
 
-    def points(df: DataFrame, cols: tuple[str, str, str]) -> DataFrame:
-        key, lat, lng = (df[c] for c in cols)
-        lat, lng = lat.cast("double"), lng.cast("double")
-        return df.where(key.isNotNull() & usable(lat, lng)).select(key.alias("id"), lat.alias("lat"), lng.alias("lng"))
 
-    probe = points(left, left_cols)
-    build = probe if same else points(right, right_cols or left_cols)
-    left_type, right_type = probe.schema["id"].dataType, build.schema["id"].dataType
-    common = left_type if left_type == right_type else T.StringType()
-    probe, build = (x.withColumn("id", F.col("id").cast(common)) for x in (probe, build))
+def _points(df: DataFrame, cols: tuple[str, str, str]) -> DataFrame:
+    key, lat, lng = (df[c] for c in cols)
+    lat, lng = lat.cast("double"), lng.cast("double")
+    return df.where(key.isNotNull() & usable(lat, lng)).select(key.alias("id"), lat.alias("lat"), lng.alias("lng"))
 
-    rows = probe.count()
-    # The strip number is the partition number, so the shuffle needs no sampling pass.
-    wanted = -(-rows // strip_rows)
-    quantiles = probe.approxQuantile("lat", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted)) if wanted > 1 else []
-    strips = Strips(quantiles)
-    margin = float(np.degrees(radius_m / EARTH_RADIUS_M)) * (1 + 1e-9) + 1e-12
 
-    schema = T.StructType([T.StructField("task", T.LongType()), T.StructField("role", T.ByteType()), T.StructField("id", common), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())])
-    if same:
-        spread = probe.mapInArrow(_spread(BOTH, strips, margin, radius_m), schema)
-    else:
-        spread = probe.mapInArrow(_spread(PROBE, strips, margin, radius_m), schema).unionAll(build.mapInArrow(_spread(BUILD, strips, margin, radius_m), schema))
-    from pyspark.sql.pandas.types import to_arrow_type
+def near_joins(left: DataFrame, left_cols: tuple[str, str, str], targets: Sequence[tuple[DataFrame | None, tuple[str, str, str] | None, float]], *, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs (target, left_id, right_id) of several joins of one table, in one pass.
 
-    found = T.StructType([T.StructField("left_id", left_type), T.StructField("right_id", right_type)])
+    Each target is (right, its columns, radius in metres); ``target`` is its
+    position.  Columns name (id, latitude, longitude).  With ``right`` None the
+    table is joined with itself: each unordered pair once, the smaller id left; a
+    row is no partner of itself or of rows with its id.  The ids come in one type:
+    that of all sides, bigint for integers of different width, else string.
+    ``tile_rows`` is the wanted number of rows in a task.
+    """
+    if not targets or not all(radius > 0 for _, _, radius in targets):
+        raise ValueError("radii must be positive")
+    probe = _points(left, left_cols)
+    builds = [(None if right is None else _points(right, cols or left_cols)) for right, cols, _ in targets]
+    common = _common([probe.schema["id"].dataType, *(b.schema["id"].dataType for b in builds if b is not None)])
+    probe, builds = probe.withColumn("id", F.col("id").cast(common)), [None if b is None else b.withColumn("id", F.col("id").cast(common)) for b in builds]
+    widest = max(radius for _, _, radius in targets)
+    tiles = plan(probe, [b for b in builds if b is not None], _margin(widest), lambda lat: longitude_reach(lat, widest), tile_rows)
+
+    schema = T.StructType([T.StructField("task", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("id", common), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())])
+    own = [(n, radius) for n, (right, _, radius) in enumerate(targets) if right is None]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makers = [_probes(tiles), *(_builds(tiles, n + 1, radius, True) for n, radius in own)]
+        for batch in batches:
+            for make in makers:
+                yield from make(iter([batch]))
+
+    rows = probe.mapInArrow(spread, schema)
+    for n, (b, (_, _, radius)) in enumerate(zip(builds, targets)):
+        if b is not None:
+            rows = rows.unionAll(b.mapInArrow(_builds(tiles, n + 1, radius, False), schema))
+    found = T.StructType([T.StructField("target", T.IntegerType()), T.StructField("left_id", common), T.StructField("right_id", common)])
+    shared = np.repeat(tiles.probes * tiles.builds > 1, tiles.probes * tiles.builds)
+    # The task number is the partition number, so the exchange needs no sampling pass.
     return (
-        spread.repartitionById(len(strips), F.col("task").cast("int"))
+        rows.repartitionById(len(tiles), F.col("task").cast("int"))
         .sortWithinPartitions("task")
-        .mapInArrow(_sweeper(radius_m, same, to_arrow_type(left_type), to_arrow_type(right_type)), found)
+        .mapInArrow(_sweeper([radius for _, _, radius in targets], [right is None for right, _, _ in targets], shared), found)
     )
 
 
-def _boxes(strips: Strips):
-    """Batches of (id, south, north, west, east) -> a row per strip that the box meets."""
+def near_join(left: DataFrame, right: DataFrame | None, radius_m: float, *, left_cols: tuple[str, str, str], right_cols: tuple[str, str, str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs (left_id, right_id) at most ``radius_m`` apart; see ``near_joins``."""
+    pairs = near_joins(left, left_cols, [(right, right_cols, radius_m)], tile_rows=tile_rows)
+    other = (left if right is None else right).schema[(right_cols or left_cols)[0]].dataType
+    return pairs.select(F.col("left_id").cast(left.schema[left_cols[0]].dataType).alias("left_id"), F.col("right_id").cast(other).alias("right_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            south, north, west, east = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
-            low, high = strips.of(south), strips.of(north)
-            start, stop = strips.first[low], strips.first[high] + strips.shares[high]
-            count = stop - start
-            at = np.repeat(np.arange(len(south)), count)
-            task = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(task, pa.int64()), pa.array(np.full(len(at), BUILD, "int8")), batch.column(0).take(pa.array(at))] + [pa.array(v[at]) for v in (south, north, west, east)],
-                names=["task", "role", "id", "south", "north", "west", "east"],
-            )
-
-    return run
 
-
-def _owned(strips: Strips):
-    """Batches of (id, lat, lng) -> the row in the one strip that owns it, as a box without extent."""
+def _boxes(tiles: Tiles):
+    """Batches of (id, south, north, west, east) -> a row per task that the box meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lat, lng = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(strips.own(lat, np.arange(len(lat))), pa.int64()), pa.array(np.full(len(lat), PROBE, "int8")), batch.column(0)] + [pa.array(v) for v in (lat, lat, lng, lng)],
-                    names=["task", "role", "id", "south", "north", "west", "east"],
-                )
+                sides = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+                at, task = tiles.near(*sides)
+                yield _batch(task, PROBE + 1, batch.column(0), at, *(v[at] for v in sides))
 
     return run
 
@@ -305,62 +421,49 @@ def _owned(strips: Strips):
 def _box_sweeper(left_type: pa.DataType, right_type: pa.DataType):
     """Batches ordered by task -> (point, region) where the box holds the point."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(rows)
-        role, ids = group.column("role").to_numpy(), group.column("id").combine_chunks()
-        south, north, west, east = (group.column(c).to_numpy() for c in ("south", "north", "west", "east"))
-        points, boxes = np.flatnonzero(role == PROBE), np.flatnonzero(role == BUILD)
-        points = points[np.argsort(west[points], kind="stable")]
-        lng = west[points]
-        low, high = np.searchsorted(lng, west[boxes], side="left"), np.searchsorted(lng, east[boxes], side="right")
-        for box, a, b in zip(boxes, low, high):
-            for start in range(a, b, CHUNK):
-                near = points[start : min(b, start + CHUNK)]
-                near = near[(south[near] >= south[box]) & (south[near] <= north[box])]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(near)).cast(left_type), ids.take(pa.array(np.full(len(near), box))).cast(right_type)], names=["left_id", "right_id"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
-        for batch in batches:
-            task = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a < b:
-                    if current is not None and task[a] != current:
-                        yield from pairs(held)
-                        held = []
-                    current = task[a]
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from pairs(held)
+        for _, group in _tasks(batches):
+            kind, ids = group.column("kind").to_numpy(), group.column("id").combine_chunks()
+            south, north, west, east = (group.column(c).to_numpy() for c in ("south", "north", "west", "east"))
+            points, boxes = np.flatnonzero(kind == PROBE), np.flatnonzero(kind != PROBE)
+            points = points[np.argsort(west[points], kind="stable")]
+            lng, lat = west[points], south[points]
+            low, high = np.searchsorted(lng, west[boxes], side="left"), np.searchsorted(lng, east[boxes], side="right")
+            # Windows of many boxes at a time, in pieces of bounded size.
+            ends = np.cumsum(np.maximum(high - low, 0))
+            total = int(ends[-1]) if len(ends) else 0
+            for begin in range(0, total, CHUNK):
+                place = np.arange(begin, min(total, begin + CHUNK))
+                box = np.searchsorted(ends, place, side="right")
+                at = low[box] + place - (ends[box] - (high - low)[box])
+                inside = (lat[at] >= south[boxes[box]]) & (lat[at] <= north[boxes[box]])
+                if inside.any():
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(points[at[inside]])).cast(left_type), ids.take(pa.array(boxes[box[inside]])).cast(right_type)], names=["left_id", "right_id"])
 
     return run
 
 
-def region_join(points: DataFrame, regions: DataFrame, *, point_cols: tuple[str, str, str], region_cols: tuple[str, str, str, str, str], strip_rows: int = 60_000) -> DataFrame:
+def region_join(points: DataFrame, regions: DataFrame, *, point_cols: tuple[str, str, str], region_cols: tuple[str, str, str, str, str], tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs (left_id, right_id) of points and the bounding boxes that hold them, edges included.
 
     ``region_cols`` names (id, south, north, west, east).  A box whose west lies
     east of its east crosses the date line.  Boxes with a null, NaN or unordered
-    latitude hold nothing; points are as in ``near_join``.  A region of another
+    latitude hold nothing; points are as in ``near_joins``.  A region of another
     shape is its box here and a test of the pairs afterwards.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key, lat, lng = (points[c] for c in point_cols)
-    probe = points.where(key.isNotNull() & usable(lat.cast("double"), lng.cast("double"))).select(key.alias("id"), lat.cast("double").alias("lat"), lng.cast("double").alias("lng"))
+    probe = _points(points, point_cols)
     name, south, north, west, east = (regions[c] for c in region_cols)
     south, north, west, east = (c.cast("double") for c in (south, north, west, east))
     sound = name.isNotNull() & (south <= north) & ~F.isnan(north) & west.between(-180, 180) & east.between(-180, 180)
     span = F.when(west <= east, F.array(F.struct(west.alias("w"), east.alias("e")))).otherwise(F.array(F.struct(west.alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), east.alias("e"))))
     build = regions.where(sound).select(name.alias("id"), south.alias("south"), north.alias("north"), F.explode(span).alias("s")).select("id", "south", "north", F.col("s.w").alias("west"), F.col("s.e").alias("east"))
     left_type, right_type = probe.schema["id"].dataType, build.schema["id"].dataType
-    common = left_type if left_type == right_type else T.StringType()
+    common = _common([left_type, right_type])
     probe, build = (x.withColumn("id", F.col("id").cast(common)) for x in (probe, build))
-    wanted = -(-probe.count() // strip_rows)
-    strips = Strips(probe.approxQuantile("lat", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted)) if wanted > 1 else [])
-    schema = T.StructType([T.StructField("task", T.LongType()), T.StructField("role", T.ByteType()), T.StructField("id", common)] + [T.StructField(c, T.DoubleType()) for c in ("south", "north", "west", "east")])
-    spread = probe.mapInArrow(_owned(strips), schema).unionAll(build.mapInArrow(_boxes(strips), schema))
+    # A box is counted where its south-west corner lies; it is copied into what it meets, whatever the plan.
+    corners = build.select(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("south"))).alias("lat"), F.col("west").alias("lng"))
+    tiles = plan(probe, [corners], 0.0, lambda lat: np.zeros(len(lat)), tile_rows)
+    schema = T.StructType([T.StructField("task", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("id", common)] + [T.StructField(c, T.DoubleType()) for c in ("south", "north", "west", "east")])
+    spread = probe.mapInArrow(_probes(tiles, box=True), schema).unionAll(build.mapInArrow(_boxes(tiles), schema))
     found = T.StructType([T.StructField("left_id", left_type), T.StructField("right_id", right_type)])
-    return spread.repartitionById(len(strips), F.col("task").cast("int")).sortWithinPartitions("task").mapInArrow(_box_sweeper(to_arrow_type(left_type), to_arrow_type(right_type)), found)
+    return spread.repartitionById(len(tiles), F.col("task").cast("int")).sortWithinPartitions("task").mapInArrow(_box_sweeper(to_arrow_type(left_type), to_arrow_type(right_type)), found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlgrid.operators.references import by_period, unresolved
-from marlgrid.operators.spatial import near_join
+from marlgrid.operators.spatial import near_join, near_joins
 from marlgrid.session import table
 
 #: Where the points of p1 may lie, and the two distances in metres.
@@ -23,14 +23,9 @@ def _places(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """Rows near each row, and zip centroids near each row."""
-    places = _places(spark, base)
-    rows = near_join(places, None, ROW_RADIUS_M, left_cols=POINT)
-    zips = near_join(places, table(spark, base, "geo_zip_centroids"), ZIP_RADIUS_M, left_cols=POINT, right_cols=CENTROID)
-
-    def out(pairs: DataFrame, kind: str) -> DataFrame:
-        return pairs.select(F.col("left_id").alias("geolocation_row_id"), F.lit(kind).alias("near_kind"), F.col("right_id").cast("bigint").alias("near_key"))
-
-    return out(rows, "row").unionAll(out(zips, "zip"))
+    centroids = table(spark, base, "geo_zip_centroids")
+    pairs = near_joins(_places(spark, base), POINT, [(None, None, ROW_RADIUS_M), (centroids, CENTROID, ZIP_RADIUS_M)])
+    return pairs.select(F.col("left_id").alias("geolocation_row_id"), F.when(F.col("target") == 0, "row").otherwise("zip").alias("near_kind"), F.col("right_id").cast("bigint").alias("near_key"))
 
 
 def p1_zip_load(spark: SparkSession, base: str) -> DataFrame:
