@@ -1,11 +1,13 @@
 """References to records that do not exist, were deleted, or arrive later.
 
-Keys are placed on the line of 64-bit hashes and that line is cut into equal
-ranges, so ranges are even whatever the keys look like.  Each range's parents
-stand as one sorted array; the references of the range come in bounded batches
-and are probed by vectorised binary search, then compared as strings.  A range
-that a hot key has made heavy is cut into salted shares of references, each
-with its own copy of that range's parents.
+Keys are placed on the line of 64-bit hashes and that line is cut into ranges, so
+ranges are even whatever the keys look like.  A histogram over a fixed number of
+cells of the line lays the ranges out; it is all that the driver ever holds, and
+the layout goes into the plan as constants.  Each range's parents stand as one
+sorted array; the references of the range come in bounded batches and are probed by
+vectorised binary search, then compared as strings.  A range that a hot key has
+made heavy is cut into salted shares of references, each with its own copy of that
+range's parents.
 
 Keys match without regard to case and surrounding spaces.  A null reference is
 no case; a parent with a null key is ignored.  Copies of a parent count as one
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MISSING, DELETED, LATE = "missing", "deleted", "late"
-#: Binary digits of the hash that may number ranges.
-MAX_BITS = 24
+#: Binary digits of the hash that number the cells of its line, and the cells.
+CELL_BITS = 12
+CELLS = 1 << CELL_BITS
 
 
 def reference_key(column: Column) -> Column:
@@ -35,11 +38,35 @@ def reference_key(column: Column) -> Column:
     return F.lower(F.trim(column.cast("string")))
 
 
-def _range_of(hashed: Column, bits: int) -> Column:
-    """Number of the range of a signed 64-bit hash, in order of the hash."""
-    if not bits:
-        return F.lit(0)
-    return (F.shiftright(hashed, 64 - bits) + F.lit(1 << (bits - 1))).cast("int")
+def _cell(hashed: Column) -> Column:
+    """Number of the cell of a signed 64-bit hash, in order of the hash."""
+    return (F.shiftright(hashed, 64 - CELL_BITS) + F.lit(CELLS // 2)).cast("int")
+
+
+def _numbers(values: np.ndarray) -> Column:
+    """An array as one constant of the plan."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+
+
+def lay_out(load: np.ndarray, parents: int, slot_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Per cell (first slot, ranges, shares of a range), and the slots of all.
+
+    Light neighbours share a slot.  A cell with too many parents for one is cut into
+    equal ranges; what its references have beyond their ranges is hot keys, and every
+    range of it is shared, each share with its own copy of the range's parents.
+    """
+    each = parents / len(load)
+    ranges = np.full(len(load), max(1, int(np.ceil(each / slot_rows))), dtype="int64")
+    shares = np.maximum(1, -(-load // (ranges * slot_rows)))
+    first, slots, held = np.zeros(len(load), dtype="int64"), 0, 0.0
+    for i in range(len(load)):
+        alone = ranges[i] * shares[i] > 1
+        if i and (alone or ranges[i - 1] * shares[i - 1] > 1 or held + each + load[i] > slot_rows):
+            slots += int(ranges[i - 1] * shares[i - 1])
+            held = 0.0
+        first[i] = slots
+        held += each + float(load[i])
+    return first, ranges, shares, slots + int(ranges[-1] * shares[-1])
 
 
 def _probe(hashes: np.ndarray, keys: pa.Array, wanted_hash: np.ndarray, wanted: pa.Array) -> np.ndarray:
@@ -121,7 +148,6 @@ def unresolved(
     child rows give repeated results.  ``slot_rows`` is the wanted number of
     parents, and of references, that a task holds at a time.
     """
-    spark = child.sparkSession
     none = F.lit(None).cast("timestamp_ntz")
 
     def moment(column: Column | None) -> Column:
@@ -136,35 +162,21 @@ def unresolved(
     )
     refs, known = (x.withColumn("hash", F.xxhash64("key")) for x in (refs, known))
 
-    # One pass over the references' keys alone: rows per range.  Its result has a
-    # row per range, so its size is that of the plan and not of the data.
-    # Parents are counted before their copies are merged: an upper bound is enough.
-    total, parents = child.count(), parent.count()
-    bits = min(MAX_BITS, max(0, int(np.ceil(np.log2(max(1.0, max(parents, total) / slot_rows))))))
-    if bits:
-        load = refs.groupBy(_range_of(F.col("hash"), bits).alias("r")).count().collect()
-        shares = np.ones(1 << bits, dtype="int64")
-        for r in load:
-            shares[r["r"]] = max(1, -(-r["count"] // (2 * slot_rows)))
-    else:
-        shares = np.ones(1, dtype="int64")
-    first = np.concatenate([[0], np.cumsum(shares)[:-1]])
-    hot = np.flatnonzero(shares > 1)
-    slots = int(shares.sum())
-
-    # Ranges are numbered in order; a hot one is followed by its further shares.
-    r = _range_of(F.col("hash"), bits)
-    if len(hot):
-        base, count = (F.array(*[F.lit(int(x)) for x in values]) for values in (first, shares)) if bits <= 8 else (None, None)
-        if base is None:  # many ranges: the plan travels as a small table, one row per range
-            plan = spark.createDataFrame([(int(i), int(f), int(s)) for i, (f, s) in enumerate(zip(first, shares))], "r int, first int, share int")
-            refs, known = (x.withColumn("r", r).join(F.broadcast(plan), "r") for x in (refs, known))
-        else:
-            refs, known = (x.withColumn("first", F.element_at(base, r + 1)).withColumn("share", F.element_at(count, r + 1)) for x in (refs, known))
-        refs = refs.withColumn("slot", F.col("first") + F.pmod(F.xxhash64("row_key", "loaded"), F.col("share")).cast("int"))
-        known = known.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("share") - 1)))
-    else:
-        refs, known = (x.withColumn("slot", r) for x in (refs, known))
+    # One pass over the references' keys: rows per cell of the hash line, a fixed number
+    # of cells.  Parents are counted before their copies are merged, and spread evenly.
+    load = np.zeros(CELLS, dtype="int64")
+    for r in refs.groupBy(_cell(F.col("hash")).alias("cell")).count().collect():
+        load[r["cell"]] = r["count"]
+    first, ranges, shares, slots = lay_out(load, parent.count(), slot_rows)
+    cell = _cell(F.col("hash")) + 1
+    # The 32 binary digits behind the cell's, as a place within the cell.
+    place = F.shiftrightunsigned(F.shiftleft(F.col("hash"), CELL_BITS), 32)
+    refs, known = (
+        x.withColumn("share", F.element_at(_numbers(shares), cell)).withColumn("base", F.element_at(_numbers(first), cell) + F.shiftright(place * F.element_at(_numbers(ranges), cell), 32) * F.col("share"))
+        for x in (refs, known)
+    )
+    refs = refs.withColumn("slot", F.col("base") + F.pmod(F.xxhash64("row_key", "loaded"), F.col("share")))
+    known = known.withColumn("slot", F.explode(F.sequence("base", F.col("base") + F.col("share") - 1)))
 
     shape = ["slot", "child", "hash", "key", "loaded", "deleted", "row_key"]
     rows = known.select("slot", F.lit(0).alias("child"), "hash", "key", "loaded", "deleted", F.lit(None).cast("string").alias("row_key")).select(shape).unionAll(

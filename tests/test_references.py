@@ -1,8 +1,10 @@
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from marlgrid.operators.references import by_period, unresolved
+from marlgrid.operators import references
+from marlgrid.operators.references import CELLS, by_period, lay_out, unresolved
 
 DAY = dt.datetime(2024, 1, 10)
 C = "ref string, row string, loaded_at timestamp_ntz, reason string, hash string"
@@ -47,3 +49,23 @@ def test_empty_and_copies(spark):
 def test_by_period(spark):
     found = spark.createDataFrame([("t", "r1", day(0), "late"), ("t", "r1", day(0), "late"), ("t", "r2", day(40), "late")], "name string, row_key string, loaded_at timestamp_ntz, reason string")
     assert sorted(tuple(r) for r in by_period(found, "name").collect()) == [("t", "2024-01", "late", 1), ("t", "2024-02", "late", 1)]
+
+
+def test_layout():
+    """Light cells share slots; many parents give ranges, a hot key shares; no slot beyond its rows."""
+    load = np.full(CELLS, 10)
+    first, ranges, shares, slots = lay_out(load, CELLS * 10, 1000)
+    assert slots == -(-CELLS * 20 // 1000) and (np.diff(first) >= 0).all() and first[-1] == slots - 1 and set(ranges) == set(shares) == {1}
+    load[7] = 1_000_000
+    first, ranges, shares, slots = lay_out(load, CELLS * 10, 1000)
+    assert shares[7] == 1000 and first[8] - first[7] == 1000 and first[7] == 1
+    first, ranges, shares, slots = lay_out(load, CELLS * 5000, 1000)
+    assert set(ranges) == {5} and shares[7] == 200 and slots == 5 * (CELLS - 1) + 1000 and first[8] - first[7] == 1000
+
+
+def test_many_ranges_in_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(references, "CELL_BITS", 2)
+    monkeypatch.setattr(references, "CELLS", 4)
+    parent = [(f"k{i}", day(0), None, 1) for i in range(300)]
+    child = [(f"k{i}", f"r{i}", day(1), "x", "y") for i in range(0, 600, 3)] + [("k0", f"h{i}", day(1), "x", "y") for i in range(300)]
+    assert check(spark, child, parent, slot_rows=20) == sorted((f"r{i}", "missing") for i in range(300, 600, 3))
