@@ -39,9 +39,11 @@ class Budget:
     repairs: int = 1
     seconds: float = 120.0
     hard_most: int = 2
+    #: Calls of a model that one run may make in all, whoever makes them.
+    calls: int = 6
 
     def __post_init__(self) -> None:
-        self.began, self.used = time.monotonic(), 0
+        self.began, self.used, self.called = time.monotonic(), 0, 0
         self.seen_sql: set[str] = set()
         self.seen_errors: list[tuple] = []
 
@@ -51,6 +53,8 @@ class Budget:
             return "NOT_REPAIRABLE"
         if self.used >= min(self.repairs, self.hard_most):
             return "REPAIRS_USED"
+        if self.called >= self.calls:
+            return "CALLS_USED"
         if time.monotonic() - self.began >= self.seconds:
             return "DEADLINE"
         key = (report.error, report.signals, report.message)

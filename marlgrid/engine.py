@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlgrid import correction, policy, retrieval, validation
+from marlgrid import correction, linking, policy, retrieval, validation
 from marlgrid.catalog import Catalog, TableInfo, catalog, describe
 from marlgrid.errors import EngineError, ErrorClass, classify
-from marlgrid.executor import Caps, Preview, bounded, run
+from marlgrid.executor import Caps, Preview, bounded, refuse_crosses, run
 from marlgrid.plans.questions import Intent, LexicalPlanner, Planner, QuestionPlan, TemplateWriter, Writer, route
 from marlgrid.trace import TraceStore
 
@@ -28,6 +29,9 @@ ENDS = {
 }
 
 
+_BINDING = threading.RLock()
+
+
 @dataclass
 class Answer:
     status: str
@@ -68,13 +72,17 @@ class Engine:
         decision = policy.check(self.spark, sql, self._catalogs[db_id])
         if not decision.allowed:
             raise EngineError(ErrorClass.POLICY_VIOLATION, decision.reason)
-        # Names are bound per query: databases of one session may share them.
-        for name in decision.tables:
-            self._frames[db_id][name].createOrReplaceTempView(name)
-        try:
-            df = self.spark.sql(sql.strip().rstrip(";"))
-        except Exception as error:  # noqa: BLE001
-            raise classify(error) from None
+        # Names are bound per query, as databases of one session may share them.  The text is
+        # analysed under the same lock; the plan holds the frames, whatever is bound later.
+        with _BINDING:
+            for name in decision.tables:
+                self._frames[db_id][name].createOrReplaceTempView(name)
+            try:
+                df = self.spark.sql(sql.strip().rstrip(";"))
+            except Exception as error:  # noqa: BLE001
+                raise classify(error) from None
+        if not self.caps.allow_cross:
+            refuse_crosses(df)
         return bounded(df, self.caps.rows) if limit else df
 
     def validate(self, db_id: str, sql: str, question: str = "", plan: QuestionPlan | None = None) -> tuple[validation.Report, Preview | None]:
@@ -103,11 +111,12 @@ class Engine:
         if intent != Intent.QUERY:
             answer.status = {"WRITE_REQUEST": "WRITE_BLOCKED"}.get(intent.value, intent.value)
             return self._end(answer)
+        calls_before = sum(getattr(x, "calls", 0) for x in (self.planner, self.writer))
         plan = self.planner.plan(text)
         note("1", "PLANNED", task=plan.task, metrics=plan.metrics, dimensions=plan.dimensions)
         known = self._catalogs[db_id]
-        found = retrieval.search(self.spark, known, retrieval.expanded_query(plan))
-        context = retrieval.link(plan, found, known) if found else None
+        found = retrieval.search(self.spark, known, linking.expanded_query(plan))
+        context = linking.link(plan, found, known) if found else None
         note("2", "SCHEMA_RETRIEVED", tables=context.tables if context else ())
         budget = budget or correction.Budget()
         advice: tuple[str, ...] = ()
@@ -121,6 +130,7 @@ class Engine:
                 note("3", "NOT_WRITTEN", reason=str(error))
                 return self._end(answer)
             else:
+                budget.called = sum(getattr(x, "calls", 0) for x in (self.planner, self.writer)) - calls_before
                 note("3", "CANDIDATE_GENERATED", fingerprint=fingerprint)
                 if not budget.admit(fingerprint):
                     note("5", "STOPPED", reason="REPEATED_SQL")

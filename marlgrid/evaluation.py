@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import json
 import math
 from collections import Counter
 
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlgrid import policy
+from marlgrid.catalog import Catalog
+from marlgrid.executor import Caps, run
 
 
 def _close(a, b, tolerance: float) -> bool:
@@ -102,7 +106,7 @@ def macro(cases: DataFrame) -> DataFrame:
 
 def complexity(spark: SparkSession, sql: str) -> tuple[int, str]:
     """A score over the parsed plan, and its class."""
-    kinds = [policy._kind(n) for n in policy.walk(policy.parse(spark, sql))]
+    kinds = [policy._kind(n) for n in policy.once(policy.parse(spark, sql))]
     tables, joins = kinds.count("UnresolvedRelation"), kinds.count("Join")
     selects = kinds.count("Project") + kinds.count("Aggregate")
     sets = kinds.count("Union") + kinds.count("Intersect") + kinds.count("Except")
@@ -131,10 +135,169 @@ def quotas(sizes: dict[str, int], total: int, floor: int = 5) -> dict[str, int]:
 
 
 def stratified(cases: DataFrame, group: str, order: list[str], total: int, floor: int = 5) -> DataFrame:
-    """Per group its quota of cases, at the midpoints of equal shares of the ordered group."""
+    """Per group its quota of cases, at the midpoints of equal shares of the ordered group.
+
+    Groups are few by contract (their sizes are read by the driver); cases are not.
+    """
     sizes = {r[group]: r["count"] for r in cases.groupBy(group).count().collect()}
     shares = quotas(sizes, total, floor)
     spark = cases.sparkSession
     picks = spark.createDataFrame([(g, math.floor((i + 0.5) * sizes[g] / n)) for g, n in shares.items() for i in range(n)], "g string, position int")
     ranked = cases.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
     return ranked.join(picks, (ranked[group] == picks["g"]) & (ranked["position"] == picks["position"]), "left_semi").drop("position")
+
+
+#: Rows and seconds that one query of an evaluation may take; more of either is an error and no answer.
+EVALUATION_CAPS = Caps(rows=100_000, bytes=1 << 30, seconds=10.0)
+
+
+def answer_rows(df: DataFrame, caps: Caps = EVALUATION_CAPS) -> list[tuple]:
+    """A query's rows within the evaluation's caps."""
+    preview = run(df, caps)
+    if preview.truncated:
+        raise ValueError(f"more than {caps.rows} rows")
+    return list(preview.rows)
+
+
+def compare_queries(got: DataFrame, gold: DataFrame, ordered: bool, caps: Caps = EVALUATION_CAPS) -> bool:
+    """Whether two queries give the same answer, within the evaluation's caps."""
+    return equal_sets(answer_rows(got, caps), answer_rows(gold, caps), ordered)
+
+
+def correction_metrics(cases: DataFrame) -> DataFrame:
+    """Rows (kind, name, n, n_recovered): all outcomes, repairs and calls; then by trigger and by stop reason.
+
+    ``cases`` has attempted, recovered (boolean), repairs, calls (int), trigger and
+    stop_reason (string); cases without an outcome have a null ``attempted``.  One
+    aggregation over grouping sets, whatever the number of cases.
+    """
+    held = cases.where("attempted IS NOT NULL")
+    sets = held.select(
+        "*",
+        F.explode(
+            F.array(
+                *[F.struct(F.lit("total").alias("kind"), F.lit(k).alias("name"), v.cast("bigint").alias("one"), r.cast("bigint").alias("won")) for k, v, r in (
+                    ("attempted", F.col("attempted"), F.col("attempted") & F.col("recovered")), ("repairs", F.coalesce("repairs", F.lit(0)), F.lit(0)), ("calls", F.coalesce("calls", F.lit(0)), F.lit(0)))],
+                F.struct(F.lit("stop_reason").alias("kind"), F.coalesce("stop_reason", F.lit("NONE")).alias("name"), F.lit(1).cast("bigint").alias("one"), F.col("recovered").cast("bigint").alias("won")),
+                F.struct(F.lit("trigger").alias("kind"), F.col("trigger").alias("name"), F.lit(1).cast("bigint").alias("one"), F.col("recovered").cast("bigint").alias("won")),
+            )
+        ).alias("x"),
+    )
+    return sets.where("x.name IS NOT NULL").groupBy("x.kind", "x.name").agg(F.sum("x.one").alias("n"), F.coalesce(F.sum("x.won"), F.lit(0)).alias("n_recovered"))
+
+
+def gold_schema(df: DataFrame, catalog: Catalog, names: dict[str, str] | None = None) -> dict[str, frozenset[str]]:
+    """Tables, columns, join edges and declared keys that an analysed query uses.
+
+    Taken from the analysed plan: every attribute of it is traced by its expression
+    id to the relation it comes from, through aliases, derived tables and CTEs.
+    Edges are written 'a.x = b.y' with the smaller side first.
+    """
+    by_lower = {t.name.lower(): t for t in catalog.tables}
+    owner: dict[int, str] = {}
+    used: set[int] = set()
+    equal: list[tuple[int, int]] = []
+    stack, nodes = [df._jdf.queryExecution().analyzed()], []
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        kind = policy._kind(node)
+        if kind == "SubqueryAlias" and node.alias().lower() in by_lower and policy._kind(policy._items(node.children())[0]) != "SubqueryAlias":
+            for a in policy._items(node.output()):
+                owner[a.exprId().id()] = f"{node.alias().lower()}.{a.name().lower()}"
+        if kind == "View":
+            name = node.desc().identifier().table().lower()
+            if name in by_lower:
+                for a in policy._items(node.output()):
+                    owner[a.exprId().id()] = f"{name}.{a.name().lower()}"
+                continue  # what is inside a registered table or view is not the query's
+        stack.extend(policy._items(node.children()))
+        stack.extend(x for x in policy._items(node.innerChildren()) if hasattr(x, "expressions"))
+        stack.extend(policy.nested(node))
+    tables = {policy_name.split(".")[0] for policy_name in owner.values()}
+    for node in nodes:
+        if policy._kind(node) in ("View", "SubqueryAlias", "Project") and all(policy._kind(e) == "AttributeReference" for e in policy._items(node.expressions())) and policy._kind(node) != "Project":
+            continue
+        for e in policy.expressions(node):
+            kind = policy._kind(e)
+            if kind == "AttributeReference":
+                used.add(e.exprId().id())
+            elif kind == "EqualTo":
+                sides = [e.left(), e.right()]
+                if all(policy._kind(x) == "AttributeReference" for x in sides):
+                    equal.append(tuple(x.exprId().id() for x in sides))
+    columns = {owner[i] for i in used if i in owner}
+    edges = {" = ".join(sorted((owner[a], owner[b]))) for a, b in equal if a in owner and b in owner and owner[a].split(".")[0] != owner[b].split(".")[0]}
+    declared = {" = ".join(sorted((f"{t.name}.{x}".lower(), f"{k.target}.{y}".lower()))) for t in catalog.tables for k in t.foreign_keys for x, y in zip(k.columns, k.target_columns)}
+    return {"tables": frozenset(tables), "columns": frozenset(columns), "edges": frozenset(edges), "keys": frozenset(edges & declared)}
+
+
+#: The parts of a schema that retrieval is measured on.
+PARTS = ("tables", "columns", "edges", "keys")
+
+
+def schema_scores(cases: DataFrame) -> DataFrame:
+    """Adds to cases with gold_* and found_* sets (of PARTS) the hits, recalls and precision; a recall of nothing is null."""
+    out = cases
+    for part in PARTS:
+        hit, asked = F.size(F.array_intersect(f"gold_{part}", f"found_{part}")), F.size(F.array_distinct(f"gold_{part}"))
+        out = out.withColumn(f"{part}_hits", hit).withColumn(f"{part}_gold", asked).withColumn(f"{part}_recall", hit / F.nullif(asked, F.lit(0)))
+    both = F.col("tables_hits") + F.col("columns_hits")
+    got = F.size(F.array_distinct("found_tables")) + F.size(F.array_distinct("found_columns"))
+    return out.withColumn("schema_recall", both / F.nullif(F.col("tables_gold") + F.col("columns_gold"), F.lit(0))).withColumn("context_precision", both / F.nullif(got, F.lit(0)))
+
+
+def schema_summary(scored: DataFrame) -> DataFrame:
+    """Rows (part, macro, micro, n): mean of the cases' recalls without the null ones, and hits over gold of all cases."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_recall").alias("recall"), F.col(f"{p}_hits").alias("hits"), F.col(f"{p}_gold").alias("gold")) for p in PARTS]))
+    return scored.select(each.alias("x")).groupBy("x.part").agg(F.round(F.avg("x.recall"), 6).alias("macro"), F.round(F.sum("x.hits") / F.nullif(F.sum("x.gold"), F.lit(0)), 6).alias("micro"), F.count("x.recall").alias("n"))
+
+
+def manifest_faults(manifest: DataFrame, cases: DataFrame, parts: list[str]) -> DataFrame:
+    """Rows (fault, id) of a manifest (id, part, case_hash) against the cases (id, case_hash) it names.
+
+    Faults: an id listed twice, in two parts, of no known part, without its case,
+    or whose case is another than when it was listed.  None: the manifest holds.
+    """
+    listed = manifest.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"), F.min("part").alias("part"), F.min("case_hash").alias("listed_hash"))
+    known = cases.groupBy(F.col("id").alias("case_id")).agg(F.min("case_hash").alias("case_hash"))
+    joined = listed.join(known, F.col("id") == F.col("case_id"), "left")
+    tests = {
+        "LISTED_TWICE": F.col("n") > 1, "IN_TWO_PARTS": F.col("parts") > 1, "UNKNOWN_PART": ~F.coalesce(F.col("part").isin(parts), F.lit(False)),
+        "NO_CASE": F.col("case_id").isNull(), "CASE_CHANGED": F.col("case_id").isNotNull() & ~F.col("case_hash").eqNullSafe(F.col("listed_hash")),
+    }
+    found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda x: x.isNotNull())
+    return joined.select(F.explode(found).alias("fault"), "id")
+
+
+def infer(cases: list[dict], answer, path: str, most_new: int | None = None) -> list[dict]:
+    """Answer a manifest's cases in order, resuming behind what is stored; the gold never reaches ``answer``.
+
+    ``answer`` gets the question alone.  Stored results must be a prefix of the
+    manifest; every result is stored before the next case begins.
+    """
+    from marlgrid.sources.files import append_case, remaining, stored_cases
+
+    if most_new is not None and most_new < 1:
+        raise ValueError("most_new must be positive")
+    todo = remaining([c["id"] for c in cases], path)
+    asked = {c["id"]: c["question"] for c in cases}
+    for case in todo[:most_new]:
+        append_case(path, {"id": case, "result": answer(asked[case])})
+    return stored_cases(path)
+
+
+def release_report(reports: dict[str, dict], required: dict[str, int]) -> dict:
+    """One statement over several evaluations whose scores stay apart; incomplete ones are refused.
+
+    ``reports`` maps a name to its report (case_count, result_accuracy, ...),
+    ``required`` the names that a release needs to their numbers of cases.
+    """
+    for name, cases in required.items():
+        if int(reports.get(name, {}).get("case_count", 0)) != cases:
+            raise ValueError(f"a release needs a complete report of {name} with {cases} cases")
+    digest = lambda r: hashlib.sha256(json.dumps(r, sort_keys=True, default=str).encode()).hexdigest()
+    kept = ("evaluation_id", "case_count", "database_count", "by_partition", "result_accuracy", "workflow_completion_rate")
+    parts = {name: {k: r[k] for k in kept if k in r} | {"sha256": digest(r)} for name, r in sorted(reports.items())}
+    limits = sorted({x for r in reports.values() for x in r.get("limitations", [])})
+    return {"release_status": "complete", "score_policy": "scores of different sets are never blended", "parts": parts, "limitations": limits}

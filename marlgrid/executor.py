@@ -50,28 +50,56 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def crosses(df: DataFrame) -> bool:
-    """Whether the physical plan joins every row with every row."""
-    text = df._jdf.queryExecution().sparkPlan().toString()
-    return "CartesianProduct" in text or "BroadcastNestedLoopJoin" in text
+    """Whether the physical plan joins every row with every row, in the query or in a subquery of it."""
+    session = df.sparkSession._jsparkSession
+    of_rows = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    waiting = [df._jdf.queryExecution()]
+    while waiting:
+        execution = waiting.pop()
+        stack = [execution.sparkPlan()]
+        while stack:
+            node = stack.pop()
+            if node.getClass().getSimpleName() in ("CartesianProductExec", "BroadcastNestedLoopJoinExec"):
+                return True
+            stack.extend(node.children().apply(i) for i in range(node.children().size()))
+        # Subqueries that the optimiser left are planned on their own.
+        stack = [execution.optimizedPlan()]
+        while stack:
+            node = stack.pop()
+            stack.extend(node.children().apply(i) for i in range(node.children().size()))
+            waiting.extend(of_rows(session, node.subqueries().apply(i)).queryExecution() for i in range(node.subqueries().size()))
+    return False
+
+
+def refuse_crosses(df: DataFrame) -> None:
+    """Raise for a query that joins without an equality."""
+    try:
+        found = crosses(df)
+    except Exception as error:  # noqa: BLE001
+        raise classify(error) from None
+    if found:
+        raise EngineError(ErrorClass.POLICY_VIOLATION, "a join without an equality condition is not permitted")
 
 
 def run(df: DataFrame, caps: Caps = Caps()) -> Preview:
     """Collect at most ``caps.rows`` rows; TIMEOUT at the deadline whether or not Spark has stopped."""
     context, group = df.sparkSession.sparkContext, f"bounded-{uuid.uuid4()}"
-    try:
-        if not caps.allow_cross and crosses(df):
-            raise EngineError(ErrorClass.POLICY_VIOLATION, "a join without an equality condition is not permitted")
-    except EngineError:
-        raise
-    except Exception as error:  # noqa: BLE001
-        raise classify(error) from None
+    if not caps.allow_cross:
+        refuse_crosses(df)
     box: dict = {}
     done = threading.Event()
 
     def work() -> None:
+        rows, size = [], 0
         try:
             context.setJobGroup(group, "bounded query", interruptOnCancel=True)
-            box["rows"] = df.limit(caps.rows + 1).collect()
+            # Row by row: a result beyond the cap is never held whole.
+            for row in df.limit(caps.rows + 1).toLocalIterator():
+                size += len(json.dumps(tuple(row), default=str).encode()) if len(rows) < caps.rows else 0
+                if size > caps.bytes:
+                    raise EngineError(ErrorClass.RESULT_SHAPE_MISMATCH, f"the result is larger than {caps.bytes} bytes")
+                rows.append(tuple(row))
+            box["rows"] = rows
         except Exception as error:  # noqa: BLE001
             box["error"] = error
         finally:
@@ -83,11 +111,6 @@ def run(df: DataFrame, caps: Caps = Caps()) -> Preview:
         context.cancelJobGroup(group)
         raise EngineError(ErrorClass.TIMEOUT, f"no result within {caps.seconds:g} s")
     if "error" in box:
-        raise classify(box["error"]) from None
-    rows = tuple(tuple(r) for r in box["rows"][: caps.rows])
-    size = 0
-    for row in rows:
-        size += len(json.dumps(row, default=str).encode())
-        if size > caps.bytes:
-            raise EngineError(ErrorClass.RESULT_SHAPE_MISMATCH, f"the result is larger than {caps.bytes} bytes")
-    return Preview(tuple(df.columns), rows, len(box["rows"]) > caps.rows, time.monotonic() - began)
+        raise (box["error"] if isinstance(box["error"], EngineError) else classify(box["error"])) from None
+    rows = box["rows"]
+    return Preview(tuple(df.columns), tuple(rows[: caps.rows]), len(rows) > caps.rows, time.monotonic() - began)

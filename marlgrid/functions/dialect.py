@@ -16,9 +16,13 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000.0)
 
 
-def cents(money: Column) -> Column:
-    """Exact integer cents of a decimal text; null for text that is no number."""
-    return (F.round(F.expr("NULL").cast("decimal(18,2)") if money is None else money.try_cast("decimal(18,4)"), 2) * 100).cast("bigint")
+def cents(money: Column, strict: bool = False) -> Column:
+    """Exact integer cents of a decimal text, rounded once, halves to even.
+
+    Text that is no number gives null, or fails the query if ``strict``.
+    """
+    exact = money.cast("decimal(38,18)") if strict else money.try_cast("decimal(38,18)")
+    return (F.bround(exact, 2) * 100).cast("bigint")
 
 
 def month_bucket(text: Column) -> Column:

@@ -31,6 +31,15 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return count(child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti"))
 
 
+def readable(df: DataFrame) -> bool:
+    """Whether a table's files can be opened under the schema that they state; their rows are not kept."""
+    try:
+        df.limit(1).collect()
+    except Exception:  # noqa: BLE001
+        return False
+    return bool(df.columns)
+
+
 def suite(checks: list[DataFrame]) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgrid import evaluation, policy, quality, retrieval, trace, validation
+from marlgrid import evaluation, linking, policy, quality, retrieval, trace, validation
 from marlgrid.catalog import Catalog
 from marlgrid.engine import Engine
+from marlgrid.errors import EngineError
 from marlgrid.functions import dialect
 from marlgrid.plans import questions, views
 from marlgrid.session import table
@@ -176,7 +177,7 @@ def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
     """For every fiftieth vector its ten nearest ones among all."""
     vectors = table(spark, base, "embeddings")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.nearest(vectors, "vec_id", "embedding", asked, 10)
+    return retrieval.nearest(vectors, "vec_id", "embedding", asked, 10).withColumn("score", F.round("score", 6))
 
 
 def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
@@ -211,7 +212,7 @@ def catalog_rows(spark: SparkSession, base: str) -> DataFrame:
 
 def join_closure(spark: SparkSession, base: str) -> DataFrame:
     """Join paths that connect sellers, customers and products."""
-    tables, joins = retrieval.closure(_catalog(spark, base), ["olist_sellers_dataset", "olist_products_dataset", "olist_customers_dataset"])
+    tables, joins = linking.closure(_catalog(spark, base), ["olist_sellers_dataset", "olist_products_dataset", "olist_customers_dataset"])
     return spark.createDataFrame([("table", t) for t in sorted(tables)] + [("join", j) for j in joins], "kind string, item string")
 
 
@@ -247,10 +248,10 @@ def nearest_rank(spark: SparkSession, base: str) -> DataFrame:
 
 
 def multiset_equal(spark: SparkSession, base: str) -> DataFrame:
-    """Surplus rows between the stated view and the same totals taken by SQL: none."""
+    """Rows that the stated view and the totals of delivered orders alone have more often than each other."""
     by_view = VIEWS["order_item_totals"](spark, base)
-    by_sql = run_text(spark, base, VIEW_SQL["order_item_totals"])
-    return evaluation.multiset_difference(by_view, by_sql).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    by_sql = run_text(spark, base, VIEW_SQL["order_item_totals"].replace(" GROUP BY", " WHERE price_cents > 5000 GROUP BY"))
+    return evaluation.multiset_difference(by_view, by_sql).groupBy("side").agg(F.sum(F.abs("surplus")).alias("n"))
 
 
 def stratified_cases(spark: SparkSession, base: str) -> DataFrame:
@@ -259,26 +260,112 @@ def stratified_cases(spark: SparkSession, base: str) -> DataFrame:
 
 
 def complexity_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Relations, joins and set operations of the stated queries, counted on their parsed plans."""
+    rows = []
+    for n, t in STATED.items():
+        kinds = [policy._kind(x) for x in policy.once(policy.parse(spark, t if isinstance(t, str) else t[0]))]
+        rows.append((n, kinds.count("UnresolvedRelation"), kinds.count("Join"), kinds.count("Union") + kinds.count("Intersect") + kinds.count("Except")))
+    return spark.createDataFrame(rows, "query string, tables bigint, joins bigint, sets bigint")
+
+
+def complexity_classes(spark: SparkSession, base: str) -> DataFrame:
     rows = [(n, *evaluation.complexity(spark, t if isinstance(t, str) else t[0])) for n, t in STATED.items()]
     return spark.createDataFrame(rows, "query string, score int, class string")
 
 
 def quality_checks(spark: SparkSession, base: str) -> DataFrame:
-    orders, items, products = (table(spark, base, n) for n in ("olist_orders_dataset", "olist_order_items_dataset", "olist_products_dataset"))
-    totals, geo = VIEWS["order_item_totals"](spark, base), VIEWS["zip_centroids"](spark, base)
+    """The twenty checks; reviews and payments, which have no table here, on stand-ins of their shape."""
+    names = ["olist_customers_dataset", "olist_geolocation_dataset", I, O, P, "olist_sellers_dataset", "trace_events", "runs", "lineitem"]
+    t = {n: table(spark, base, n) for n in names}
+    totals, paid = VIEWS["order_item_totals"](spark, base), VIEWS["order_payment_totals"](spark, base)
+    reviews = table(spark, base, "events")  # an event of a user stands for a review of an order
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     whole = lambda df, c: df.agg(F.sum(c).alias("n"))
+    known = _catalog(spark, base)
+    lost = None
+    for name, key in known.edges():
+        if name.startswith("olist_") and len(key.columns) == 1:
+            one = quality.orphans(table(spark, base, name), key.columns[0], table(spark, base, key.target), key.target_columns[0])
+            lost = one if lost is None else lost.unionAll(one)
+    broken = [n for n in names if not quality.readable(t[n])]
     return quality.suite(
         [
-            quality.one("item_revenue_preserved", whole(items, "price_cents"), whole(totals, "product_revenue_cents")),
-            quality.one("freight_preserved", whole(items, "freight_value_cents"), whole(totals, "freight_cents")),
-            quality.one("centroid_unique", quality.duplicates(geo, "geolocation_zip_code_prefix"), 0),
-            quality.one("raw_money_matches_cents", quality.count(items.where((dialect.cents(F.col("price")) != F.col("price_cents")) | (dialect.cents(F.col("freight_value")) != F.col("freight_value_cents")))), 0),
-            quality.one("products_unique", quality.duplicates(products, "product_id"), 0),
-            quality.one("order_copies", quality.duplicates(orders, "order_id"), quality.count(orders.exceptAll(orders.dropDuplicates(["order_id"])))),
+            quality.one("integrity_check", spark.range(1).select(F.lit(len(broken)).alias("n")), 0),
+            quality.one("foreign_key_check", whole(lost, "n"), 0),
+            *[quality.one(f"row_count:{n}", quality.count(t[n]), quality.count(t[n].distinct())) for n in names],
+            quality.one("products_missing_category", quality.count(t[P].where("product_category_name IS NULL")), 0),
+            quality.one("duplicate_review_id_occurrences", quality.duplicates(reviews, "event_id"), 0),
+            quality.one("repeated_order_review_rows_beyond_first", quality.duplicates(reviews, "user_id"), 0),
+            quality.one("orders_with_multiple_review_rows", quality.count(reviews.groupBy("user_id").count().where("count > 1")), 0),
+            quality.one("item_revenue_preserved", whole(t[I], "price_cents"), whole(totals, "product_revenue_cents")),
+            quality.one("freight_preserved", whole(t[I], "freight_value_cents"), whole(totals, "freight_cents")),
+            quality.one("payment_preserved", t["lineitem"].agg(F.sum(cents).alias("n")), whole(paid, "paid_value_cents")),
+            quality.one("geo_centroid_unique", quality.duplicates(table(spark, base, "geo_zip_centroids"), "geolocation_zip_code_prefix"), 0),
+            quality.one("raw_money_matches_cents", quality.count(t[I].where((dialect.cents(F.col("price")) != F.col("price_cents")) | (dialect.cents(F.col("freight_value")) != F.col("freight_value_cents")))), 0),
         ]
     )
 
 
+def correction_outcomes(spark: SparkSession, base: str) -> DataFrame:
+    """Repairs of the stored runs, by trigger and stop reason: statuses and configurations stand for outcomes."""
+    runs = table(spark, base, "runs")
+    outcomes = runs.select(
+        F.col("config_json").isNotNull().alias("attempted"), F.coalesce(F.col("status") == "COMPLETED", F.lit(False)).alias("recovered"),
+        F.get_json_object("config_json", "$.max_repairs").cast("int").alias("repairs"), F.lit(1).alias("calls"), F.col("status").alias("trigger"), F.substring("created_at", 1, 4).alias("stop_reason"),
+    )
+    return evaluation.correction_metrics(outcomes)
+
+
+def gold_schemas(spark: SparkSession, base: str) -> DataFrame:
+    """Tables, columns, join edges and declared keys of three queries, from their analysed plans."""
+    engine = engine_over(spark, base, [O, I, C])
+    known, rows = engine.catalog("data"), []
+    for name, sql in GOLD.items():
+        for part, items in evaluation.gold_schema(engine.sql("data", sql, limit=False), known).items():
+            rows += [(name, part, x) for x in items]
+    return spark.createDataFrame(rows, "query string, part string, item string")
+
+
+GOLD = {
+    "one table": f"SELECT COUNT(*) AS n FROM {O} WHERE order_status = 'canceled'",
+    "aliases": f"SELECT c.customer_state, SUM(i.price_cents) AS cents FROM {O} o JOIN {I} i ON i.order_id = o.order_id JOIN {C} c ON c.customer_id = o.customer_id GROUP BY c.customer_state",
+    "derived": f"WITH late AS (SELECT o.order_id AS id FROM {O} o WHERE o.order_status = 'shipped') SELECT COUNT(*) AS n FROM late l JOIN {I} i ON i.order_id = l.id WHERE i.price_cents > 100",
+}
+
+
+def schema_parts(spark: SparkSession, base: str) -> DataFrame:
+    """Macro and micro recall of tables, columns, edges and keys over the acceptance records' sets."""
+    cases = table(spark, base, "olist_acceptance_60")
+    none = F.array().cast("array<string>")
+    wanted, found = F.coalesce("required_concepts", none), F.coalesce("invariants", none)
+
+    def of_length(sets, k: int):
+        return F.filter(sets, lambda x: F.length(x) % 4 == k)
+
+    parts = {f"{side}_{part}": of_length(sets, k) for side, sets in (("gold", wanted), ("found", found)) for k, part in enumerate(evaluation.PARTS)}
+    return evaluation.schema_summary(evaluation.schema_scores(cases.select("id", *[c.alias(n) for n, c in parts.items()])))
+
+
+def manifest_check(spark: SparkSession, base: str) -> DataFrame:
+    """Faults of a manifest that lists the acceptance records by difficulty with hashes of their language, and knows no hard ones."""
+    cases = table(spark, base, "olist_acceptance_60")
+    listed = cases.select("id", F.col("difficulty").alias("part"), F.upper("language").alias("case_hash")).unionAll(cases.where("partition = 'holdout'").select("id", F.lit("easy"), F.upper("language")))
+    actual = cases.where("source IS NOT NULL").select("id", F.upper(F.regexp_replace("language", "vi", "pt")).alias("case_hash"))
+    return evaluation.manifest_faults(listed, actual, ["easy", "medium"]).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def key_closure(spark: SparkSession, base: str) -> DataFrame:
+    """All tables within reach of each other along declared keys, and the fewest keys between them: a recursive query over the edges."""
+    edges = spark.createDataFrame([(name, key.target) for name, key in _catalog(spark, base).edges()], "child string, parent string")
+    edges.createOrReplaceTempView("key_edges")
+    return spark.sql("WITH RECURSIVE " + KEY_CLOSURE)
+
+
+KEY_CLOSURE = """either(a, b) AS (SELECT child, parent FROM key_edges UNION ALL SELECT parent, child FROM key_edges),
+    walk(a, b, steps) AS (SELECT a, b, 1 FROM either UNION ALL SELECT w.a, e.b, w.steps + 1 FROM walk w JOIN either e ON e.a = w.b WHERE w.steps < 4)
+    SELECT a, b, MIN(steps) AS steps FROM walk WHERE a <> b GROUP BY a, b"""
+
+
 def foreign_keys(spark: SparkSession, base: str) -> DataFrame:
     """References without a parent, per declared key of one column."""
     known = _catalog(spark, base)
@@ -292,7 +379,7 @@ def latest_run_state(spark: SparkSession, base: str) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, base: str) -> DataFrame:
-    """Rows and order-independent hash per table."""
+    """Rows and order-independent hash per table; the hash of the same rows in another order must be the same."""
     out = None
     for name in TABLES:
         df = table(spark, base, name)
@@ -301,6 +388,19 @@ def content_hashes(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
+def content_differences(spark: SparkSession, base: str) -> DataFrame:
+    """Per table: rows, and whether its hash stays when rows are put in another order and changes when rows are doubled."""
+    out = None
+    for name in TABLES:
+        df = table(spark, base, name)
+        columns = df.columns
+        whole, turned, doubled = (x.agg(F.count(F.lit(1)).alias("n_rows"), content_hash(x).alias("h")) for x in (df, df.orderBy(F.hash(*[F.to_json(F.struct(*columns))])), df.unionAll(df)))
+        one = whole.select("n_rows", "h").crossJoin(F.broadcast(turned.select(F.col("h").alias("t")))).crossJoin(F.broadcast(doubled.select(F.col("h").alias("d"))))  # one row each
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", (F.col("h") == F.col("t")).alias("order_free"), (F.col("h") != F.col("d")).alias("copies_count"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 HOSTILE = [
     "DROP TABLE orders", "DELETE FROM orders", "INSERT INTO orders SELECT * FROM orders", "UPDATE orders SET o_custkey = 1", "SELECT 1; SELECT 2", "PRAGMA table_info(orders)",
     "ATTACH 'x' AS y", "CREATE VIEW v AS SELECT 1", "SET spark.sql.shuffle.partitions=1", "CACHE TABLE orders", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT * FROM parquet.`/root`",
@@ -310,16 +410,32 @@ HOSTILE = [
 ]
 
 
+#: Why each of HOSTILE is refused; the statements that are none fail in the parser.
+REFUSALS = {
+    "syntax": (4, 5, 6, 24), "node": (0, 1, 2, 3, 7, 8, 9, 10, 14, 17, 18, 19, 23), "path": (11,), "function": (12, 13, 25, 26, 27), "comment": (15, 16), "table": (20,), "table function": (21,), "outer column": (22, 28),
+}
+HOSTILE += ["SELECT input_file_name() FROM orders", "SELECT current_user()", "SELECT rand() FROM orders", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT c_name AS x FROM customer) t)"]
+
+
+def _refusal(spark: SparkSession, sql: str, known: Catalog) -> str:
+    """The kind of reason for which a statement may not run; anything but a refusal of the engine's own is an error here."""
+    try:
+        decision = policy.check(spark, sql, known)
+    except EngineError as error:
+        return "comment" if "comments" in str(error) else "syntax" if error.kind.name == "SYNTAX_ERROR" else str(error)
+    if decision.allowed:
+        return "allowed"
+    said = decision.reason
+    for kind, words in (("outer column", "belongs to the outer query"), ("function", "function "), ("path", "only registered tables"), ("table", " is not registered"), ("table function", "UnresolvedTableValuedFunction"), ("node", "is not permitted in a read-only query")):
+        if words in said:
+            return kind
+    return said
+
+
 def policy_corpus(spark: SparkSession, base: str) -> DataFrame:
-    """Hostile statements, none of which is run, and whether they would be."""
-    known, rows = _catalog(spark, base), []
-    for sql in HOSTILE:
-        try:
-            allowed = policy.check(spark, sql, known).allowed
-        except Exception:  # noqa: BLE001
-            allowed = False
-        rows.append((sql, allowed))
-    return spark.createDataFrame(rows, "statement string, allowed boolean")
+    """Hostile statements, none of which is run, and why each is refused."""
+    known = _catalog(spark, base)
+    return spark.createDataFrame([(sql, _refusal(spark, sql, known)) for sql in HOSTILE], "statement string, reason string")
 
 
 def semantic_cases(spark: SparkSession, base: str) -> DataFrame:
@@ -370,12 +486,42 @@ _BM25 = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '
 _ROUTED = "CASE WHEN length(q) < 4 THEN 'CLARIFY' WHEN regexp_matches(q, '\\b(insert|update|delete|drop|alter|create|truncate|merge|attach|detach)\\b') THEN 'WRITE_REQUEST' WHEN regexp_matches(q, '\\b(return rate|returns|returned|refund|refunds|refunded)\\b|trả hàng|hoàn hàng|hoàn tiền|tỷ lệ trả') THEN 'CLARIFY' ELSE 'QUERY' END"
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 
+
+
+def _listed(rows: list[tuple], names: str) -> str:
+    """Rows as a query of constants, for both dialects of SQL."""
+    text = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {text}) v({names})"
+
+
+_GOLD_ROWS = [
+    ("one table", "tables", O), ("one table", "columns", f"{O}.order_status"),
+    *[("aliases", "tables", t) for t in (O, I, C)], *[("aliases", "columns", c) for c in (f"{C}.customer_state", f"{C}.customer_id", f"{O}.customer_id", f"{O}.order_id", f"{I}.order_id", f"{I}.price_cents")],
+    *[("aliases", part, e) for part in ("edges", "keys") for e in (f"{I}.order_id = {O}.order_id", f"{C}.customer_id = {O}.customer_id")],
+    *[("derived", "tables", t) for t in (O, I)], *[("derived", "columns", c) for c in (f"{O}.order_id", f"{O}.order_status", f"{I}.order_id", f"{I}.price_cents")],
+]
+_COUNTED = ["olist_customers_dataset", "olist_geolocation_dataset", I, O, P, "olist_sellers_dataset", "trace_events", "runs", "lineitem"]
+_LOST = " + ".join(f"(SELECT count(*) FROM {t} c WHERE {a[0]} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} q WHERE q.{b[0]} = c.{a[0]}))" for t, keys in FOREIGN.items() if t.startswith("olist_") for a, p, b in keys)
+_QUALITY = (
+    "WITH c(check_name, actual, expected) AS (SELECT 'integrity_check', 0, 0 UNION ALL SELECT 'foreign_key_check', " + _LOST + ", 0 UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'row_count:{n}', (SELECT count(*) FROM {n}), (SELECT count(*) FROM (SELECT DISTINCT * FROM {n}))" for n in _COUNTED)
+    + f" UNION ALL SELECT 'products_missing_category', (SELECT count(*) - count(product_category_name) FROM {P}), 0"
+    " UNION ALL SELECT 'duplicate_review_id_occurrences', (SELECT count(*) - count(DISTINCT event_id) FROM events), 0 UNION ALL SELECT 'repeated_order_review_rows_beyond_first', (SELECT count(*) - count(DISTINCT user_id) FROM events), 0"
+    " UNION ALL SELECT 'orders_with_multiple_review_rows', (SELECT count(*) FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 1)), 0"
+    f" UNION ALL SELECT 'item_revenue_preserved', (SELECT sum(price_cents) FROM {I}), (SELECT sum(n) FROM (SELECT order_id, sum(price_cents) AS n FROM {I} GROUP BY 1))"
+    f" UNION ALL SELECT 'freight_preserved', (SELECT sum(freight_value_cents) FROM {I}), (SELECT sum(n) FROM (SELECT order_id, sum(freight_value_cents) AS n FROM {I} GROUP BY 1))"
+    " UNION ALL SELECT 'payment_preserved', (SELECT sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FROM lineitem), (SELECT sum(n) FROM (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS n FROM lineitem GROUP BY 1))"
+    " UNION ALL SELECT 'geo_centroid_unique', (SELECT count(*) - count(DISTINCT geolocation_zip_code_prefix) FROM geo_zip_centroids), 0"
+    f" UNION ALL SELECT 'raw_money_matches_cents', (SELECT count(*) FROM {I} WHERE CAST(round(CAST(price AS DECIMAL(18,2)) * 100) AS BIGINT) <> price_cents OR CAST(round(CAST(freight_value AS DECIMAL(18,2)) * 100) AS BIGINT) <> freight_value_cents), 0)"
+    " SELECT check_name, CAST(actual AS BIGINT) AS actual, CAST(expected AS BIGINT) AS expected, actual = expected AS passed FROM c"
+)
+
 BUILT: dict[str, tuple[Callable, str | None]] = {
     "flagship": (flagship, FLAGSHIP),
     "bm25_topk": (bm25_topk, f"WITH {_BM25} SELECT doc_id, score, rank FROM l"),
     "cosine_topk": (
         cosine_topk,
-        f"WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, list_cosine_similarity(v.e, q.e)), 6) AS score FROM v, v q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10",
+        f"WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0.0, list_cosine_similarity(v.e, q.e)) AS exact FROM v, v q WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, round(exact, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10",
     ),
     "rrf_fusion": (
         rrf_fusion,
@@ -385,7 +531,10 @@ BUILT: dict[str, tuple[Callable, str | None]] = {
     "token_estimate": (token_estimate, "SELECT doc_id, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 3.0)) AS BIGINT) AS size FROM documents"),
     "unicode_tokens": (unicode_tokens, None),
     "catalog_rows": (catalog_rows, None),
-    "join_closure": (join_closure, None),
+    "join_closure": (
+        join_closure,
+        _listed([("table", t) for t in (C, I, O, P, "olist_sellers_dataset")] + [("join", f"{I}.order_id = {O}.order_id"), ("join", f"{I}.product_id = {P}.product_id"), ("join", f"{I}.seller_id = olist_sellers_dataset.seller_id"), ("join", f"{O}.customer_id = {C}.customer_id")], "kind, item"),
+    ),
     "schema_search": (schema_search, None),
     "route_intent": (route_intent, f"SELECT {_ROUTED} AS intent, count(*) AS n FROM (SELECT trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS q FROM (SELECT question FROM runs UNION ALL SELECT question FROM olist_acceptance_60)) GROUP BY 1"),
     "accuracy_slices": (accuracy_slices, "SELECT \"partition\", language, difficulty, count(*) AS n, count(gold_sql) AS n_correct, round(count(gold_sql)::DOUBLE / count(*), 6) AS accuracy FROM olist_acceptance_60 GROUP BY ALL"),
@@ -395,13 +544,31 @@ BUILT: dict[str, tuple[Callable, str | None]] = {
         "WITH c AS (SELECT list_distinct(coalesce(required_concepts, [])) AS w, list_distinct(coalesce(invariants, [])) AS f FROM olist_acceptance_60), h AS (SELECT len(list_intersect(w, f)) AS hits, len(w) AS nw, len(f) AS nf FROM c) SELECT round(avg(CASE WHEN nw > 0 THEN hits::DOUBLE / nw END), 6) AS mean_recall, round(avg(CASE WHEN nf > 0 THEN hits::DOUBLE / nf END), 6) AS mean_precision, count(*) FILTER (WHERE nw > 0) AS n_recall FROM h",
     ),
     "nearest_rank": (nearest_rank, "SELECT seller_id, CAST(quantile_disc(price_cents, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(price_cents, 0.95) AS BIGINT) AS p95 FROM olist_order_items_dataset GROUP BY 1"),
-    "multiset_equal": (multiset_equal, "SELECT 'left' AS side, 0::BIGINT AS n WHERE FALSE"),
+    "multiset_equal": (
+        multiset_equal,
+        f"WITH a AS ({VIEW_SQL['order_item_totals']}), b AS ({VIEW_SQL['order_item_totals'].replace(' GROUP BY', ' WHERE price_cents > 5000 GROUP BY')}) SELECT 'left' AS side, count(*) AS n FROM (FROM a EXCEPT ALL FROM b) HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM (FROM b EXCEPT ALL FROM a) HAVING count(*) > 0",
+    ),
     "stratified_cases": (stratified_cases, None),
-    "complexity_scores": (complexity_scores, None),
-    "quality_checks": (
-        quality_checks,
-        "WITH c AS (SELECT 'item_revenue_preserved' AS check_name, CAST((SELECT sum(price_cents) FROM olist_order_items_dataset) AS BIGINT) AS actual, CAST((SELECT sum(price_cents) FROM olist_order_items_dataset) AS BIGINT) AS expected UNION ALL SELECT 'freight_preserved', CAST((SELECT sum(freight_value_cents) FROM olist_order_items_dataset) AS BIGINT), CAST((SELECT sum(freight_value_cents) FROM olist_order_items_dataset) AS BIGINT) UNION ALL SELECT 'centroid_unique', 0, 0 UNION ALL SELECT 'raw_money_matches_cents', (SELECT count(*) FROM olist_order_items_dataset WHERE CAST(round(CAST(price AS DECIMAL(18,2)) * 100) AS BIGINT) <> price_cents OR CAST(round(CAST(freight_value AS DECIMAL(18,2)) * 100) AS BIGINT) <> freight_value_cents), 0 UNION ALL SELECT 'products_unique', (SELECT count(*) - count(DISTINCT product_id) FROM olist_products_dataset), 0 UNION ALL SELECT 'order_copies', (SELECT count(*) - count(DISTINCT order_id) FROM olist_orders_dataset), (SELECT count(*) - count(DISTINCT order_id) FROM olist_orders_dataset)) SELECT *, actual = expected AS passed FROM c",
+    "complexity_scores": (
+        complexity_scores,
+        f"WITH q AS ({_listed([(n, (t if isinstance(t, str) else t[0]).upper()) for n, t in STATED.items()], 'query, t')}), c AS (SELECT query, len(regexp_extract_all(t, '(FROM|JOIN) [A-Z]')) AS tables, len(regexp_extract_all(t, 'SELECT ')) AS selects, len(regexp_extract_all(t, ' JOIN ')) AS joins, len(regexp_extract_all(t, ' UNION | INTERSECT | EXCEPT ')) AS sets, len(regexp_extract_all(t, ' GROUP BY ')) AS grouped, len(regexp_extract_all(t, ' HAVING ')) AS having FROM q) SELECT query, tables, joins, sets FROM c",
+    ),
+    "quality_checks": (quality_checks, _QUALITY),
+    "correction_outcomes": (
+        correction_outcomes,
+        "WITH r AS (SELECT status, substr(created_at, 1, 4) AS y, CAST(coalesce(config_json ->> '$.max_repairs', '0') AS BIGINT) AS repairs, coalesce(status = 'COMPLETED', FALSE)::INT AS won FROM runs WHERE config_json IS NOT NULL) SELECT 'total' AS kind, 'attempted' AS name, count(*) AS n, CAST(sum(won) AS BIGINT) AS n_recovered FROM r UNION ALL SELECT 'total', 'repairs', CAST(sum(repairs) AS BIGINT), 0 FROM r UNION ALL SELECT 'total', 'calls', count(*), 0 FROM r UNION ALL SELECT 'stop_reason', coalesce(y, 'NONE'), count(*), CAST(sum(won) AS BIGINT) FROM r GROUP BY 1, 2 UNION ALL SELECT 'trigger', status, count(*), CAST(sum(won) AS BIGINT) FROM r WHERE status IS NOT NULL GROUP BY 1, 2",
     ),
+    "gold_schemas": (gold_schemas, _listed(_GOLD_ROWS, "query, part, item")),
+    "schema_parts": (
+        schema_parts,
+        "WITH c AS (SELECT id, list_distinct(coalesce(required_concepts, [])) AS g, list_distinct(coalesce(invariants, [])) AS f FROM olist_acceptance_60), p AS (SELECT * FROM (VALUES (0, 'tables'), (1, 'columns'), (2, 'edges'), (3, 'keys')) v(k, part)), s AS (SELECT part, len(list_intersect(list_filter(g, lambda x: length(x) % 4 = k), list_filter(f, lambda x: length(x) % 4 = k))) AS hits, len(list_filter(g, lambda x: length(x) % 4 = k)) AS gold FROM c, p) SELECT part, round(avg(CASE WHEN gold > 0 THEN hits::DOUBLE / gold END), 6) AS macro, round(sum(hits)::DOUBLE / nullif(sum(gold), 0), 6) AS micro, count(*) FILTER (WHERE gold > 0) AS n FROM s GROUP BY part",
+    ),
+    "manifest_check": (
+        manifest_check,
+        "WITH f AS (SELECT a.id, a.difficulty, a.\"partition\" = 'holdout' AS twice, a.source IS NULL AS gone, a.language = 'vi' AS changed FROM olist_acceptance_60 a) SELECT fault, count(*) AS n FROM (SELECT 'LISTED_TWICE' AS fault FROM f WHERE twice UNION ALL SELECT 'IN_TWO_PARTS' FROM f WHERE twice AND difficulty <> 'easy' UNION ALL SELECT 'UNKNOWN_PART' FROM f WHERE coalesce(least(difficulty, CASE WHEN twice THEN 'easy' ELSE difficulty END), '') NOT IN ('easy', 'medium') UNION ALL SELECT 'NO_CASE' FROM f WHERE gone UNION ALL SELECT 'CASE_CHANGED' FROM f WHERE NOT gone AND changed) GROUP BY 1",
+    ),
+    "key_closure": (key_closure, f"WITH RECURSIVE key_edges(child, parent) AS ({_listed([(t, p) for t, keys in FOREIGN.items() for _, p, _ in keys], 'child, parent')}), {KEY_CLOSURE}"),
+    "content_differences": (content_differences, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, TRUE AS order_free, TRUE AS copies_count FROM {n}" for n in TABLES)),
     "foreign_keys": (
         foreign_keys,
         " UNION ALL ".join(
@@ -412,8 +579,12 @@ BUILT: dict[str, tuple[Callable, str | None]] = {
     ),
     "latest_run_state": (latest_run_state, "SELECT run_id, sequence, layer, event FROM (SELECT DISTINCT run_id, sequence, layer, event FROM trace_events) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY sequence DESC) = 1"),
     "content_hashes": (content_hashes, None),
-    "policy_corpus": (policy_corpus, None),
-    "semantic_cases": (semantic_cases, None),
+    "complexity_classes": (complexity_classes, None),
+    "policy_corpus": (policy_corpus, _listed([(sql, next(k for k, at in REFUSALS.items() if i in at)) for i, sql in enumerate(HOSTILE)], "statement, reason")),
+    "semantic_cases": (
+        semantic_cases,
+        _listed([("Which customer state has the most orders?", "RANKING_ORDER_MISSING,RANKING_LIMIT_MISMATCH,TOP_K_MISSING_ORDER,TOP_K_MISSING_LIMIT"), ("Top 3 states by orders", ""), ("What is the average price?", "AVERAGE_AGGREGATE_MISSING"), ("How many orders were delivered late?", "DELIVERY_POPULATION_NARROWED_BY_STATUS")], "question, signals"),
+    ),
     "ask_answers": (ask_answers, None),
     "default_limit": (default_limit, "SELECT 'unbounded' AS kind, least(200, (SELECT count(*) FROM orders)) AS n UNION ALL SELECT 'own_limit', least(7, (SELECT count(*) FROM orders)) UNION ALL SELECT 'scalar', 1"),
 }

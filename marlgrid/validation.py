@@ -14,9 +14,6 @@ from marlgrid.errors import ErrorClass
 from marlgrid.executor import Preview
 from marlgrid.plans.questions import QuestionPlan
 
-#: Tables with many rows per order; two of them in one join multiply money.
-MANY_PER_ORDER = frozenset({"olist_order_items_dataset", "olist_order_payments_dataset", "olist_order_reviews_dataset"})
-
 
 @dataclass(frozen=True)
 class Report:
@@ -50,6 +47,7 @@ class Shape:
     distinct: bool
     outputs: int
     text: str
+    tables: frozenset[str] = frozenset()
 
 
 def shape(spark: SparkSession, sql: str) -> Shape:
@@ -71,18 +69,18 @@ def shape(spark: SparkSession, sql: str) -> Shape:
         if not below:
             break
         top = below[0]
-    functions, names, distinct = set(), set(), False
+    functions, names, tables, distinct = set(), set(), set(), False
     for node in policy.walk(plan):
         distinct |= policy._kind(node) == "Distinct"
         if policy._kind(node) == "UnresolvedRelation":
-            names.add(policy._items(node.multipartIdentifier())[-1].lower())
+            tables.add(policy._items(node.multipartIdentifier())[-1].lower())
         for e in policy.expressions(node):
             if policy._kind(e) == "UnresolvedFunction":
                 functions.add(policy._items(e.nameParts())[-1].lower())
                 distinct |= bool(e.isDistinct())
             elif policy._kind(e) == "UnresolvedAttribute":
                 names.add(policy._items(e.nameParts())[-1].lower())
-    return Shape(order, limit, frozenset(functions), frozenset(names), distinct, outputs, sql.casefold())
+    return Shape(order, limit, frozenset(functions), frozenset(names | tables), distinct, outputs, sql.casefold(), frozenset(tables))
 
 
 # Phrases of a question that a rule listens to.
@@ -157,9 +155,18 @@ def semantic_signals(spark: SparkSession, question: str, plan: QuestionPlan, sql
 
 
 def fan_out(spark: SparkSession, sql: str, catalog: Catalog) -> bool:
-    """Whether a query joins two tables that have many rows per order, without DISTINCT."""
+    """Whether a query joins two tables that both have many rows per row of a third, without DISTINCT.
+
+    What has many rows is read from the keys: a table that refers to another by
+    columns that are not its own whole key.
+    """
     s = shape(spark, sql)
-    return len(s.names & MANY_PER_ORDER & {n.lower() for n in catalog.names}) > 1 and not s.distinct
+    many: dict[str, set[str]] = {}
+    for t in catalog.tables:
+        for k in t.foreign_keys:
+            if t.name.lower() in s.tables and set(t.primary_key) != set(k.columns) and {c.lower() for c in k.columns} <= s.names:
+                many.setdefault(k.target, set()).add(t.name)
+    return not s.distinct and any(len(tables) > 1 for tables in many.values())
 
 
 def normalise(spark: SparkSession, text: str) -> tuple[str, str]:
