@@ -38,11 +38,7 @@ def p2_layer(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_bound_held(spark: SparkSession, base: str) -> DataFrame:
-    """Per layer and quantile: exact counts, and whether the ranks of the estimate keep the bound around the exact percentile.
-
-    SQL states the same of the exact percentiles of the table: the estimate of
-    every group must lie between the values at the ranks that the bound allows.
-    """
+    """Per layer and quantile: exact counts, and whether the ranks of the estimate keep the bound around the exact percentile."""
     found = p2_layer(spark, base)
     reach = RANK_BOUND * F.col("n") + 1
     held = (F.col("n_below") <= F.col("q") * F.col("n") + reach) & (F.col("n_below") + F.col("n_equal") >= F.col("q") * F.col("n") - reach)
@@ -58,6 +54,19 @@ def p2_extremes(spark: SparkSession, base: str) -> DataFrame:
     return merged.select("layer", "n", "n_unusable", F.col("low").alias("least"), F.col("high").alias("most"), weight.alias("weight"), F.round(mean, 4).alias("mean"))
 
 
+#: Values at which p2_counted counts, by the quantile that each stands in for.
+PROBES = {0.5: 50.0, 0.9: 400.0, 0.95: 1000.0, 0.99: 5000.0}
+
+
+def p2_counted(spark: SparkSession, base: str) -> DataFrame:
+    """The counting pass at stated values in place of estimates: what it counts can be checked."""
+    stored = _timings(spark, base)
+    found = percentiles.estimates(percentiles.digests(stored, ["layer"]), ["layer"], QUANTILES)
+    probe = F.element_at(F.create_map(*[F.lit(x) for pair in PROBES.items() for x in pair]), F.col("q"))
+    counted = percentiles.certify(stored, ["layer"], found.withColumn("estimate", F.when(F.col("n") > 0, probe)), QUANTILES)
+    return counted.select("layer", "q", "n", "n_unusable", "n_below", "n_equal")
+
+
 TRAIN, EVALUATION = "dev", ["regression", "holdout"]
 _VIEWED = "id string, is_train boolean, view string, tokens array<string>, marks string, slots map<string,string>"
 
@@ -258,6 +267,7 @@ QUERIES = {
     "p2_layer": p2_layer,
     "p2_bound_held": p2_bound_held,
     "p2_extremes": p2_extremes,
+    "p2_counted": p2_counted,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p3_routes": p3_routes,
@@ -277,6 +287,11 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_counted": f"""
+        WITH t AS (SELECT DISTINCT run_id, sequence, layer, elapsed_ms AS v FROM trace_events), g AS (SELECT layer, v, v IS NOT NULL AND isfinite(v) AND v >= 0 AS good FROM t),
+             p AS (SELECT * FROM (VALUES {", ".join(f"({q}::DOUBLE, {x}::DOUBLE)" for q, x in PROBES.items())}) v(q, x))
+        SELECT layer, q, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS n_unusable, count(*) FILTER (WHERE good AND v < x) AS n_below, count(*) FILTER (WHERE good AND v = x) AS n_equal
+        FROM g, p GROUP BY layer, q""",
     "p2_extremes": """
         WITH t AS (SELECT DISTINCT run_id, sequence, layer, elapsed_ms AS v FROM trace_events),
              g AS (SELECT layer, v, v IS NOT NULL AND isfinite(v) AND v >= 0 AS good FROM t)
