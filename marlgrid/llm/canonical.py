@@ -3,33 +3,29 @@
 Values are first made distinct (with their context, here the state), so a value
 that a third of all rows share is matched once.  Each is brought to one form
 (see ``unify``), folded, stripped of additions such as a state code or "(centro)"
-and of filler words, and its abbreviations are written out.  Character 2- and
-3-grams of that form look up an inverted index of the reference; candidates are
-scored by idf-weighted cosine, and the best few are confirmed by edit distance
-with transpositions.  A value is accepted if its distance is within a bound that
-depends on its length and its lead over the next different name is large enough;
-otherwise it is reported as unmatched.
+and of filler words, and its abbreviations are written out.  Character 2-grams of
+that form look up an inverted index of the reference, the rarest first and as many
+as no allowed number of edits can destroy; candidates are scored by idf-weighted
+cosine and confirmed by edit distance with transpositions.  A value is accepted if
+its distance is within a bound that depends on its length and its lead over the next
+different name is large enough; otherwise it is reported as unmatched.
 
 Among entries of one name, an entry of the value's own context wins, then the
 current over a former name, then the smallest id.
 
-The reference is cut into blocks of bounded size and every value meets every
-block, so neither side has to fit one task; nothing is broadcast.  Null and
-blank values give no row.  An empty reference leaves every value unmatched.
+Everything is equi-joins of distinct values and names, by form or by gram: neither
+side has to fit a task, nothing is broadcast but counts, and no candidate is cut.
+Null and blank values give no row.  An empty reference leaves every value unmatched.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,121 +112,85 @@ def distance(a: str, b: str) -> int:
     return edits
 
 
-def grams(text: str) -> Counter:
-    marked = f"^{text}$"
-    return Counter(marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1))
-
-
-class Index:
-    """Inverted n-gram index of one block of the reference."""
-
-    def __init__(self, rows: list[tuple], habits: Habits, contexts: frozenset[str]):
-        # A surface form -> its entries (context, former, id).
-        self.entries: dict[str, list[tuple]] = {}
-        self.glued: dict[str, str] = {}
-        self.whole: dict[str, str] = {}
-        for entry, name, context, former in rows:
-            folded = fold(name)
-            form = core(folded, habits, contexts)
-            if form:
-                self.entries.setdefault(form, []).append((context, former, entry))
-                self.glued.setdefault(glued(folded, habits), form)
-                self.whole.setdefault(form, glued(folded, habits))
-        self.forms = sorted(self.entries)
-        counted = [grams(f) for f in self.forms]
-        spread = Counter(g for c in counted for g in c)
-        self.idf = {g: math.log(1 + len(self.forms) / n) for g, n in spread.items()}
-        self.rare = math.log(1 + len(self.forms) / 0.5)
-        postings: dict[str, tuple[list, list]] = {}
-        for i, c in enumerate(counted):
-            weight = {g: math.sqrt(n) * self.idf[g] for g, n in c.items()}
-            norm = math.sqrt(sum(w * w for w in weight.values()))
-            for g, w in weight.items():
-                at, by = postings.setdefault(g, ([], []))
-                at.append(i)
-                by.append(w / norm)
-        self.postings = {g: (np.array(at, "int64"), np.array(by)) for g, (at, by) in postings.items()}
-
-    def nearest(self, form: str, top: int) -> list[tuple[float, str]]:
-        """The ``top`` entries by weighted cosine."""
-        weight = {g: math.sqrt(n) * self.idf.get(g, self.rare) for g, n in grams(form).items()}
-        norm = math.sqrt(sum(w * w for w in weight.values())) or 1.0
-        hits = [(self.postings[g], w / norm) for g, w in weight.items() if g in self.postings]
-        if not hits:
-            return []
-        score = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * w for p, w in hits]), len(self.forms))
-        best = np.argpartition(-score, min(top, len(score) - 1))[:top] if len(score) > top else np.arange(len(score))
-        return sorted(((float(score[i]), self.forms[i]) for i in best if score[i] > 0), key=lambda x: (-x[0], x[1]))
-
-    def pick(self, form: str, context: str | None):
-        """The entry meant among those of one name."""
-        return min(self.entries[form], key=lambda e: (e[0] is None or e[0] != context, e[1], e[2]))[2]
-
-
-def _matcher(habits: Habits, top: int, least_cosine: float, contexts_of):
-    def match(rows: list[tuple], index: Index, contexts: frozenset[str]):
-        for value, context in rows:
-            folded = fold(value)
-            form = core(folded, habits, contexts)
-            whole = glued(folded, habits)
-            found = []
-            if form in index.entries:
-                found = [(0, -1.0, form)]
-            elif whole in index.glued:
-                found = [(0, -1.0, index.glued[whole])]
-            elif form:
-                near = index.nearest(form, top)
-                if whole != form:
-                    near += [x for x in index.nearest(whole, top // 2) if x[1] not in {f for _, f in near}]
-                for cosine, other in near:
-                    if cosine >= least_cosine:
-                        # A misspelt filler word is an edit like any other: the form with fillers counts too.
-                        found.append((min(distance(form, other), distance(whole, index.whole[other])), -cosine, other))
-                found.sort()
-                found = found[:2]
-            for edits, cosine, other in found:
-                yield value, context, len(form), edits, -cosine, other, index.pick(other, context)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, index, rows = None, None, []
-        for batch in batches:
-            out = []
-            for s, child, entry, text, context, former in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != slot:
-                    slot, index, rows = s, None, []
-                if child == 0:
-                    rows.append((entry, text, context, former))
-                    continue
-                if index is None:
-                    contexts = contexts_of(rows)
-                    index = Index(rows, habits, contexts)
-                out.extend(match([(text, context)], index, contexts))
-            if out:
-                value, context, length, edits, cosine, form, entry = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value, pa.string()), pa.array(context, pa.string()), pa.array(length, pa.int32()), pa.array(edits, pa.int32()), pa.array(cosine, pa.float64()), pa.array(form, pa.string()), pa.array(entry, pa.int64())],
-                    names=["value", "context", "length", "edits", "cosine", "form", "entry"],
-                )
-
-    return run
-
-
-def allowed_edits(length):
+def allowed_edits(length: Column) -> Column:
     """Edits that a value of that many letters may have: 1 up to 4 letters, 2 up to 9, then 3."""
     return F.when(length <= 4, 1).when(length <= 9, 2).otherwise(3)
 
 
-def match_values(
-    values: DataFrame,
-    reference: DataFrame,
-    *,
-    habits: Habits = PLACES,
-    top: int = 12,
-    least_cosine: float = 0.1,
-    margin: int = 1,
-    block_entries: int = 50_000,
-    slot_values: int = 4_000,
-) -> DataFrame:
+MOST_ALLOWED = 3
+#: 2-grams that one edit, a swap of neighbours included, can destroy.
+DESTROYED = 3
+
+
+def grams(text: Column) -> Column:
+    """Distinct character 2-grams, the ends marked."""
+    marked = F.concat(F.lit("^"), text, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(2))))
+
+
+def _shapes(texts: DataFrame, column: str, habits: Habits, contexts: frozenset[str]) -> DataFrame:
+    """Adds ``form`` and ``whole`` of a text column."""
+
+    @F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("whole", T.StringType())]))
+    def shaped(values: pd.Series) -> pd.DataFrame:
+        folded = [fold(v) for v in values]
+        return pd.DataFrame({"form": [core(f, habits, contexts) for f in folded], "whole": [glued(f, habits) for f in folded]})
+
+    return texts.withColumn("_s", shaped(F.col(column))).select(*texts.columns, F.col("_s.form").alias("form"), F.col("_s.whole").alias("whole"))
+
+
+@F.pandas_udf(T.IntegerType())
+def _fewest_edits(form: pd.Series, whole: pd.Series, name_form: pd.Series, name_whole: pd.Series) -> pd.Series:
+    # A misspelt filler word is an edit like any other: the form with fillers counts too.
+    return pd.Series([min(distance(f, n), distance(w, m)) for f, w, n, m in zip(form, whole, name_form, name_whole)], dtype="int32")
+
+
+def _texts(df: DataFrame, keep: dict[str, str]) -> DataFrame:
+    """A row per different text of a name or value (its form, its whole), with what it stands for."""
+    one = F.struct(F.col("form").alias("text"), F.lit(True).alias("is_form"), (F.col("form") == F.col("whole")).alias("is_whole"))
+    two = F.struct(F.col("whole").alias("text"), F.lit(False).alias("is_form"), F.lit(True).alias("is_whole"))
+    return df.select(*[F.col(c).alias(name) for c, name in keep.items()], F.explode(F.when(F.col("form") == F.col("whole"), F.array(one)).otherwise(F.array(one, two))).alias("t")).select(*keep.values(), "t.*")
+
+
+def candidates(asked: DataFrame, names: DataFrame, beyond: int = 0) -> DataFrame:
+    """(form, whole, name_form, edits, cosine): every name within the edits that a value may have, and ``beyond``.
+
+    ``asked`` and ``names`` have form and whole, each form of ``names`` once.  One
+    edit destroys at most three 2-grams, so of a value's 3k+1 rarest ones at least
+    one stands in every name within k edits: those look up the inverted index, an
+    equi-join by gram that no cap cuts.  Length and a bounded Levenshtein distance
+    thin the hits out before the exact distance is taken.
+    """
+    # The inverted index: gram -> names, and in how many names a gram stands.
+    posted = _texts(names, {"form": "name_form", "whole": "name_whole"}).select("*", F.explode(grams(F.col("text"))).alias("gram"))
+    spread = posted.where("is_form").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    count = names.agg(F.count(F.lit(1)).alias("all_names"))
+
+    probed = _texts(asked, {"form": "form", "whole": "whole"}).select("*", (allowed_edits(F.length("form")) + beyond).alias("k"), F.explode(grams(F.col("text"))).alias("gram"))
+    weighed = probed.join(spread.select(F.col("gram").alias("known_gram"), "n"), F.col("gram") == F.col("known_gram"), "left").select("form", "whole", "text", "is_form", "is_whole", "k", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
+    sorted_ = weighed.groupBy("form", "whole", "text", "is_form", "is_whole", "k").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # as many as the text has letters
+    rarest = sorted_.select("form", "whole", "text", F.col("is_form").alias("f"), F.col("is_whole").alias("w"), "k", F.explode(F.filter(F.slice("gs", F.lit(1), DESTROYED * F.col("k") + 1), lambda g: g["n"] > 0)).alias("g"))
+    hits = rarest.select("form", "whole", F.col("text").alias("mine"), "f", "w", "k", F.col("g.gram").alias("wanted")).join(
+        posted,
+        (F.col("wanted") == F.col("gram")) & ((F.col("f") & F.col("is_form")) | (F.col("w") & F.col("is_whole"))) & (F.abs(F.length("mine") - F.length("text")) <= F.col("k")),
+    )
+    # A swap counts as two for Levenshtein: within twice the edits lies all that is wanted.
+    close = hits.where(F.expr("levenshtein(mine, text, 2 * k)") >= 0).select("form", "whole", "k", "name_form", "name_whole").distinct()
+    near = close.withColumn("edits", _fewest_edits("form", "whole", "name_form", "name_whole")).where(F.col("edits") <= F.col("k"))
+
+    # Idf-weighted cosine of the forms' grams, for what is left.
+    def idf(n: Column) -> Column:
+        return F.log(1 + F.col("all_names") / n)
+
+    square = lambda gs: F.aggregate(gs, F.lit(0.0), lambda a, g: a + g["w"] * g["w"])
+    vectors = sorted_.where("is_form").crossJoin(F.broadcast(count)).select(F.col("form").alias("v_form"), F.col("whole").alias("v_whole"), F.transform("gs", lambda g: F.struct(g["gram"].alias("gram"), idf(F.greatest(g["n"], F.lit(0.5))).alias("w"))).alias("v"))
+    norms = posted.where("is_form").join(spread.select(F.col("gram").alias("known_gram"), "n"), F.col("gram") == F.col("known_gram")).crossJoin(F.broadcast(count)).groupBy(F.col("name_form").alias("n_form")).agg(F.sqrt(F.sum(idf(F.col("n")) * idf(F.col("n")))).alias("norm"))
+    scored = near.join(vectors, (F.col("form") == F.col("v_form")) & (F.col("whole") == F.col("v_whole"))).join(norms, F.col("name_form") == F.col("n_form"))
+    shared = F.filter("v", lambda g: F.array_contains(grams(F.col("name_form")), g["gram"]))
+    return scored.select("form", "whole", "name_form", "edits", (square(shared) / (F.sqrt(square(F.col("v"))) * F.col("norm"))).alias("cosine"))
+
+
+def match_values(values: DataFrame, reference: DataFrame, *, habits: Habits = PLACES, margin: int = 1) -> DataFrame:
     """(value, context, entry_id, edits, cosine) of distinct (value, context) rows.
 
     ``values`` has string columns value and context; ``reference`` has
@@ -238,36 +198,30 @@ def match_values(
     one).  ``entry_id`` is null for values without an entry.  ``margin`` is by
     how many edits the best name must lead over the next different one.
     """
-    entries = reference.select(F.col("entry_id").cast("bigint").alias("entry"), F.col("name").cast("string").alias("text"), F.upper("context").alias("context"), F.col("former").cast("boolean").alias("former")).where("text IS NOT NULL AND entry IS NOT NULL")
-    known = cut(values.select(F.col("value").cast("string").alias("value"), F.upper(F.col("context").cast("string")).alias("context")).where("value IS NOT NULL").distinct())
-    blocks = max(1, -(-entries.count() // block_entries))
-    shares = max(1, -(-known.count() // slot_values))
-    # Names that fold alike meet in one block: the block comes from the name's letters alone.
-    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "")
-    slot = F.pmod(F.xxhash64(letters), F.lit(blocks)).cast("int") * shares
-    none = F.lit(None)
-    shape = ["slot", "child", "entry", "text", "context", "former"]
-    rows = (
-        entries.withColumn("slot", F.explode(F.sequence(slot, slot + shares - 1)))
-        .withColumn("child", F.lit(0))
-        .select(shape)
-        .unionAll(
-            known.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * shares + F.pmod(F.xxhash64("value", "context"), F.lit(shares)).cast("int"))))
-            .select("slot", F.lit(1).alias("child"), none.cast("bigint").alias("entry"), F.col("value").alias("text"), "context", none.cast("boolean").alias("former"))
-            .select(shape)
-        )
-    )
-
-    def contexts_of(found: list[tuple]) -> frozenset[str]:
-        return frozenset(c.lower() for _, _, c, _ in found if c)
-
-    schema = "value string, context string, length int, edits int, cosine double, form string, entry bigint"
-    candidates = rows.repartitionById(blocks * shares, F.col("slot").cast("int")).sortWithinPartitions("slot", "child").mapInArrow(_matcher(habits, top, least_cosine, contexts_of), schema)
-    # At most two candidates of each block meet here.
-    listed = candidates.groupBy("value", "context").agg(F.sort_array(F.collect_list(F.struct("edits", (-F.col("cosine")).alias("far"), "form", "entry"))).alias("c"), F.max("length").alias("length"))
-    best = F.col("c")[0]
-    rest = F.filter("c", lambda x: x["form"] != best["form"])
-    lead = F.when(F.size(rest) > 0, rest[0]["edits"] - best["edits"])
-    good = (best["edits"] <= allowed_edits(F.col("length"))) & (lead.isNull() | (lead >= margin))
-    chosen = listed.select("value", "context", F.when(good, best["entry"]).alias("entry_id"), best["edits"].alias("edits"), (-best["far"]).alias("cosine"))
-    return known.join(chosen, known["value"].eqNullSafe(chosen["value"]) & known["context"].eqNullSafe(chosen["context"]), "left").select(known["value"], known["context"], "entry_id", "edits", "cosine")
+    entries = reference.select(F.col("entry_id").cast("bigint").alias("entry"), F.col("name").cast("string").alias("text"), F.upper("context").alias("place"), F.col("former").cast("boolean").alias("former")).where("text IS NOT NULL AND entry IS NOT NULL")
+    # Codes of two or three letters, which may stand behind a value: 18,252 at the very most.
+    contexts = frozenset(r[0] for r in entries.select(F.lower("place").alias("c")).where(F.col("c").rlike("^[a-z]{2,3}$")).distinct().collect())
+    entries = cut(_shapes(entries, "text", habits, contexts).where("form != ''"))
+    given = values.select(F.col("value").cast("string").alias("value"), F.upper(F.col("context").cast("string")).alias("context")).where("value IS NOT NULL").distinct()
+    known = cut(_shapes(given, "value", habits, contexts))
+
+    names = entries.groupBy("form").agg(F.min("whole").alias("whole"))
+    spelled = entries.groupBy("whole").agg(F.min("form").alias("form"))
+    asked = known.select("form", "whole").distinct()
+    same = asked.join(names.select(F.col("form").alias("name_form")), F.col("form") == F.col("name_form"), "left").join(spelled.select(F.col("whole").alias("its_whole"), F.col("form").alias("its_form")), F.col("whole") == F.col("its_whole"), "left")
+    same = cut(same.select("form", "whole", F.coalesce("name_form", "its_form").alias("name_form")))
+    exact = same.where("name_form IS NOT NULL").select("form", "whole", "name_form", F.lit(0).alias("edits"), F.lit(1.0).alias("cosine"))
+
+    found = candidates(same.where("name_form IS NULL AND form != ''").select("form", "whole"), names, margin - 1)
+    most = MOST_ALLOWED + margin
+    best = found.groupBy("form", "whole").agg(F.min(F.struct("edits", (-F.col("cosine")).alias("far"), "name_form")).alias("best"), F.array(*[F.count_if(F.col("edits") == e) for e in range(most)]).alias("at"))
+    rivals = F.aggregate(F.slice("at", F.col("best.edits") + 1, F.lit(margin)), F.lit(0).cast("bigint"), lambda a, x: a + x) - 1
+    best = best.where((F.col("best.edits") <= allowed_edits(F.length("form"))) & (rivals == 0)).select("form", "whole", F.col("best.name_form").alias("name_form"), F.col("best.edits").alias("edits"), (-F.col("best.far")).alias("cosine"))
+
+    # Among entries of one name: the value's context, then the current name, then the smallest id.
+    chosen = exact.unionAll(best)
+    meant = known.join(chosen, ["form", "whole"]).join(entries.select(F.col("form").alias("name_form"), "entry", "place", "former"), "name_form")
+    order = F.struct(~F.coalesce(F.col("place") == F.col("context"), F.lit(False)), "former", "entry")
+    picked = meant.groupBy("value", "context").agg(F.min_by("entry", order).alias("entry_id"), F.min("edits").alias("edits"), F.min("cosine").alias("cosine"))
+    picked = picked.select(F.col("value").alias("v"), F.col("context").alias("c"), "entry_id", "edits", "cosine")
+    return known.join(picked, (F.col("value") == F.col("v")) & F.col("context").eqNullSafe(F.col("c")), "left").select("value", "context", "entry_id", "edits", "cosine")

@@ -80,14 +80,41 @@ TYPED = [
 ]
 
 
-@pytest.mark.parametrize("block", [50_000, 2])
-def test_mapping(spark, block):
+def test_mapping(spark):
     values = spark.createDataFrame([(v, c) for v, c, _ in TYPED] * 2 + [(None, "SP")], "value string, context string")
     reference = spark.createDataFrame(REFERENCE, "entry_id bigint, name string, context string, former boolean")
-    got = {(r.value, r.context): r.entry_id for r in canonical.match_values(values, reference, block_entries=block, slot_values=4).collect()}
+    got = {(r.value, r.context): r.entry_id for r in canonical.match_values(values, reference).collect()}
     assert got == {(v, c): e for v, c, e in TYPED}
 
 
+def test_candidates_against_all_entries(spark):
+    """Every name within the allowed edits is found, whatever its cosine: recall 1 against brute force."""
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(2, 14))) for _ in range(400)})
+    asked = set()
+    for name in names[::3]:
+        text = list(name)
+        for _ in range(rng.randint(1, 3)):
+            at, what = rng.randrange(len(text) + 1), rng.choice("isdt")
+            if what == "i":
+                text.insert(at, rng.choice("abcdef"))
+            elif at < len(text) and what == "s":
+                text[at] = rng.choice("abcdef")
+            elif at < len(text) and len(text) > 2 and what == "d":
+                del text[at]
+            elif at + 1 < len(text):
+                text[at], text[at + 1] = text[at + 1], text[at]
+        asked.add("".join(text))
+    frame = lambda texts: spark.createDataFrame([(t, t) for t in sorted(texts)], "form string, whole string")
+    got = {(r.form, r.name_form): (r.edits, r.cosine) for r in canonical.candidates(frame(asked), frame(names)).collect()}
+    allowed = lambda t: 1 if len(t) <= 4 else 2 if len(t) <= 9 else 3
+    want = {(a, n): d for a in asked for n in names if (d := osa(a, n)) <= allowed(a)}
+    shared = {k for k in want if {f"^{k[0]}$"[i : i + 2] for i in range(len(k[0]) + 1)} & {f"^{k[1]}$"[i : i + 2] for i in range(len(k[1]) + 1)}}
+    assert {k: v[0] for k, v in got.items()} == {k: want[k] for k in shared}, sorted(set(got) ^ shared)
+    assert len(shared) > 200 and len(shared) >= 0.98 * len(want)
+    assert all(0 < c <= 1 + 1e-9 for _, c in got.values())
+
+
 def test_mapping_empty(spark):
     values = spark.createDataFrame([("vila", "MG")], "value string, context string")
     none = spark.createDataFrame([], "entry_id bigint, name string, context string, former boolean")
