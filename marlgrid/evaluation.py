@@ -8,7 +8,6 @@ import json
 import math
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,12 +125,16 @@ def quotas(sizes: dict[str, int], total: int, floor: int = 5) -> dict[str, int]:
     """Cases per group: up to ``floor`` each, every further one where most cases wait per place."""
     if sum(sizes.values()) < total:
         raise ValueError("too few cases")
-    places = pd.Series({g: min(floor, n) for g, n in sizes.items()}, dtype="int64")
-    # The k-th place of a group is worth size/k to it: all places beyond the floor in one ranking.
-    further = [(n / k, g) for g, n in sizes.items() for k in range(places[g], n)]
-    for _, g in heapq.nlargest(max(0, total - int(places.sum())), further):
+    places = {g: min(floor, n) for g, n in sizes.items()}
+    # The k-th place of a group is worth size/k to it; of each group only the next one waits.
+    waiting = [(-sizes[g] / k, g) for g, k in places.items() if 0 < k < sizes[g]]
+    heapq.heapify(waiting)
+    for _ in range(total - sum(places.values())):
+        _, g = heapq.heappop(waiting)
         places[g] += 1
-    return {g: int(n) for g, n in places.items()}
+        if places[g] < sizes[g]:
+            heapq.heappush(waiting, (-sizes[g] / places[g], g))
+    return places
 
 
 def stratified(cases: DataFrame, group: str, order: list[str], total: int, floor: int = 5) -> DataFrame:
