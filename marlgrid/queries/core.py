@@ -187,9 +187,12 @@ def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
     return fused.select("doc_id", F.round("score", 8).alias("score"), F.concat_ws(",", "sources").alias("sources"))
 
 
+BOOSTED = "freight_value_cents by seller_state in olist_orders_dataset"
+
+
 def identifier_boost(spark: SparkSession, base: str) -> DataFrame:
     docs = retrieval.document_frame(spark, engine_over(spark, base).catalog("data"))
-    return retrieval.identifier_boost(docs, "document_id", ["table_name", "column_name"], "freight_value_cents by seller_state in olist_orders_dataset").where("score > 0")
+    return retrieval.identifier_boost(docs, "document_id", ["table_name", "column_name"], BOOSTED).where("score > 0")
 
 
 def token_estimate(spark: SparkSession, base: str) -> DataFrame:
@@ -494,6 +497,11 @@ def _listed(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {text}) v({names})"
 
 
+_KEY_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', {i})" for t, keys in KEYS.items() for i, c in enumerate(keys, 1)) + ") v(table_name, column_name, place)"
+_COLUMN_ROWS = (
+    "SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+    "WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(data_type) END AS data_type FROM duckdb_columns() WHERE NOT internal AND table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
+)
 _GOLD_ROWS = [
     ("one table", "tables", O), ("one table", "columns", f"{O}.order_status"),
     *[("aliases", "tables", t) for t in (O, I, C)], *[("aliases", "columns", c) for c in (f"{C}.customer_state", f"{C}.customer_id", f"{O}.customer_id", f"{O}.order_id", f"{I}.order_id", f"{I}.price_cents")],
@@ -527,10 +535,16 @@ BUILT: dict[str, tuple[Callable, str | None]] = {
         rrf_fusion,
         f"WITH {_BM25}, g AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents QUALIFY rank <= 20), u AS (SELECT doc_id, 1.0::DOUBLE / (60 + rank) AS part, 'bm25' AS source FROM l UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + rank), 'length' FROM g) SELECT doc_id, round(sum(part), 8) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM u GROUP BY doc_id",
     ),
-    "identifier_boost": (identifier_boost, None),
+    "identifier_boost": (
+        identifier_boost,
+        f"WITH c AS ({_COLUMN_ROWS}), r AS ({_listed([(t, ','.join(a), f'relationship:{t}.{','.join(a)}->{p}') for t, keys in FOREIGN.items() for a, p, _ in keys], 'table_name, a, document_id')}), d AS (SELECT DISTINCT 'table:' || table_name AS document_id, table_name, NULL AS column_name FROM c UNION ALL SELECT 'column:' || table_name || '.' || column_name, table_name, column_name FROM c UNION ALL SELECT document_id, table_name, NULL FROM r), s AS (SELECT document_id, 4.0::DOUBLE * (contains(q, table_name)::INT + coalesce(contains(q, column_name)::INT, 0)) AS score FROM d, (SELECT '{BOOSTED}' AS q)) SELECT document_id, score FROM s WHERE score > 0",
+    ),
     "token_estimate": (token_estimate, "SELECT doc_id, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 3.0)) AS BIGINT) AS size FROM documents"),
-    "unicode_tokens": (unicode_tokens, None),
-    "catalog_rows": (catalog_rows, None),
+    "unicode_tokens": (
+        unicode_tokens,
+        "WITH w AS (SELECT row_number() OVER () AS i, regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+') AS ws FROM runs WHERE question IS NOT NULL), f AS (SELECT i, list_concat(ws, flatten(list_transform(ws, lambda x: list_filter(string_split(x, '_'), lambda y: y <> '')))) AS found FROM w), a AS (SELECT found, list_distinct(list_filter(list_transform(found, lambda x: strip_accents(replace(x, 'đ', 'd'))), lambda y: NOT list_contains(found, y))) AS bare FROM f) SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(found, bare)) AS token FROM a) GROUP BY token ORDER BY n DESC, token LIMIT 50",
+    ),
+    "catalog_rows": (catalog_rows, f"WITH k AS ({_KEY_ROWS}), c AS ({_COLUMN_ROWS}) SELECT 'data' AS db_id, c.table_name, 'table' AS kind, c.column_name, c.data_type, k.place IS NULL AS nullable, CAST(coalesce(k.place, 0) AS INTEGER) AS key_position FROM c LEFT JOIN k ON k.table_name = c.table_name AND k.column_name = c.column_name"),
     "join_closure": (
         join_closure,
         _listed([("table", t) for t in (C, I, O, P, "olist_sellers_dataset")] + [("join", f"{I}.order_id = {O}.order_id"), ("join", f"{I}.product_id = {P}.product_id"), ("join", f"{I}.seller_id = olist_sellers_dataset.seller_id"), ("join", f"{O}.customer_id = {C}.customer_id")], "kind, item"),
@@ -548,7 +562,10 @@ BUILT: dict[str, tuple[Callable, str | None]] = {
         multiset_equal,
         f"WITH a AS ({VIEW_SQL['order_item_totals']}), b AS ({VIEW_SQL['order_item_totals'].replace(' GROUP BY', ' WHERE price_cents > 5000 GROUP BY')}) SELECT 'left' AS side, count(*) AS n FROM (FROM a EXCEPT ALL FROM b) HAVING count(*) > 0 UNION ALL SELECT 'right', count(*) FROM (FROM b EXCEPT ALL FROM a) HAVING count(*) > 0",
     ),
-    "stratified_cases": (stratified_cases, None),
+    "stratified_cases": (
+        stratified_cases,
+        "WITH g AS (SELECT difficulty, count(*) AS n, least(5, count(*)) AS base FROM olist_acceptance_60 GROUP BY 1), seats AS (SELECT difficulty, n::DOUBLE / k AS worth FROM (SELECT difficulty, n, unnest(range(base, n)) AS k FROM g)), won AS (SELECT difficulty, count(*) AS more FROM (SELECT difficulty, row_number() OVER (ORDER BY worth DESC, difficulty) AS place FROM seats) WHERE place <= 30 - (SELECT sum(base) FROM g) GROUP BY 1), q AS (SELECT g.difficulty, n, base + coalesce(more, 0) AS quota FROM g LEFT JOIN won ON won.difficulty = g.difficulty), picks AS (SELECT difficulty, CAST(floor((i + 0.5) * n / quota) AS BIGINT) AS at FROM (SELECT difficulty, n, quota, unnest(range(0, quota)) AS i FROM q)), r AS (SELECT id, difficulty, row_number() OVER (PARTITION BY difficulty ORDER BY id) - 1 AS at FROM olist_acceptance_60) SELECT id, r.difficulty FROM r JOIN picks ON picks.difficulty = r.difficulty AND picks.at = r.at",
+    ),
     "complexity_scores": (
         complexity_scores,
         f"WITH q AS ({_listed([(n, (t if isinstance(t, str) else t[0]).upper()) for n, t in STATED.items()], 'query, t')}), c AS (SELECT query, len(regexp_extract_all(t, '(FROM|JOIN) [A-Z]')) AS tables, len(regexp_extract_all(t, 'SELECT ')) AS selects, len(regexp_extract_all(t, ' JOIN ')) AS joins, len(regexp_extract_all(t, ' UNION | INTERSECT | EXCEPT ')) AS sets, len(regexp_extract_all(t, ' GROUP BY ')) AS grouped, len(regexp_extract_all(t, ' HAVING ')) AS having FROM q) SELECT query, tables, joins, sets FROM c",
