@@ -204,7 +204,7 @@ def p5_unmatched(spark: SparkSession, base: str) -> DataFrame:
 
 def _sized(spark: SparkSession, base: str) -> DataFrame:
     """Every document's key, source and size in tokens, stored once."""
-    return cut(table(spark, base, "documents").select(F.col("doc_id").alias("key"), "source", tokens.token_count(F.col("text")).alias("size")))
+    return cut(table(spark, base, "documents").select(F.col("doc_id").alias("key"), "source", tokens.token_count(F.col("text"), tokens.vocabulary(spark)).alias("size")))
 
 
 def p7_packed(spark: SparkSession, base: str) -> DataFrame:

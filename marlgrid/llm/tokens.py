@@ -8,16 +8,23 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Vocabulary file (ranks of byte sequences); any folder that all executors see.
+#: Vocabulary file (ranks of byte sequences) where the session names none; any folder that all executors see.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The session's setting that names another one.
+SETTING = "spark.marlgrid.vocabulary"
 #: Fixed value: how byte-level BPE of this family cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def vocabulary(spark: SparkSession) -> str:
+    """The vocabulary file of a session."""
+    return spark.conf.get(SETTING, VOCABULARY)
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):
     """The vocabulary as an encoder, loaded once per process."""
