@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 20 bands of 5 hashes find a pair of similarity 0.8 with probability 0.9996.
 BANDS, ROWS = 20, 5
+_BETWEEN = "\x1f"
 
 
 @lru_cache(maxsize=1)
@@ -84,23 +86,36 @@ def band_hashes(tokens: np.ndarray, ends: np.ndarray, chunk: int = 20_000) -> np
     return found
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, hash of view and marks, tokens) -> (class, buckets)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        coded = batch.column(2).flatten().dictionary_encode()
-        hashed = np.array([xxhash.xxh64_intdigest(t or "") for t in coded.dictionary.to_pylist()], dtype="uint64")
-        ends = batch.column(2).offsets.to_numpy().astype("int64")
-        bands = band_hashes(hashed[coded.indices.to_numpy()], ends - ends[0])
-        said = batch.column(1).to_numpy().astype("uint64")
-        buckets = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + said[:, None]).astype("int64")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, buckets.size + 1, BANDS, dtype="int32"), pa.array(buckets.ravel()))], names=["class", "buckets"])
+def _banded(similarity: float):
+    """Batches of (class, hash of view and marks, tokens) -> (class, buckets).
 
-
-def _shingle_column(tokens: Column) -> Column:
+    A list of so few shingles that one less would not be similar enough meets only
+    equal ones: one band does for it.
+    """
+    few = similarity / (1 - similarity) if similarity < 1 else np.inf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            listed = pc.split_pattern(batch.column(2), _BETWEEN)
+            coded = listed.flatten().dictionary_encode()
+            hashed = np.array([xxhash.xxh64_intdigest(t) for t in coded.dictionary.to_pylist()], dtype="uint64")
+            ends = listed.offsets.to_numpy().astype("int64")
+            bands = band_hashes(hashed[coded.indices.to_numpy()], ends - ends[0])
+            said = batch.column(1).to_numpy().astype("uint64")
+            buckets = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + said[:, None]).astype("int64")
+            count = np.where(np.maximum(np.diff(ends) - (SHINGLE - 1), 1) < few - 1e-9, 1, BANDS)
+            kept = np.arange(BANDS)[None, :] < count[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype("int32"), pa.array(buckets[kept]))], names=["class", "buckets"])
+
+    return run
+
+
+def _shingle_column(text: Column) -> Column:
+    tokens = F.split(text, _BETWEEN)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - (SHINGLE - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws("\x1f", F.slice(tokens, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(_BETWEEN, F.slice(tokens, i, F.lit(SHINGLE)))))
 
 
 def members(records: DataFrame) -> DataFrame:
@@ -116,33 +131,33 @@ def members(records: DataFrame) -> DataFrame:
 
     view, marks = given("view", "string", ""), given("marks", "string", "")
     slots = F.col("slots") if "slots" in records.columns else F.lit(None).cast("map<string,string>")
-    name = F.unhex(F.sha2(F.concat_ws("\x1e", view, F.concat_ws("\x1f", "tokens"), marks), 256))
-    kept = records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0")
-    return cut(kept.select("id", "is_train", "tokens", view.alias("view"), marks.alias("marks"), slots.alias("slots"), name.alias("class")))
+    # One text per list is a third of the list's size; half of a SHA-256 names a class.
+    text = F.array_join(F.transform("tokens", lambda t: F.translate(t, _BETWEEN, " ")), _BETWEEN)
+    kept = records.where("id IS NOT NULL AND is_train IS NOT NULL AND size(tokens) > 0").select("id", "is_train", text.alias("text"), view.alias("view"), marks.alias("marks"), slots.alias("slots"))
+    name = F.substring(F.unhex(F.sha2(F.concat_ws("\x1e", "view", "text", "marks"), 256)), 1, 16)
+    return cut(kept.withColumn("class", name))
 
 
 def class_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(view, train_class, eval_class, similarity) of classes that are the same or near; by two routes, equal and bands."""
-    classes = rows.groupBy("class").agg(
-        F.first("view").alias("view"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.first("slots").alias("slots"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval")
-    )
+    classes = cut(rows.groupBy("class").agg(F.first(F.struct("view", "marks", "slots", "text")).alias("it"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval")))
 
     def buckets(kept: str, name: str) -> DataFrame:
-        hashed = classes.where(kept).select("class", F.xxhash64("view", "marks").alias("said"), "tokens").mapInArrow(_banded, "class binary, buckets array<bigint>")
+        hashed = classes.where(kept).select("class", F.xxhash64("it.view", "it.marks").alias("said"), "it.text").mapInArrow(_banded(similarity), "class binary, buckets array<bigint>")
         return hashed.select(F.col("class").alias(name), F.explode("buckets").alias("bucket"))
 
     left, right = buckets("in_train", "train_class"), buckets("in_eval", "eval_class")
     near = left.join(right, "bucket").where("train_class != eval_class").select("train_class", "eval_class").distinct()
 
     # Only what became a candidate is shingled again for the exact check.
-    shapes = classes.select("class", F.struct("view", "marks", "slots", "tokens").alias("it"))
+    shapes = classes.select("class", "it")
     checked = near.join(shapes.select(F.col("class").alias("train_class"), F.col("it").alias("a")), "train_class").join(shapes.select(F.col("class").alias("eval_class"), F.col("it").alias("b")), "eval_class")
     differs = F.exists(F.map_keys("a.slots"), lambda k: F.coalesce(F.try_element_at("a.slots", k) != F.try_element_at("b.slots", k), F.lit(False)))
     checked = checked.where((F.col("a.view") == F.col("b.view")) & (F.col("a.marks") == F.col("b.marks")) & ~F.coalesce(differs, F.lit(False)))
-    checked = checked.select("train_class", "eval_class", F.col("a.view").alias("view"), _shingle_column(F.col("a.tokens")).alias("x"), _shingle_column(F.col("b.tokens")).alias("y"))
+    checked = checked.select("train_class", "eval_class", F.col("a.view").alias("view"), _shingle_column(F.col("a.text")).alias("x"), _shingle_column(F.col("b.text")).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     checked = checked.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= similarity)
-    same = classes.where("in_train AND in_eval").select("view", F.col("class").alias("train_class"), F.col("class").alias("eval_class"), F.lit(1.0).alias("similarity"))
+    same = classes.where("in_train AND in_eval").select("it.view", F.col("class").alias("train_class"), F.col("class").alias("eval_class"), F.lit(1.0).alias("similarity"))
     return same.unionByName(checked.select("view", "train_class", "eval_class", "similarity"))
 
 
